@@ -199,6 +199,8 @@ def pack_items(items: DataFrame, id_col: str, size_col: str, capacity: int) -> D
     if begin:
         offset = F.element_at(F.create_map(*[F.lit(x) for b, s in begin.items() for x in (b, s)]), F.col("bucket"))
     before = F.sum("whole").over(Window.partitionBy("bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    alone = full.select("id", (offset + F.coalesce(before, F.lit(0))).alias("c0"), F.posexplode(F.sequence(F.lit(1), F.col("whole"))).alias("piece_no", "_k"))
+    # the window must see the items, not their pieces, so the pieces come after it
+    numbered = full.select("id", "whole", (offset + F.coalesce(before, F.lit(0))).alias("c0"))
+    alone = numbered.select("id", "c0", F.posexplode(F.sequence(F.lit(1), F.col("whole"))).alias("piece_no", "_k"))
     alone = alone.select("id", F.col("piece_no").cast("long").alias("piece_no"), (F.col("c0") + F.col("piece_no")).cast("long").alias("container_id"), F.lit(capacity).alias("n_tokens"))
     return placed.unionByName(alone).withColumnRenamed("id", id_col)
