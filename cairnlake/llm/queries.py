@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import conversations, packing, reading, splitting, tokens
+from . import conversations, neardup, packing, reading, splitting, tokens
 from .text import messages
 
 # Bytes of a piece and of its overlap, tokens of a container.
 PIECE, OVERLAP, CONTAINER = 4000, 200, 2048
+# Alike messages have 78 percent of their words in common, and at
+# least 22 different ones.
+ALIKE, LEAST_WORDS = 78, 22
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +56,17 @@ def p10_familiar(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_profile(read_table(spark, d, "documents"), familiar=0.05).select("doc_id", "words", "sentences", "difficult", "words_per_sentence", "difficult_share")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
+    pairs = neardup.similar_pairs(chunks, "chunk_id", "content", share=ALIKE, least=LEAST_WORDS)
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
+    return neardup.similar_groups(chunks, "chunk_id", "content", share=ALIKE, least=LEAST_WORDS).withColumnRenamed("id", "chunk_id")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
