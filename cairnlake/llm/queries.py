@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import conversations, neardup, packing, reading, splitting, tokens
+from . import conversations, history, neardup, packing, reading, splitting, tokens
 from .text import messages
 
 # Bytes of a piece and of its overlap, tokens of a container.
@@ -25,6 +25,13 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversation_turns(read_table(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "session_id", "content")
+    intake = read_table(spark, d, "intake").select("session_id", "batch_no")
+    found = history.repeated_messages(chunks, intake, "chunk_id", "session_id", "content", "batch_no", share=ALIKE, least=LEAST_WORDS)
+    return found.select(F.col("id").alias("chunk_id"))
+
+
 def _long_messages(spark: SparkSession, d: str) -> DataFrame:
     chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
     big = messages(splitting.oversized(chunks, "content", PIECE))
