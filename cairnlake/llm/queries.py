@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import conversations, history, neardup, packing, reading, splitting, tokens
+from . import clusters, conversations, history, neardup, neighbours, packing, reading, splitting, tokens
 from .text import messages
 
 # Bytes of a piece and of its overlap, tokens of a container.
@@ -14,6 +14,8 @@ PIECE, OVERLAP, CONTAINER = 4000, 200, 2048
 # Alike messages have 78 percent of their words in common, and at
 # least 22 different ones.
 ALIKE, LEAST_WORDS = 78, 22
+# Fixed value: numbers of a usable vector.
+DIM = 128
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +27,17 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversation_turns(read_table(spark, d, "chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read_table(spark, d, "chunks_vec")
+    pairs = neighbours.similar_vector_pairs(vectors, "chunk_id", "embedding", DIM, 0.95)
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.neighbours(read_table(spark, d, "chunks_vec"), "chunk_id", "embedding", DIM, every=100)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "rank", "cosine")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = read_table(spark, d, "chunks").select("chunk_id", "session_id", "content")
     intake = read_table(spark, d, "intake").select("session_id", "batch_no")
@@ -63,6 +76,20 @@ def p10_familiar(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_profile(read_table(spark, d, "documents"), familiar=0.05).select("doc_id", "words", "sentences", "difficult", "words_per_sentence", "difficult_share")
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    members = clusters.vector_clusters(read_table(spark, d, "chunks_vec"), "chunk_id", "embedding", DIM, 0.70)
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "session_id")
+    return clusters.counted_clusters(members, chunks, "chunk_id", "session_id", 5, 2)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).select(F.col("id").alias("chunk_id"), "cluster_id")
+
+
+def p6_typical(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.typical_members(_clusters(spark, d)).withColumnRenamed("id", "chunk_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
     pairs = neardup.similar_pairs(chunks, "chunk_id", "content", share=ALIKE, least=LEAST_WORDS)
