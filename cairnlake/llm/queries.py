@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import clusters, conversations, history, neardup, neighbours, packing, reading, splitting, tokens
+from . import clusters, conversations, history, neardup, neighbours, packing, personal, reading, splitting, tokens
 from .text import messages
 
 # Bytes of a piece and of its overlap, tokens of a container.
@@ -45,6 +45,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
+    return personal.personal_kinds(chunks, "chunk_id", "content", read_table(spark, d, "contacts")).withColumnRenamed("id", "chunk_id")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
+    return personal.redacted_messages(chunks, "chunk_id", "content", read_table(spark, d, "contacts"))
+
+
 def _long_messages(spark: SparkSession, d: str) -> DataFrame:
     chunks = read_table(spark, d, "chunks").select("chunk_id", "content")
     big = messages(splitting.oversized(chunks, "content", PIECE))
