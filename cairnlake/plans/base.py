@@ -107,3 +107,8 @@ def knn_sql(asked: str, qid: str, qv: str, k: int, own: str = V, vid: str = "chu
  kq AS (SELECT {qid} AS query, {qv} AS qv FROM {asked}), kv AS MATERIALIZED (SELECT {vid} AS id, {vv} AS vv FROM {own}),
  kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM
   (SELECT query, id, round(list_cosine_similarity(qv, vv), 6) AS cosine FROM kq, kv {'WHERE query <> id' if skip_self else ''})) WHERE rank <= {k})"""
+
+
+def strip_sql(c: str) -> str:
+    space = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]"
+    return f"regexp_replace({c}, '^{space}+|{space}+$', '', 'g')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from ..operators import browse, dense, fusion, lexical
-from .base import C, NOW, S, STOP_SQL, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, query_terms_sql, sessions, skills, terms_sql, trajectories, vectors
+from .base import C, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, query_terms_sql, sessions, skills, trajectories, vectors
 
 # The query set of the searches: every row whose id is divisible by 100.
 TASKS = f"(SELECT * FROM {T} WHERE trajectory_id % 100 = 0)"
@@ -110,12 +110,12 @@ NUM = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_inde
 
 
 @query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'task', 30)}, p AS MATERIALIZED {NUM},
- h AS (SELECT query, session_id, arg_min(pos, (rank, doc)) AS at, min((rank, doc)) AS b FROM bm JOIN p ON p.chunk_id = doc GROUP BY query, session_id),
+ h AS (SELECT query, session_id, arg_min(pos, (rank, doc)) AS spot, min((rank, doc)) AS b FROM bm JOIN p ON p.chunk_id = doc GROUP BY query, session_id),
  r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY b, session_id) AS arc_rank FROM h) WHERE arc_rank <= 3),
  e AS (SELECT session_id, max(pos) AS n FROM p GROUP BY session_id),
  s AS (SELECT r.*, n FROM r JOIN e ON e.session_id = r.session_id)
  SELECT s.session_id, query, arc_rank, part, p.pos, chunk_id FROM s JOIN p ON p.session_id = s.session_id JOIN (VALUES ('start'),('anchor'),('end')) x(part)
-  ON (part = 'start' AND p.pos <= 3) OR (part = 'anchor' AND p.pos BETWEEN at - 5 AND at + 5) OR (part = 'end' AND p.pos > n - 3)""")
+  ON (part = 'start' AND p.pos <= 3) OR (part = 'anchor' AND p.pos BETWEEN spot - 5 AND spot + 5) OR (part = 'end' AND p.pos > n - 3)""")
 def rt10_session_arcs(spark, d):
     hits = _bm25(spark, d, 30).withColumnRenamed("doc", "id")
     return browse.session_arcs(chunks(spark, d), hits, 3, 5)

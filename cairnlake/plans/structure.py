@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.vectors import usable
-from ..operators import browse, cluster, dense, evaluate, folds, graph, lexical, retention
-from .base import C, K, NOW, OUT, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, outcome_of, query, sessions, skills, trajectories, vectors
+from ..operators import browse, cluster, dense, evaluate, folds, graph, retention
+from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, sessions, skills, strip_sql, trajectories, vectors
 from .retrieval import ASKED_V, FIRST_V, NUM, _bm25, _first_vectors, tasks
 
 
@@ -125,7 +124,7 @@ def wn11_latest_per_key(spark, d):
     return folds.last_value(log, "skill_name", "doc_id", "updated_at", "tie").select("skill_name", "doc_id", "updated_at")
 
 
-@query(f"SELECT key FROM (SELECT lower(trim(session_key)) AS key, max(coalesce(ended_at, started_at)) AS at FROM {S} WHERE trim(coalesce(session_key, '')) <> '' GROUP BY 1) ORDER BY at DESC NULLS LAST, key LIMIT 32")
+@query(f"SELECT key FROM (SELECT lower(trim(session_key)) AS key, max(coalesce(ended_at, started_at)) AS seen FROM {S} WHERE trim(coalesce(session_key, '')) <> '' GROUP BY 1) ORDER BY seen DESC NULLS LAST, key LIMIT 32")
 def wn10_recent_keys(spark, d):
     s = sessions(spark, d).filter(F.trim(F.coalesce("session_key", F.lit(""))) != "")
     k = s.groupBy(F.lower(F.trim("session_key")).alias("key")).agg(F.max(F.coalesce("ended_at", "started_at")).alias("at"))
@@ -137,11 +136,11 @@ def sk6_first_end(spark, d):
     return sessions(spark, d).filter("ended_at is not null").groupBy("session_id").agg(F.min("ended_at").alias("ended_at"))
 
 
-@query(f"""SELECT session_id, substr(min_by(trim(content), (coalesce(turn_index, 2147483647), chunk_id)), 1, 500) AS task, max(created_at) AS last_at FROM {C} WHERE session_id IS NOT NULL AND lower(trim(role)) IN ('user','human') AND trim(coalesce(content,'')) <> '' GROUP BY session_id""")
+@query(f"""SELECT session_id, substr(min_by({strip_sql('content')}, (coalesce(turn_index, 2147483647), chunk_id)), 1, 500) AS task, max(created_at) AS last_at FROM {C} WHERE session_id IS NOT NULL AND lower(trim(role)) IN ('user','human') AND {strip_sql('content')} <> '' GROUP BY session_id""")
 def sk4_trajectory_build(spark, d):
-    u = chunks(spark, d).filter("session_id is not null and lower(trim(role)) in ('user','human') and trim(coalesce(content,'')) <> ''")
+    u = chunks(spark, d).filter("session_id is not null and lower(trim(role)) in ('user','human')").filter(text.strip(F.col("content")) != "")
     key = F.struct(F.coalesce("turn_index", F.lit(2147483647)), "chunk_id")
-    return u.groupBy("session_id").agg(F.substring(F.min_by(F.trim("content"), key), 1, 500).alias("task"), F.max("created_at").alias("last_at"))
+    return u.groupBy("session_id").agg(F.substring(F.min_by(text.strip(F.col("content")), key), 1, 500).alias("task"), F.max("created_at").alias("last_at"))
 
 
 @query(f"""SELECT coalesce(k.skill_name, n.skill) AS skill_name, CASE WHEN k.skill_name IS NULL THEN 'draft' ELSE k.skill_status END AS skill_status, CASE WHEN n.skill IS NULL THEN k.use_count ELSE n.uses END AS use_count
@@ -213,7 +212,7 @@ def gr6_superseded(spark, d):
     return graph.older_near(_near(spark, d, 8), times, 0.84, 4)
 
 
-@query(f"""WITH x AS (SELECT skill, list(DISTINCT outcome ORDER BY outcome) AS o FROM {USES} GROUP BY skill), e AS (SELECT a, b FROM {PAIRS} WHERE n >= 2) SELECT a, b, array_to_string(list_concat(p.o, list_filter(q.o, z -> NOT list_contains(p.o, z)))[1:3], ',') AS tags FROM e JOIN x p ON p.skill = a JOIN x q ON q.skill = b""")
+@query(f"""WITH x AS (SELECT skill, list(DISTINCT outcome ORDER BY outcome) AS o FROM {USES} GROUP BY skill), e AS (SELECT a, b FROM {PAIRS} WHERE n >= 2) SELECT a, b, array_to_string(list_concat(p.o, list_filter(q.o, lambda z: NOT list_contains(p.o, z)))[1:3], ',') AS tags FROM e JOIN x p ON p.skill = a JOIN x q ON q.skill = b""")
 def gr2_merged_tags(spark, d):
     tags = uses(spark, d).groupBy("skill").agg(F.array_sort(F.collect_set("outcome")).alias("o"))
     e = _pairs(spark, d).filter("n >= 2").select("a", "b")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from ..operators import lexical
-from .base import C, K, NOW, S, T, chunks, documents, query, sessions, skills, terms_sql, trajectories
+from .base import C, K, NOW, S, T, chunks, documents, query, sessions, skills, strip_sql, terms_sql, trajectories
 
 
-@query(f"SELECT chunk_id, lower(trim(role)) AS role, length(trim(content)) AS chars FROM {C} WHERE lower(trim(role)) IN ('user','assistant','tool') AND trim(coalesce(content,'')) <> ''")
+@query(f"SELECT chunk_id, lower(trim(role)) AS role, length({strip_sql('content')}) AS chars FROM {C} WHERE lower(trim(role)) IN ('user','assistant','tool') AND {strip_sql('content')} <> ''")
 def fl1_archivable(spark, d):
-    r, t = F.lower(F.trim("role")), F.trim("content")
+    r, t = F.lower(F.trim("role")), text.strip(F.col("content"))
     return chunks(spark, d).filter(r.isin("user", "assistant", "tool") & (t != "")).select("chunk_id", r.alias("role"), F.char_length(t).alias("chars"))
 
 
@@ -91,11 +91,11 @@ def pj1_context_preamble(spark, d):
     return chunks(spark, d).join(t, "session_id", "left").select("chunk_id", text.preamble(F.col("task"), F.col("content")).alias("embedded"))
 
 
-@query(f"SELECT session_id, substr(trim(substr(min_by(content, (coalesce(turn_index, 2147483647), chunk_id)), 1, 400)), 1, 120) AS category FROM {C} WHERE session_id IS NOT NULL AND lower(trim(role)) IN ('user','human') AND trim(coalesce(content, '')) <> '' GROUP BY session_id")
+@query(f"SELECT session_id, substr({strip_sql('substr(min_by(content, (coalesce(turn_index, 2147483647), chunk_id)), 1, 400)')}, 1, 120) AS category FROM {C} WHERE session_id IS NOT NULL AND lower(trim(role)) IN ('user','human') AND {strip_sql('content')} <> '' GROUP BY session_id")
 def pj4_task_category(spark, d):
-    u = chunks(spark, d).filter("session_id is not null and lower(trim(role)) in ('user','human') and trim(coalesce(content, '')) <> ''")
+    u = chunks(spark, d).filter("session_id is not null and lower(trim(role)) in ('user','human')").filter(text.strip(F.col("content")) != "")
     first = u.groupBy("session_id").agg(F.min_by("content", F.struct(F.coalesce("turn_index", F.lit(2147483647)), "chunk_id")).alias("c"))
-    return first.select("session_id", F.substring(F.trim(F.substring("c", 1, 400)), 1, 120).alias("category"))
+    return first.select("session_id", F.substring(text.strip(F.substring("c", 1, 400)), 1, 120).alias("category"))
 
 
 @query(f"SELECT skill_id, CASE WHEN last_used_at IS NULL THEN 'never' WHEN a < 3600 THEN CAST(floor(a/60) AS INT) || 'm ago' WHEN a < 86400 THEN CAST(floor(a/3600) AS INT) || 'h ago' ELSE CAST(floor(a/86400) AS INT) || 'd ago' END AS age FROM (SELECT *, {NOW} - last_used_at AS a FROM skill_stats)")
@@ -122,8 +122,10 @@ def sf20_token_estimates(spark, d):
     return documents(spark, d).filter("text is not null").select("doc_id", F.octet_length(t).alias("bytes"), text.token_estimate(t).alias("tokens"), F.char_length(t).alias("chars"), F.coalesce(F.col("n_chars") == F.char_length(t), F.lit(False)).alias("fresh"))
 
 
-@query("""SELECT doc_id, nullif(regexp_replace(trim(regexp_extract(b, '(?m)^name[ \\t]*:[ \\t]*(.*)$', 1)), '^["'']|["'']$', '', 'g'), '') AS name, nullif(regexp_replace(trim(regexp_extract(b, '(?m)^description[ \\t]*:[ \\t]*(.*)$', 1)), '^["'']|["'']$', '', 'g'), '') AS description
- FROM (SELECT doc_id, regexp_extract(regexp_replace(text, '\r\n?', chr(10), 'g'), '\\A---[ \\t]*\\n((?s:.*?))\\n---[ \\t]*(?:\\n|\\z)', 1) AS b FROM documents) WHERE b <> ''""".replace("'\r\n?'", "chr(13) || chr(10) || '?'"))
+_VALUE = lambda key: "nullif(regexp_replace(" + strip_sql(f"regexp_extract(b, '(?m)^{key}[ \\t]*:[ \\t]*(.*)$', 1)") + """, '^["'']|["'']$', '', 'g'), '')"""
+
+
+@query(f"SELECT doc_id, {_VALUE('name')} AS name, {_VALUE('description')} AS description FROM (SELECT doc_id, regexp_extract(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '\\A---[ \\t]*\\n((?s:.*?))\\n---[ \\t]*(?:\\n|\\z)', 1) AS b FROM documents) WHERE b <> ''")
 def sc8_front_matter(spark, d):
     t = F.col("text")
     x = documents(spark, d).filter(F.regexp_replace(t, "\r\n?", "\n").rlike(r"\A---[ \t]*\n(?s:.*?)\n---[ \t]*(?:\n|\z)"))
@@ -167,16 +169,16 @@ REACT = f"""CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '{_RX(text.CORRECT
 USER = "lower(trim(role)) IN ('user','human')"
 
 
-@query(f"SELECT chunk_id, {REACT} AS reaction FROM (SELECT chunk_id, trim(content) AS t FROM {C} WHERE {USER} AND trim(content) <> '')")
+@query(f"SELECT chunk_id, {REACT} AS reaction FROM (SELECT chunk_id, {strip_sql('content')} AS t FROM {C} WHERE {USER} AND {strip_sql('content')} <> '')")
 def sf11_reactions(spark, d):
-    u = chunks(spark, d).filter(F.expr(USER) & (F.trim("content") != ""))
+    u = chunks(spark, d).filter(F.expr(USER) & (text.strip(F.col("content")) != ""))
     return u.select("chunk_id", text.reaction(F.col("content")).alias("reaction"))
 
 
 @query(f"""SELECT chunk_id, reaction, sum(CASE reaction WHEN 'positive' THEN 1 WHEN 'correction' THEN -1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mood
- FROM (SELECT chunk_id, session_id, turn_index, {REACT} AS reaction FROM (SELECT *, trim(content) AS t FROM {C} WHERE {USER} AND trim(content) <> '' AND session_id IS NOT NULL))""")
+ FROM (SELECT chunk_id, session_id, turn_index, {REACT} AS reaction FROM (SELECT *, {strip_sql('content')} AS t FROM {C} WHERE {USER} AND {strip_sql('content')} <> '' AND session_id IS NOT NULL))""")
 def wn6_rolling_reactions(spark, d):
-    u = chunks(spark, d).filter(F.expr(USER) & (F.trim("content") != "") & F.col("session_id").isNotNull())
+    u = chunks(spark, d).filter(F.expr(USER) & (text.strip(F.col("content")) != "") & F.col("session_id").isNotNull())
     u = u.select("chunk_id", "session_id", "turn_index", text.reaction(F.col("content")).alias("reaction"))
     w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_first(), "chunk_id").rowsBetween(-2, 0)
     v = F.when(F.col("reaction") == "positive", 1).when(F.col("reaction") == "correction", -1).otherwise(0)
@@ -185,9 +187,9 @@ def wn6_rolling_reactions(spark, d):
 
 @query(f"""SELECT session_id, CASE WHEN last_bad > last_good THEN 'fail' WHEN last_good > 0 AND bad > 0 THEN 'partial' WHEN last_good > 0 THEN 'ok' ELSE 'unknown' END AS label FROM
  (SELECT session_id, max(CASE WHEN reaction = 'positive' THEN p ELSE 0 END) AS last_good, max(CASE WHEN reaction = 'correction' THEN p ELSE 0 END) AS last_bad, count(*) FILTER (WHERE reaction = 'correction') AS bad FROM
- (SELECT session_id, {REACT} AS reaction, row_number() OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id) AS p FROM (SELECT *, trim(content) AS t FROM {C} WHERE {USER} AND trim(content) <> '' AND session_id IS NOT NULL)) GROUP BY session_id)""")
+ (SELECT session_id, {REACT} AS reaction, row_number() OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id) AS p FROM (SELECT *, {strip_sql('content')} AS t FROM {C} WHERE {USER} AND {strip_sql('content')} <> '' AND session_id IS NOT NULL)) GROUP BY session_id)""")
 def ag15_session_labels(spark, d):
-    u = chunks(spark, d).filter(F.expr(USER) & (F.trim("content") != "") & F.col("session_id").isNotNull())
+    u = chunks(spark, d).filter(F.expr(USER) & (text.strip(F.col("content")) != "") & F.col("session_id").isNotNull())
     w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_first(), "chunk_id")
     r = u.select("session_id", text.reaction(F.col("content")).alias("reaction"), F.row_number().over(w).alias("p"))
     at = lambda what: F.max(F.when(F.col("reaction") == what, F.col("p")).otherwise(0))
