@@ -1,0 +1,132 @@
+"""Sources other than Parquet: JSON lines, skill trees, memory slots, settings."""
+
+from __future__ import annotations
+
+import json
+import os
+import re
+from collections.abc import Iterable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import front_matter, skill_threat
+
+LABELS = ("ok", "partial", "fail", "unknown")
+
+
+def read_labels(spark: SparkSession, path: str, id_col: str = "trajectory_id", label: str = "label") -> DataFrame:
+    """(id, label) of JSON lines, valid labels only; broken lines and null ids are skipped."""
+    rows = spark.read.schema(f"{id_col} long, {label} string").json(path)
+    clean = F.lower(F.trim(label))
+    return rows.filter(F.col(id_col).isNotNull() & clean.isin(*LABELS)).select(id_col, clean.alias(label))
+
+
+def read_skill_tree(spark: SparkSession, roots: Iterable[str], skip: tuple[str, ...] = (".git", ".github", ".hub")) -> DataFrame:
+    """(name, path, description, label, body): SKILL.md files below the roots, one per name.
+
+    The first root, then the smaller path wins a name. label names unsafe
+    content; unsafe skills keep their row so that the caller decides. A file
+    without a name in its front matter is named after its folder.
+    """
+    roots = expand_roots(roots)
+    schema = "name string, path string, description string, label string, body string"
+    if not roots:
+        return spark.createDataFrame([], schema)
+    found = None
+    for order, root in enumerate(roots):
+        part = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").format("binaryFile").load(root)
+        part = part.select(F.lit(order).alias("root"), "path", F.decode("content", "UTF-8").alias("body"))
+        found = part if found is None else found.unionByName(part)
+    for folder in skip:
+        found = found.filter(~F.col("path").contains(f"/{folder}/"))
+    name = F.coalesce(front_matter(F.col("body"), "name"), F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1))
+    found = found.withColumn("name", name)
+    first = Window.partitionBy("name").orderBy("root", "path")
+    one = found.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+    return one.select("name", "path", front_matter(F.col("body"), "description").alias("description"), skill_threat(F.col("body")).alias("label"), "body")
+
+
+def expand_roots(raw: Iterable[str]) -> list[str]:
+    """Existing folders with ~ and variables resolved, each once, in order."""
+    out: list[str] = []
+    for r in raw:
+        p = os.path.realpath(os.path.expanduser(os.path.expandvars(r)))
+        if os.path.isdir(p) and p not in out:
+            out.append(p)
+    return out
+
+
+def read_slots(spark: SparkSession, folder: str, slots: tuple[str, ...] = ("MEMORY", "USER", "SOUL")) -> DataFrame:
+    """(slot, text): whole Markdown files; a missing slot has the empty text."""
+    names = spark.createDataFrame([(s,) for s in slots], "slot string")
+    if not any((Path(folder) / f"{s}.md").exists() for s in slots):
+        return names.withColumn("text", F.lit(""))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("slot"), F.col("value").alias("text"))
+    return names.join(files, "slot", "left").select("slot", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def merge_settings(*layers: dict) -> dict:
+    """Nested dictionaries merged, later layers win; lists are replaced whole."""
+    out: dict = {}
+    for layer in layers:
+        for k, v in layer.items():
+            out[k] = merge_settings(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def load_settings(*paths: str) -> dict:
+    """Merged JSON settings of the files that exist; a file that is no object counts as empty."""
+    layers = []
+    for p in paths:
+        try:
+            got = json.loads(Path(p).read_text(encoding="utf-8"))
+        except (OSError, ValueError):
+            got = {}
+        layers.append(got if isinstance(got, dict) else {})
+    return merge_settings(*layers)
+
+
+def slot_edit(text: str, action: str, content: str = "", needle: str = "") -> str:
+    """A memory slot after add, replace or remove; a needle must occur exactly once.
+
+    add does nothing if the content is there already. Typography and runs of
+    white space in the needle are forgiven if the exact text is not found.
+    """
+    if action == "add":
+        return text if content.strip() and content.strip() in text else (text.rstrip() + "\n\n" + content.strip() + "\n").lstrip()
+    spots = [m.span() for m in re.finditer(re.escape(needle), text)] if needle else []
+    if not spots and needle.strip():
+        loose = r"\s+".join(re.escape(w).replace("'", "['‘’]").replace('"', '["“”]').replace(r"\-", "[-–—]") for w in needle.split())
+        spots = [m.span() for m in re.finditer(loose, text)]
+    if len(spots) != 1:
+        raise ValueError(f"the needle occurs {len(spots)} times")
+    a, b = spots[0]
+    return text[:a] + (content if action == "replace" else "") + text[b:]
+
+
+def patch_lines(text: str, old: str, new: str, least: float = 0.85) -> tuple[str, float]:
+    """(text, confidence) with ``old`` replaced: exact, then by lines without indentation, then by likeness.
+
+    Raises if no window of lines is like enough, or if the exact text occurs more than once.
+    """
+    from difflib import SequenceMatcher
+
+    if text.count(old) == 1:
+        return text.replace(old, new), 1.0
+    if text.count(old) > 1:
+        raise ValueError("the text occurs more than once")
+    lines, want = text.splitlines(keepends=True), old.splitlines()
+    bare = [w.strip() for w in want]
+    best, at = 0.0, -1
+    for i in range(len(lines) - len(want) + 1):
+        have = [x.strip() for x in lines[i : i + len(want)]]
+        score = 0.99 if have == bare else SequenceMatcher(None, "\n".join(have), "\n".join(bare), autojunk=False).ratio() * 0.98
+        if score > best:
+            best, at = score, i
+    if at < 0 or best < least:
+        raise ValueError("nothing like the text was found")
+    tail = "" if new.endswith("\n") or not lines[at + len(want) - 1].endswith("\n") else "\n"
+    return "".join(lines[:at]) + new + tail + "".join(lines[at + len(want) :]), best
