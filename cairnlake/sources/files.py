@@ -63,8 +63,8 @@ def read_slots(spark: SparkSession, folder: str, slots: tuple[str, ...] = ("MEMO
     names = spark.createDataFrame([(s,) for s in slots], "slot string")
     if not any((Path(folder) / f"{s}.md").exists() for s in slots):
         return names.withColumn("text", F.lit(""))
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
-    files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("slot"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("slot"), F.decode("content", "UTF-8").alias("text"))
     return names.join(files, "slot", "left").select("slot", F.coalesce("text", F.lit("")).alias("text"))
 
 

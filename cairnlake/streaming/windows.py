@@ -62,31 +62,33 @@ OUT = "session_key string, session_no long, turn_index long, role string, conten
 STATE = "marks array<string>, session long, turn long"
 
 
-def archive_windows(windows: DataFrame, timeout: str = "30 minutes") -> DataFrame:
+def archive_windows(windows: DataFrame, idle_minutes: int | None = None) -> DataFrame:
     """New messages of a stream of (session_key, window_no, messages array<struct<role,content>>).
 
-    Keyless conversations share the empty key. Idle keys time out after
-    ``timeout`` of processing time and start a new session when they come back.
+    Keyless conversations share the empty key. With ``idle_minutes`` a key that
+    long without data (processing time) starts a new session when it comes back;
+    such a query has to run continuously, since a timeout keeps a run-once
+    trigger waiting.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            marks, session, turn = state.get
-            state.update(([], session, 0))
+            state.update(([], int(state.get[1]), 0))
             return
-        c = Conversation(*(list(state.get[0]), *state.get[1:])) if state.exists else Conversation()
+        c = Conversation(list(state.get[0]), int(state.get[1]), int(state.get[2])) if state.exists else Conversation()
         rows = []
         for f in frames:
             for _, row in f.sort_values("window_no").iterrows():
                 for session, turn, role, text in c.take([(m["role"], m["content"]) for m in row["messages"]]):
                     rows.append((key[0], session, turn, role, text))
         state.update((c.marks, c.session, c.turn))
-        state.setTimeoutDuration(timeout)
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(rows, columns=["session_key", "session_no", "turn_index", "role", "content"])
 
     keyed = windows.select(F.coalesce("session_key", F.lit("")).alias("session_key"), "window_no", "messages")
-    return keyed.groupBy("session_key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("session_key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def archive_batch(windows: DataFrame) -> DataFrame:
