@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
 from .text import words
 
 #: A word is frequent from this share of the records on: at most
 #: (mean words of a record) / FREQUENT words, so the list may be broadcast.
-FREQUENT = 1 / 2000
+FREQUENT = 1 / 20_000
+#: Names of asked sets up to which they are sent to every task (8 MB); more are joined by shuffle.
+SENT = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,8 +107,10 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     Word lists travel once, by set name; equal sets are folded before.
     """
-    pairs = pairs.select("a", "b").distinct()
+    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= SENT:
+        asked = F.broadcast(asked)
     lists = sets.select("h", "n", "keys").join(asked, "h", "left_semi").groupBy("h").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
     one = lists.select(F.col("h").alias("a"), F.col("keys").alias("k1"), F.col("n").alias("n1"))
     two = lists.select(F.col("h").alias("b"), F.col("keys").alias("k2"), F.col("n").alias("n2"))
