@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stage
 from .vectors import fit_centres, fold_equal, shard_matrix, sharded
 
 #: Edges of a point (of these long ones), candidates before pruning, width of a
@@ -28,6 +29,8 @@ EDGES, LONG, PROPOSED, BEAM, ALPHA, ENTRIES = 20, 4, 32, 24, 1.2, 32
 BLOCK = 1024
 #: Shards that a foreign query visits.
 PROBES = 24
+#: Ids up to which the asked vectors are picked at the scan (8 MB); more are joined by shuffle.
+SENT = 500_000
 
 
 class Graph:
@@ -213,10 +216,15 @@ def similar_vector_pairs(vectors: DataFrame, id_col: str, vec: str, dim: int, le
     edge = 0.001
     near = neighbours(vectors, id_col, vec, dim, k, least - edge)
     pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("cosine").alias("cosine"))
+    pairs = stage(pairs, "pairs")
     sure = F.col("cosine") >= least + edge
-    full = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda e: e.cast("double")).alias("v")).filter(F.size("v") == dim)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
     close = pairs.filter(~sure).select("a", "b")
+    asked = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    if 2 * close.count() <= SENT:
+        asked = F.broadcast(asked)  # so that only the asked vectors are shuffled
+    full = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).join(asked, "id", "left_semi")
+    full = full.filter(F.size("v") == dim).select("id", F.transform("v", lambda e: e.cast("double")).alias("v"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
     exact = close.join(full.select(F.col("id").alias("a"), F.col("v").alias("u")), "a").join(full.select(F.col("id").alias("b"), F.col("v").alias("w")), "b")
     exact = exact.filter(dot("u", "w") / F.sqrt(dot("u", "u") * dot("w", "w")) >= least).select("a", "b").distinct()
     return pairs.filter(sure).select("a", "b").unionByName(exact)
