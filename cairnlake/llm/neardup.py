@@ -26,7 +26,7 @@ from .wordsets import Batch, frequent_words, may_lose, may_match, spread, verifi
 
 #: Records of a signature from which it is extended, and the most words of one;
 #: groups of the longest signatures are compared whatever their size.
-GROUP, DEEPEST = 48, 4
+GROUP, DEEPEST = 128, 4
 _SIGNED = "sig long, id long, meta long, s0 long, s1 long"
 
 
@@ -35,7 +35,8 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _size_class(n: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(n, 1)).astype(np.int64)
+    """Powers of two from 64 words on; smaller records are one class."""
+    return np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64), 6)
 
 
 def _signatures(sets: DataFrame, frequent, share: int) -> DataFrame:

@@ -303,6 +303,6 @@ def personal_kinds(rows: DataFrame, id_col: str, text: str, contacts: DataFrame
 
 def redacted_messages(rows: DataFrame, id_col: str, text: str, contacts: DataFrame | None = None) -> DataFrame:
     """(id, text): every message, with typed placeholders where something was found."""
-    all_ = messages(rows.select(id_col, text))
+    all_ = messages(rows.select(id_col, text), id_col)
     found = personal_spans(all_, id_col, text, contacts)
     return all_.join(found.select(F.col("id").alias("_id"), "masked"), F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("masked", text).alias(text))

@@ -25,12 +25,12 @@ def words(c: Column) -> Column:
     return F.array_remove(runs, "")
 
 
-def messages(chunks):
-    """One row per chunk_id: repeated deliveries are one message.
+def messages(chunks, id_col: str = "chunk_id"):
+    """One row per id: repeated deliveries are one message.
 
-    Rows of one chunk_id that differ are folded by taking the greatest struct,
-    so the result does not depend on file order. Null chunk_ids are left out.
+    Rows of one id that differ are folded by taking the greatest struct, so the
+    result does not depend on file order. Null ids are left out.
     """
-    cols = [c for c in chunks.columns if c != "chunk_id"]
+    cols = [c for c in chunks.columns if c != id_col]
     best = F.max(F.struct(*cols)).alias("_m")
-    return chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(best).select("chunk_id", "_m.*")
+    return chunks.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(best).select(id_col, "_m.*")
