@@ -8,6 +8,7 @@ name inside an e-mail or street address is no case of its own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -222,7 +223,11 @@ def _names(t: str, people: frozenset) -> Iterator[tuple[int, int, float]]:
 
 def find_personal(t: str, people: frozenset = frozenset()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the kept spans of a text, in order, not overlapping."""
-    found = [(k, s) for k, spans in enumerate((_emails(t), _addresses(t), _id_numbers(t), _phones(t), _names(t, people))) for s in spans if s[2] >= ACCEPT]
+    look = worth_a_look(t, people)
+    finders = (_emails, _addresses, _id_numbers, _phones, lambda t: _names(t, people))
+    found = [(k, s) for k, (find, wanted) in enumerate(zip(finders, look, strict=True)) if wanted for s in find(t) if s[2] >= ACCEPT]
+    if not found:
+        return []
     taken: list[tuple[int, int, str]] = []
     kinds = list(KINDS)
     for k, (a, b, _) in sorted(found, key=lambda f: (f[0], f[1][0], -f[1][1])):
@@ -240,23 +245,42 @@ def masked(t: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, t[at:]])
 
 
-#: What a text must have for any span to be proposed, as a Java expression, so
-#: that most texts never reach Python. It only saves work: each part is implied by
-#: the patterns above.
-_WORTH = (
-    r"[@\uFF20]|%40|&#64;|&#x40;|&commat;|[(\[{<]\s*(?i:at|arroba|ät)\s*[)\]}>]|(?i:\sdot\s)"
-    rf"|\d[A-Za-z]?\s+[\p{{L}}'’\-]+(?:\s+[\p{{L}}'’\-]+){{0,2}}\s+(?i:{_EN})\b"
-    r"|(?iu:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|markt)\s+\d"
-    r"|\d\s?(?i:bis|ter|[a-c])?\s*,?\s+(?iu:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|passage)\s"
-    r"|\b(?i:calle|c/|avenida|avda|plaza|paseo|camino|carrera|ronda|via|viale|piazza|corso)\s|(?i:box)\s*#?\s*\d|(?iu:postfach|apartado|postale)|\b(?i:b\.?p\.?)\s*#?\s*\d"
-    r"|\b(?iu:ssn|social|soc|ni|nino|national|id|identity|personalausweis|personalausweisnummer|ausweis|ausweisnummer|ausweisnr|steuer|steueridentifikationsnummer|steuernummer|steuernr|steuerid|sozialversicherungsnummer|reisepass|reisepassnummer|reisepassnr"
-    r"|führerschein|führerscheinnummer|führerscheinnr|tax|tin|itin|dni|nie|nif|cif|passport|pasaporte|passeport|driving|drivers?|permiso|permis|sécurité|nir|carte d'identité|fiscal|identidad|seguridad)[ _\W]"
-    r"|\b[XYZ]?-?\d{7,8}-?[A-Z]\b|\+\s?\d|\b00\s?\d|\(\+?\d{2,4}\)"
-    r"|\b(?iu:phone|telephone|tel|tél|téléphone|telefon|teléfono|telefono|fon|mobile|mobil|móvil|cell|handy|portable|fax|calls?|ring|dial|text|sms|whatsapp|signal|ist|est|es|is|ruf|rufe|anrufen|reach|llama|llámame|appelle|appelez|hotline|extension)\b[^\n]{0,28}?[(\d]\d[\d .\-/()\u00A0\u2010-\u2015]{5}"
-    rf"|\b(?i:{_TITLE})\b\.?\s+\p{{L}}"
-    r"|\p{Lu}\.\s?\p{Lu}[\p{L}'’]|\p{Lu}[\p{L}'’]+,?\s+\p{Lu}"
-    r"|\b(?iu:name is|name:|hei(?:ß|ss)e|name ist|appelle|nom est|llamo|nombre es|spoke|talked|signed|cc:|regards,|best,|cheers,|sincerely,|attn|ask|belongs?|owned by|approved by|grüße|cordialement|saludos|gesprochen|unterschrieben|parlé|appartient|signé|hablé|pertenece|firmado)\s"
+# What a text must have for spans of a kind to be proposed, so that most texts
+# meet no pattern at all. It only saves work: each part is implied by the patterns.
+_BREAKS = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): " " for c in "‘’“”«»–—…•·　\u00a0"}
+_STREET_WORDS = frozenset(
+    _EN[3:-1].lower().split("|")
+    + "rue avenue boulevard place chemin allée impasse quai cours route passage calle c avenida avda plaza paseo camino carrera ronda via viale piazza corso box postbox postalbox postfach apartado postale bp b".split()
 )
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "steig", "markt")
+_ID_WORDS = frozenset(
+    "ssn social soc ni nino national id identity personalausweis personalausweisnummer ausweis ausweisnummer ausweisnr steuer steuerid steueridentifikationsnummer steuernummer steuernr sozialversicherungsnummer"
+    " reisepass reisepassnummer reisepassnr führerschein führerscheinnummer führerscheinnr tax tin itin dni nie nif cif passport pasaporte passeport driving driver drivers permiso permis sécurité nir identité fiscal identidad seguridad".split()
+)
+_CALL_WORDS = frozenset(
+    "phone telephone tel tél téléphone telefon teléfono telefono fon mobile mobil móvil cell handy portable fax call calls ring dial text sms whatsapp signal ruf rufe anrufen reach llama llámame appelle appelez hotline extension".split()
+)
+_NAME_WORDS = frozenset(
+    "mr mrs ms miss mx dr prof professor sir madam herr herrn frau monsieur madame mademoiselle mme mlle señor señora señorita sr sra srta doña don signor signora doktor doctor docteur"
+    " name heiße heisse appelle nom llamo nombre spoke talked signed cc regards best cheers sincerely attn ask belongs belong owned approved grüße cordialement saludos gesprochen unterschrieben parlé appartient signé hablé pertenece firmado".split()
+)
+_CALL_PHRASES = ("number is", "numéro est", "nummer ist", "número es")
+_MAIL_SIGNS = ("@", "＠", "%40", "&#64;", "&#x40;", "&commat;", "arroba", "dot", "(at", "[at", "{at", "<at", "( at", "[ at", "ät")
+_DIAL = re.compile(r"\+\s?\d|\(\+?\d{2,4}\)|(?<!\w)00\s?\d")
+_CODE = re.compile(r"\d{7}\d?-?[A-Z](?!\w)")
+_INITIAL_SIGN = re.compile(r"\b[^\W\d_]\.\s?[^\W\d_]|, [^\W\d_]\.")
+
+
+def worth_a_look(t: str, people: frozenset) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether email, address, id number, phone and name have to be looked for."""
+    low = t.lower()
+    words = set(low.translate(_BREAKS).split())
+    mail = any(sign in low for sign in _MAIL_SIGNS)
+    place = not words.isdisjoint(_STREET_WORDS) or any(w.endswith(_STREET_ENDS) for w in words)
+    number = not words.isdisjoint(_ID_WORDS) or bool(_CODE.search(t))
+    call = not words.isdisjoint(_CALL_WORDS) or bool(_DIAL.search(t)) or any(p in low for p in _CALL_PHRASES)
+    name = not words.isdisjoint(_NAME_WORDS) or bool(_INITIAL_SIGN.search(t)) or len(words & _known_words(people)) > 1
+    return mail, place, number, call, name
 
 
 def _known_people(contacts: DataFrame | None, given: str, family: str) -> frozenset:
@@ -292,8 +316,7 @@ def personal_spans(rows: DataFrame, id_col: str, text: str, contacts: DataFrame
                         out.append(masked(t, spans))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=["id", "kinds", "masked"])
 
-    worth = rows.filter(F.col(id_col).isNotNull() & F.col(text).rlike(_WORTH))
-    return worth.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {id_type}, kinds array<string>, masked string")
+    return rows.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {id_type}, kinds array<string>, masked string")
 
 
 def personal_kinds(rows: DataFrame, id_col: str, text: str, contacts: DataFrame | None = None) -> DataFrame:
