@@ -224,7 +224,7 @@ def sf22_failure_classes(spark, d):
     return x.select("chunk_id", text.failure_class(F.regexp_extract("content", r"code (\d+)", 1).try_cast("int"), F.col("content")).alias("class"))
 
 
-@query(f"SELECT trajectory_id, bound, CASE WHEN utility >= bound AND 1-utility <= 1-bound THEN 'yes' WHEN 1-utility >= bound AND utility <= 1-bound THEN 'no' ELSE 'unsure' END AS verdict FROM {T}, (SELECT unnest([0.6,0.7,0.8,0.9]) AS bound) WHERE utility IS NOT NULL")
+@query(f"SELECT trajectory_id, bound, CASE WHEN utility >= bound AND 1-utility <= 1-bound THEN 'yes' WHEN 1-utility >= bound AND utility <= 1-bound THEN 'no' ELSE 'unsure' END AS verdict FROM {T}, (SELECT unnest([0.6,0.7,0.8,0.9]::DOUBLE[]) AS bound) WHERE utility IS NOT NULL")
 def sf24_two_sided_verdicts(spark, d):
     t = trajectories(spark, d).filter("utility is not null").select("trajectory_id", "utility", F.explode(F.array(*[F.lit(x) for x in (0.6, 0.7, 0.8, 0.9)])).alias("bound"))
     u, b = F.col("utility"), F.col("bound")
