@@ -15,14 +15,35 @@ def ordered(events: DataFrame, key: str, by: list[str], value: Column) -> DataFr
     return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*by, value.alias("v")))).alias("events"))
 
 
-def utility(events: Column, start: float = 0.5, step: float = 0.1) -> Column:
-    """u + step * (reward - u) for each reward in order; null rewards change nothing."""
-    return F.aggregate(events, F.lit(start), lambda u, e: F.when(e["v"].isNull(), u).otherwise(u + step * (e["v"] - u)))
+def utility(events: DataFrame, key: str, by: list[str], reward: Column, start: float = 0.5, step: float = 0.1) -> DataFrame:
+    """(key, utility): u + step * (reward - u) over the rewards in order; null rewards change nothing.
 
+    The recurrence is linear, so it is a weighted sum: the k-th reward from the
+    end weighs step * (1 - step) ** (k - 1). Ranks come from a window that
+    spills, and the sum is a partial aggregate: a key may hold any share of all rows.
+    """
+    back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in by])
+    e = events.select(key, *by, reward.cast("double").alias("_r")).filter("_r is not null").withColumn("_k", F.row_number().over(back))
+    g = e.groupBy(key).agg(F.sum(F.col("_r") * step * F.pow(F.lit(1 - step), F.col("_k") - 1)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return g.select(key, (F.col("_s") + start * F.pow(F.lit(1 - step), F.col("_n"))).alias("utility"))
+
+
+def clamped_sum(events: DataFrame, key: str, by: list[str], value: Column, start: float, low: float, high: float, block: int = 4096) -> DataFrame:
+    """(key, total): running sum in order, held between the bounds after each event.
 
-def clamped_sum(events: Column, start: float, low: float, high: float) -> Column:
-    """Running sum held between two bounds after each event."""
-    return F.aggregate(events, F.lit(start), lambda t, e: F.least(F.greatest(t + F.coalesce(e["v"], F.lit(0.0)), F.lit(low)), F.lit(high)))
+    Adding and holding is a map x -> min(hi, max(lo, x + s)), and such maps
+    compose; blocks of events are folded to one map each, then a key's maps are
+    applied in order, so no task holds more than a block or a key's blocks.
+    """
+    w = Window.partitionBy(key).orderBy(*by)
+    e = events.select(key, *by, F.coalesce(value.cast("double"), F.lit(0.0)).alias("_v")).withColumn("_n", F.row_number().over(w))
+    part = e.groupBy(key, F.floor((F.col("_n") - 1) / block).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_n", "_v"))).alias("_e"))
+    hold = lambda x, lo, hi: F.least(F.greatest(x, lo), hi)
+    first = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    then = lambda f, x: F.struct((f["s"] + x["_v"]).alias("s"), hold(f["lo"] + x["_v"], F.lit(low), F.lit(high)).alias("lo"), hold(f["hi"] + x["_v"], F.lit(low), F.lit(high)).alias("hi"))
+    maps = part.select(key, "_b", F.aggregate("_e", first, then).alias("_f"))
+    g = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "_f"))).alias("_m"))
+    return g.select(key, F.aggregate("_m", F.lit(start), lambda x, m: hold(x + m["_f"]["s"], m["_f"]["lo"], m["_f"]["hi"])).alias("total"))
 
 
 def resets(events: Column, bound: float) -> Column:

@@ -304,16 +304,16 @@ def cl7_siblings(spark, d):
  SELECT skill, round(list_reduce(list_concat([0.5::DOUBLE], l::DOUBLE[]), lambda u, x: u + 0.1*(x - u)), 9) AS utility FROM r""")
 def rk6_utility_fold(spark, d):
     u = uses(spark, d).filter("created_at is not null and outcome in ('ok','fail')")
-    f = folds.ordered(u, "skill", ["created_at", "trajectory_id"], F.when(F.col("outcome") == "ok", 1.0).otherwise(0.0))
-    return f.select("skill", F.round(folds.utility(F.col("events")), 9).alias("utility"))
+    f = folds.utility(u, "skill", ["created_at", "trajectory_id"], F.when(F.col("outcome") == "ok", 1.0).otherwise(0.0))
+    return f.select("skill", F.round("utility", 9).alias("utility"))
 
 
 @query(f"""WITH r AS (SELECT skill, list(CASE outcome WHEN 'ok' THEN 0.05 ELSE -0.1 END ORDER BY created_at, trajectory_id) AS l FROM {USES} WHERE created_at IS NOT NULL AND outcome IN ('ok','fail') GROUP BY skill)
  SELECT skill, round(list_reduce(list_concat([1.0::DOUBLE], l::DOUBLE[]), lambda t, x: least(greatest(t + x, 0), 2)), 9) AS trust FROM r""")
 def rk7_trust_fold(spark, d):
     u = uses(spark, d).filter("created_at is not null and outcome in ('ok','fail')")
-    f = folds.ordered(u, "skill", ["created_at", "trajectory_id"], F.when(F.col("outcome") == "ok", 0.05).otherwise(-0.1))
-    return f.select("skill", F.round(folds.clamped_sum(F.col("events"), 1.0, 0.0, 2.0), 9).alias("trust"))
+    f = folds.clamped_sum(u, "skill", ["created_at", "trajectory_id"], F.when(F.col("outcome") == "ok", 0.05).otherwise(-0.1), 1.0, 0.0, 2.0)
+    return f.select("skill", F.round("total", 9).alias("trust"))
 
 
 @query("""WITH e AS (SELECT user_id, list(CASE event_type WHEN 'error' THEN 3.0 WHEN 'purchase' THEN 2.0 ELSE 1.0 END ORDER BY ts, event_id) AS l FROM events GROUP BY user_id)

@@ -92,7 +92,12 @@ def archive_windows(windows: DataFrame, idle_minutes: int | None = None) -> Data
 
 
 def archive_batch(windows: DataFrame) -> DataFrame:
-    """As ``archive_windows``, over a bounded table of windows."""
+    """As ``archive_windows``, over a table of windows, for replays and tests.
+
+    A key's windows are held by one task, as its messages depend on each other
+    in order; a key with more windows than fit goes through the stream, which
+    holds one window and the remembered marks.
+    """
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         c, rows = Conversation(), []

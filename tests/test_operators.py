@@ -105,9 +105,17 @@ def test_clusters():
 
 def test_folds(spark):
     e = spark.createDataFrame([(1, 3, 0.0), (1, 1, 1.0), (1, 2, None), (2, 1, 3.0), (2, 2, 3.0), (2, 3, 5.0)], "k int, t int, v double")
+    u = {r.k: r.utility for r in folds.utility(e, "k", ["t"], F.col("v")).collect()}
+    assert u[1] == pytest.approx(0.55 * 0.9)
+    rng = np.random.default_rng(2)
+    steps = rng.choice([0.3, -0.4, 0.7], 300).tolist()
+    x = 1.0
+    for v in steps:
+        x = min(max(x + v, 0.0), 2.0)
+    many = spark.createDataFrame([(7, i, v) for i, v in enumerate(steps)], "k int, t int, v double").repartition(4)
+    for block in (1, 7, 4096):
+        assert folds.clamped_sum(many, "k", ["t"], F.col("v"), 1.0, 0.0, 2.0, block).first().total == pytest.approx(x)
     f = folds.ordered(e, "k", ["t"], F.col("v"))
-    got = {r[0]: (round(r[1], 6), r[2]) for r in f.select("k", folds.utility(F.col("events")), folds.clamped_sum(F.col("events"), 1.0, 0.0, 2.0)).collect()}
-    assert got[1] == (round((0.5 + 0.05) - 0.1 * 0.55, 6), 2.0)
     assert f.filter("k = 2").select(folds.resets(F.col("events"), 5.0)).first()[0] == 2
     log = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 5, "y"), ("b", 1, 1, "z")], "k string, tie int, at int, v string")
     assert sorted((r.k, r.v) for r in folds.last_value(log, "k", "v", "at", "tie").collect()) == [("a", "y"), ("b", "z")]
