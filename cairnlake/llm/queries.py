@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import clusters, conversations, history, neardup, neighbours, packing, personal, reading, splitting, tokens
+from . import clusters, conversations, history, neardup, neighbours, packing, personal, reading, splitting, sql, tokens
 from .text import messages
 
 # Bytes of a piece and of its overlap, tokens of a container.
@@ -116,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": sql.P1_FOUND, "p3_found": sql.P3_FOUND, "p7_found": sql.P7_FOUND}
