@@ -22,6 +22,8 @@ from .vectors import fit_centres, fold_equal, shard_matrix, sharded
 #: Vectors of a shard up to which similarities are kept between the passes, and
 #: rows of a block.
 KEPT, BLOCK = 5000, 1024
+#: Shards of each vector; one more than for neighbour search, since a lost link may split a cluster.
+COPIES = 3
 
 
 def _roots(pointer: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ def vector_clusters(vectors: DataFrame, id_col: str, vec: str, dim: int, least:
     several); cosines are of vectors rounded to half floats.
     """
     centres = fit_centres(vectors, id_col, vec, dim)
-    parts = sharded(vectors, id_col, vec, dim, centres)
+    parts = sharded(vectors, id_col, vec, dim, centres, COPIES)
     local = stage(parts.groupBy("shard").applyInArrow(_shard_labels(dim, least), "id long, part long, density double"), "parts")
     per = stage(local.groupBy("id").agg(F.min("part").alias("part"), F.max("part").alias("other"), F.max("density").alias("density")), "labels")
     # a vector in two shards joins their clusters; parts are far fewer than vectors
