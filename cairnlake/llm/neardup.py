@@ -26,7 +26,7 @@ from .wordsets import Batch, frequent_words, may_lose, may_match, spread, verifi
 
 #: Records of a signature from which it is extended, and the most words of one;
 #: groups of the longest signatures are compared whatever their size.
-GROUP, DEEPEST = 128, 4
+GROUP, DEEPEST = 1024, 4
 _SIGNED = "sig long, id long, meta long, s0 long, s1 long"
 
 
@@ -87,11 +87,13 @@ def _meet(signed: DataFrame, level: int, share: int, shards: int) -> DataFrame:
     def pairs(sig, ids, meta, s0, s1) -> Iterator[pa.RecordBatch]:
         n, rank, own = meta >> 32, (meta & 0xFFFFFFFF) >> 1, meta & 1
         s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        left = np.arange(len(sig))  # rows with a row of their group at this distance
         for gap in range(1, len(sig)):
-            i = np.flatnonzero(sig[:-gap] == sig[gap:])
-            if not len(i):
+            left = left[: np.searchsorted(left, len(sig) - gap)]
+            left = left[sig[left] == sig[left + gap]]
+            if not len(left):
                 return
-            j = i + gap
+            i, j = left, left + gap
             # a pair counts in the size class of its larger record
             ok = np.where(n[i] >= n[j], own[i], own[j]) == 1
             i, j = i[ok], j[ok]
