@@ -27,8 +27,10 @@ from .vectors import fit_centres, fold_equal, shard_matrix, sharded
 EDGES, LONG, PROPOSED, BEAM, ALPHA, ENTRIES = 20, 4, 32, 24, 1.2, 32
 #: Rows of a block of similarities.
 BLOCK = 1024
-#: Shards that a foreign query visits.
-PROBES = 24
+#: Share of the shards that a foreign query visits, and the fewest. A vector at
+#: right angles to all others has its nearest anywhere, so a fixed number of
+#: shards loses recall as the index grows.
+PROBED, PROBES = 0.5, 24
 #: Ids up to which the asked vectors are picked at the scan (8 MB); more are joined by shuffle.
 SENT = 500_000
 
@@ -191,7 +193,7 @@ def neighbours(vectors: DataFrame, id_col: str, vec: str, dim: int, k: int = 10,
     """(id, other, cosine, rank): the k most similar other vectors, found by index.
 
     ``least``: neighbours below it are not wanted; ``every``: only ids divisible
-    by it ask, each in its PROBES nearest shards; None: all vectors ask, each in
+    by it ask, each in its nearest PROBED of the shards; None: all vectors ask, each in
     its own shards. All rows are indexed. Vectors that are not of ``dim`` finite
     numbers or all zero are left out, null ids too; repeated ids count once; ties
     go to the smaller id. The measured loss is in the README. Cosines are of
@@ -201,7 +203,7 @@ def neighbours(vectors: DataFrame, id_col: str, vec: str, dim: int, k: int = 10,
     parts = sharded(vectors, id_col, vec, dim, centres).withColumn("asks", F.lit(False))
     if every is not None:
         asking = vectors.filter(F.pmod(F.col(id_col), F.lit(every)) == 0)
-        parts = parts.unionByName(sharded(asking, id_col, vec, dim, centres, PROBES).withColumn("asks", F.lit(True)))
+        parts = parts.unionByName(sharded(asking, id_col, vec, dim, centres, max(PROBES, int(np.ceil(PROBED * len(centres))))).withColumn("asks", F.lit(True)))
     found = parts.groupBy("shard").applyInArrow(_shard_neighbours(dim, k, least, every is None), "id long, other long, cosine double")
     best = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
