@@ -224,6 +224,38 @@ def test_batches_against_history(spark, monkeypatch, places):
     assert history.repeated_messages(rows.limit(0), intake, "cid", "sid", "body", "no", 78, 22).count() == 0
 
 
+@pytest.mark.parametrize("places, depth", [(64, 4), (1, 4), (1, 2)])
+def test_reordered_repeat_among_many_places(spark, monkeypatch, places, depth):
+    # the repeats are in another order, and 100 unlike texts share their rare words
+    monkeypatch.setattr(history, "PLACES", places)
+    monkeypatch.setattr(history, "DEPTH", depth)
+    rng = random.Random(17)
+    rare, common = [f"r{i}" for i in range(10)], [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.sample(rare + rng.sample(common, 20), 30)) for _ in range(100)] + [" ".join(rng.sample(common, 24)) for _ in range(300)]
+    base = rng.sample(common, 20)
+    texts.append(" ".join(rare + base))
+    texts += [" ".join(rng.sample(rare + base[: 20 - k // 2], 30 - k // 2)) for k in range(12)]
+    sets = [words_of(t) for t in texts]
+    at = [1] * 401 + [2 + k % 3 for k in range(12)]
+    want = {i for i in range(len(texts)) for j in range(len(texts)) if at[j] < at[i] and alike(sets[i], sets[j])}
+    rows = spark.createDataFrame([(i, at[i], t) for i, t in enumerate(texts)], "cid long, sid long, body string")
+    intake = spark.createDataFrame([(n, n) for n in set(at)], "sid long, no int")
+    assert len(want) >= 12
+    assert {r.id for r in history.repeated_messages(rows, intake, "cid", "sid", "body", "no", 78, 22).collect()} == want
+
+
+@pytest.mark.parametrize("places", [64, 1])
+def test_batches_against_history_miss_none(spark, monkeypatch, places):
+    monkeypatch.setattr(history, "PLACES", places)
+    texts = [t for t in edited_texts(random.Random(7)) if t]
+    sets = [words_of(t) for t in texts]
+    at = [random.Random(i).randint(1, 6) for i in range(len(texts))]
+    want = {i for i in range(len(texts)) for j in range(len(texts)) if at[j] < at[i] and alike(sets[i], sets[j])}
+    rows = spark.createDataFrame([(i, at[i], t) for i, t in enumerate(texts)], "cid long, sid long, body string")
+    intake = spark.createDataFrame([(n, n) for n in range(1, 7)], "sid long, no int")
+    assert {r.id for r in history.repeated_messages(rows, intake, "cid", "sid", "body", "no", 78, 22).collect()} == want
+
+
 def test_suffix_arrays_merge_logarithmically():
     rng = np.random.default_rng(1)
     h = history.History()
