@@ -1,7 +1,7 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
-An item is read as byte ranges. Each range, with a halo of a few bytes so that
-no character and no line end is torn, reports its boundaries as a small summary:
+An item is read as byte ranges. Each range, with a halo that shows the last
+boundary before it and tears no character and no line end, reports its boundaries as a small summary:
 what lies before its first boundary, after its last one, and the longest stretch
 between. Summaries are stitched in order, prefix sums of the range lengths give
 offsets, and pieces are emitted by offset. A giant file is never in one worker:
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range; larger ones cost memory, smaller ones cost rows.
 RANGE = 1 << 20
+#: Bytes of a range's halo before it: a piece, its overlap and 8 bytes must fit in; behind it are 4.
+HALO = 8192
 _LINE_END = re.compile(rb"\r\n|\r|\n")
 _SPACE = re.compile(rb"[ \t\r\n]+")
 _NOT_SPACE = re.compile(rb"[^ \t\r\n]+")
@@ -95,7 +97,31 @@ def cut_at(longest: tuple[int, int, int], limit: int) -> str:
 _PARA_END = re.compile(rb"(?:\r\n|\r|\n)[ \t\x0b\x0c]*(?:\r\n|\r|\n)(?:[ \t\x0b\x0c]*(?:\r\n|\r|\n))*")
 
 
-def cut_offsets(buf: bytes, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def _last_boundary(window: bytes, low: int, torn: bool) -> tuple[int, str]:
+    """(end, boundary): where a piece ends in the window, after ``low``; 0 if nowhere.
+
+    ``torn``: the window's last byte is the first half of a \\r\\n.
+    """
+    kinds = ((_PARA_END, "paragraph"), (_LINE_END, "line"), (_SPACE, "word"))
+    # first a boundary that fills half of the piece, then any
+    for pattern, name, least in [(*k, max(low, len(window) // 2)) for k in kinds] + [(*k, low) for k in kinds]:
+        last = 0
+        for m in pattern.finditer(window):
+            if m.end() > least and not (torn and m.end() == len(window)):
+                last = m.end()
+        if last:
+            return last, name
+    return 0, "none"
+
+
+def _overlap_start(buf: bytes, fresh: int, least: int, overlap: int) -> int:
+    """Where the piece begins that brings the bytes from ``fresh`` on: at a word's start, from ``least`` on."""
+    at = _aligned(buf, max(fresh - overlap, least)) if overlap else fresh
+    space = _SPACE.search(buf, at, fresh)
+    return space.end() if space and space.end() < fresh else min(at, fresh)
+
+
+def cut_offsets(buf: bytes, limit: int, overlap: int, fresh: int = 0) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of the pieces: each at most ``limit`` bytes.
 
     A piece ends after the last blank line in its second half, else after the last
@@ -103,28 +129,20 @@ def cut_offsets(buf: bytes, limit: int, overlap: int) -> list[tuple[int, int, st
     such a boundary in its first half, else at the last whole character. The
     next one begins at most ``overlap`` bytes before, at a word's start (with no
     white space there: at a character's start); together they cover every byte.
+    Bytes before ``fresh`` are already in a piece before the first one.
     """
     if not 0 <= overlap < limit - 4:
         raise ValueError("overlap must be at least 0 and less than limit - 4")
     out: list[tuple[int, int, str]] = []
-    start, fresh = 0, 0  # fresh: first byte that no piece has yet
+    start = 0  # fresh: first byte that no piece has yet
     while fresh < len(buf):
         if len(buf) - start <= limit:
             out.append((start, len(buf), "end"))
             break
         window = buf[start : start + limit]
         low = fresh - start  # a cut must bring something new
-        end, kind = 0, "none"
-        kinds = ((_PARA_END, "paragraph"), (_LINE_END, "line"), (_SPACE, "word"))
-        # first a boundary that fills half of the piece, then any
-        for pattern, name, least in [(*k, max(low, limit // 2)) for k in kinds] + [(*k, low) for k in kinds]:
-            last = 0
-            for m in pattern.finditer(window):
-                if m.end() > least:
-                    last = m.end()
-            if last and not (last == len(window) and buf[start + last - 1] == 13 and buf[start + last : start + last + 1] == b"\n"):
-                end, kind = last, name
-                break
+        after = start + limit
+        end, kind = _last_boundary(window, low, buf[after - 1] == 13 and buf[after : after + 1] == b"\n")
         if not end:
             end = len(window)
             while end > low + 1 and (buf[start + end] & 0xC0) == 0x80:
@@ -133,9 +151,7 @@ def cut_offsets(buf: bytes, limit: int, overlap: int) -> list[tuple[int, int, st
                 end -= 1
         out.append((start, start + end, kind))
         fresh = start + end
-        at = _aligned(buf, max(fresh - overlap, start + 1)) if overlap else fresh
-        space = _SPACE.search(buf, at, fresh)
-        start = space.end() if space and space.end() < fresh else min(at, fresh)
+        start = _overlap_start(buf, fresh, start + 1, overlap)
     return out
 
 
@@ -145,12 +161,13 @@ def oversized(items: DataFrame, text: str, limit: int) -> DataFrame:
 
 
 def item_ranges(items: DataFrame, id_col: str, text: str, range_bytes: int = RANGE) -> DataFrame:
-    """(id, range_no, size, buf): the items as byte ranges, buf with a halo of 4 bytes on either side."""
+    """(id, range_no, size, buf): the items as byte ranges, buf with a halo of HALO bytes before and 4 after it."""
     raw = items.select(F.col(id_col).alias("id"), F.encode(F.col(text), "UTF-8").alias("raw"))
     n = F.ceil(F.octet_length("raw") / range_bytes).cast("int")
     parts = raw.select("id", "raw", F.octet_length("raw").alias("size"), F.explode(F.sequence(F.lit(0), n - 1)).alias("range_no"))
     begin = F.col("range_no") * range_bytes
-    return parts.select("id", "range_no", "size", F.substring("raw", F.greatest(begin - 4, F.lit(0)) + 1, begin + range_bytes + 4 - F.greatest(begin - 4, F.lit(0))).alias("buf"))
+    first = F.greatest(begin - HALO, F.lit(0))
+    return parts.select("id", "range_no", "size", F.substring("raw", first + 1, begin + range_bytes + 4 - first).alias("buf"))
 
 
 def file_ranges(spark: SparkSession, paths: DataFrame, range_bytes: int = RANGE) -> DataFrame:
@@ -161,7 +178,7 @@ def file_ranges(spark: SparkSession, paths: DataFrame, range_bytes: int = RANGE)
             rows = []
             for path, no, size in zip(f["id"], f["range_no"], f["size"], strict=True):
                 with open(path, "rb") as file:
-                    begin = max(no * range_bytes - 4, 0)
+                    begin = max(no * range_bytes - HALO, 0)
                     file.seek(begin)
                     rows.append((path, no, size, file.read((no + 1) * range_bytes + 4 - begin)))
             yield pd.DataFrame(rows, columns=["id", "range_no", "size", "buf"])
@@ -173,12 +190,22 @@ def file_ranges(spark: SparkSession, paths: DataFrame, range_bytes: int = RANGE)
 
 def _own(buf: bytes, no: int, size: int, range_bytes: int) -> bytes:
     """The bytes of a range after moving both ends to whole characters and line ends."""
-    lead = min(4, no * range_bytes)
+    lead = min(HALO, no * range_bytes)
     begin = _aligned(buf, lead) if no else 0
     end = lead + range_bytes
     return buf[begin:] if no * range_bytes + range_bytes >= size else buf[begin : _aligned(buf, end)]
 
 
+def _seam(buf: bytes, at: int, limit: int, range_bytes: int) -> tuple[int, str]:
+    """(offset, boundary): where the ranges that meet at ``at`` part, as a piece that ends there would.
+
+    Both ranges see the same bytes, at most a piece before ``at`` and 4 after it.
+    """
+    reach = max(min(limit, range_bytes - 4), 0)
+    end, kind = _last_boundary(buf[at - reach : at], 0, buf[at - 1] == 13 and buf[at : at + 1] == b"\n")
+    return (at - reach + end, kind) if end else (_aligned(buf[: at + 4], at), kind)
+
+
 def boundary_kinds(ranges: DataFrame, id_type: str, limit: int, range_bytes: int = RANGE) -> DataFrame:
     """(id, cut_at, paragraph, line, word): the coarsest boundary that suffices, and the longest stretches.
 
@@ -276,23 +303,33 @@ def _append(s: Stretches, p: list[int]) -> None:
 def pieces(ranges: DataFrame, id_type: str, limit: int, overlap: int, range_bytes: int = RANGE) -> DataFrame:
     """(id, piece_no, start, stop, boundary, text): pieces of at most ``limit`` bytes.
 
-    Ranges of an item are cut independently; starts come from prefix sums of the
+    Where ranges meet, their ends are moved to the last blank line, line end or
+    white space before, as if a piece ended there, and the later one begins up
+    to ``overlap`` bytes earlier. Then they are cut independently; starts come from prefix sums of the
     range lengths and piece numbers from prefix sums of the piece counts, so no
     worker holds an item of several ranges. Bytes that are not UTF-8 (files) are
     shown as U+FFFD in text; start and stop count the bytes of the original.
     """
     from pyspark.sql import Window
 
+    if limit + overlap + 8 > HALO:
+        raise ValueError("limit and overlap must fit into HALO")
     schema = f"id {id_type}, range_no int, k int, n int, start long, stop long, boundary string, text string"
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for i, no, size, buf in zip(f["id"], f["range_no"], f["size"], f["buf"], strict=True):
-                own = _own(buf, no, size, range_bytes)
-                lead = min(4, no * range_bytes)
-                base = no * range_bytes + (_aligned(buf, lead) - lead if no else 0)
-                cuts = cut_offsets(own, limit, overlap)
+                lead = min(HALO, no * range_bytes)
+                begin = _seam(buf, lead, limit, range_bytes)[0] if no else 0
+                end, last = (len(buf), "end") if (no + 1) * range_bytes >= size else _seam(buf, lead + range_bytes, limit, range_bytes)
+                if end == len(buf) and no * range_bytes - lead + end == size:
+                    last = "end"
+                start = _overlap_start(buf, begin, 0, overlap) if no else 0
+                base, own = no * range_bytes - lead + start, buf[start:end]
+                cuts = cut_offsets(own, limit, overlap, begin - start)
+                if cuts:
+                    cuts[-1] = (*cuts[-1][:2], last)
                 rows += [(i, no, k, len(cuts), base + a, base + b, kind, own[a:b].decode("utf-8", "replace")) for k, (a, b, kind) in enumerate(cuts)]
             yield pd.DataFrame(rows, columns=["id", "range_no", "k", "n", "start", "stop", "boundary", "text"])
 

@@ -345,6 +345,21 @@ def test_pieces_cover_the_text(spark, size):
         assert at == len(raw)
 
 
+@pytest.mark.parametrize("unit, kind", [(["ab"] * 3, "word"), (["ab cd\n"], "line"), (["ab cd\nef\n\n"], "paragraph")])
+def test_pieces_keep_boundaries_and_overlap_over_ranges(spark, unit, kind):
+    rng = random.Random(18)
+    text = "".join("x" * rng.randint(1, 9) + (" " if kind == "word" else "") + rng.choice(unit) + (" " if kind == "word" else "") for _ in range(900))
+    raw = text.encode()
+    df = spark.createDataFrame([(1, text)], "cid long, body string")
+    for size in (300, 1000, 1 << 20):
+        got = splitting.pieces(splitting.item_ranges(df, "cid", "body", size), "bigint", 80, 20, size).orderBy("piece_no").collect()
+        assert [p.piece_no for p in got] == list(range(len(got))) and got[-1].stop == len(raw)
+        assert {p.boundary for p in got[:-1]} == {kind} and got[-1].boundary == "end"
+        for a, b in itertools.pairwise(got):
+            assert a.stop - 20 <= b.start < a.stop < b.stop and raw[a.stop - 1 : a.stop].isspace()
+            assert raw[b.start - 1 : b.start].isspace() and raw[b.start : b.stop].decode() == b.text
+
+
 @pytest.mark.parametrize("size", [40, 64, 1 << 20])
 def test_boundary_kinds_do_not_depend_on_ranges(spark, size):
     texts = texts_to_cut(random.Random(9))
