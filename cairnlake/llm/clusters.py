@@ -91,6 +91,17 @@ def _shard_labels(dim: int, least: float):
     return run
 
 
+def _joined(local: DataFrame) -> DataFrame:
+    """(id, cluster_id, density) from the clusters of the shards (id, part, density): those that share a vector are one.
+
+    part is the smallest id of a shard's cluster; a vector is in at most COPIES.
+    """
+    per = stage(local.groupBy("id").agg(F.collect_set("part").alias("parts"), F.max("density").alias("density")).select("id", F.array_min("parts").alias("part"), "parts", "density"), "labels")
+    # a vector in several shards joins all their clusters; parts are far fewer than vectors
+    names = components(per.select("part", F.explode("parts").alias("other")).distinct(), "part", "other")
+    return per.join(names, per.part == names.node).select("id", F.col("component").alias("cluster_id"), "density")
+
+
 def vector_clusters(vectors: DataFrame, id_col: str, vec: str, dim: int, least: float) -> DataFrame:
     """(id, cluster_id, density): vectors connected by links of cosine ``least`` and more.
 
@@ -102,10 +113,7 @@ def vector_clusters(vectors: DataFrame, id_col: str, vec: str, dim: int, least:
     centres = fit_centres(vectors, id_col, vec, dim)
     parts = sharded(vectors, id_col, vec, dim, centres, COPIES)
     local = stage(parts.groupBy("shard").applyInArrow(_shard_labels(dim, least), "id long, part long, density double"), "parts")
-    per = stage(local.groupBy("id").agg(F.min("part").alias("part"), F.max("part").alias("other"), F.max("density").alias("density")), "labels")
-    # a vector in two shards joins their clusters; parts are far fewer than vectors
-    names = components(per.select("part", "other").distinct(), "part", "other")
-    return per.join(names, per.part == names.node).select("id", F.col("component").alias("cluster_id"), "density")
+    return _joined(local)
 
 
 def counted_clusters(members: DataFrame, sessions: DataFrame, id_col: str, session: str, least_size: int, least_sessions: int) -> DataFrame:

@@ -141,6 +141,13 @@ def test_density_peaks_join_touching_trees():
     assert len(set(label[:10])) == 1 and label[10] == 10
 
 
+def test_a_vector_joins_all_its_parts(spark):
+    # 30 is in three clusters of its shards and is all that joins them
+    rows = [(30, 10), (30, 20), (30, 25), (10, 10), (11, 10), (20, 20), (21, 20), (25, 25), (40, 40), (41, 40)]
+    got = {r.id: r.cluster_id for r in clusters._joined(spark.createDataFrame([(i, p, 2.0) for i, p in rows], "id long, part long, density double")).collect()}
+    assert got == {i: 10 for i in (10, 11, 20, 21, 25, 30)} | {40: 40, 41: 40}
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (3, 1), (5, 4), (7, 7), (None, 1)] + [(100 + i, 101 + i) for i in range(50)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a int, b int"), "a", "b").collect()}
