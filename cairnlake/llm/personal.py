@@ -33,7 +33,8 @@ EMAIL = [
     # spelled out: name AT host DOT end
     regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+\-]){_LOCAL}\s+at\s+{_LABEL}(?:(?:\s+dot\s+|\.){_LABEL})*\s+dot\s+\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])", _I),
 ]
-_MAY_MAIL = regex.compile(r"[@＠]|%40|&#64;|&#x40;|&commat;|[(\[{<]\s*(?:at|arroba|ät)\s*[)\]}>]|\sat\s.{1,80}\sdot\s", _I)
+_MAY_MAIL = regex.compile(r"[@＠]|%40|&#64;|&#x40;|&commat;|[(\[{<]\s*(?:at|arroba|ät)\s*[)\]}>]", _I)
+_MAY_SPELL = (regex.compile(r"\sat\s", _I), regex.compile(r"\sdot\s", _I))
 
 # street words
 _EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Drive|Dr|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Way|Close|Crescent|Row|Gardens|Grove|Mews|Walk|Highway|Parkway|Circle|Quay|Alley)"
@@ -54,7 +55,7 @@ ADDRESS = [
 ]
 _GERMAN = ADDRESS[2]
 _MAY_GERMAN = regex.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|markt)\s+\d", _I)
-_MAY_ADDRESS = regex.compile(rf"\b{_EN}\b|stra(?:ß|ss)e\s+\d|(?:str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|markt)\s+\d|\d\s*(?:bis|ter|[a-c])?\s*,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|passage)\s|\b(?:calle|c/|avenida|avda|plaza|paseo|camino|carrera|ronda|via|viale|piazza|corso)\s|box\s*#?\s*\d|postfach|apartado|postale|\bB\.?P\.?\s*\d", _I)
+_MAY_ADDRESS = regex.compile(rf"\b{_EN}\b|stra(?:ß|ss)e\s+\d|(?:str\.|weg|platz|gasse|allee|ring|damm|ufer|steig|markt)\s+\d|\d\s*(?:bis|ter|[a-c])?\s*,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|passage)\s|(?<![\p{{L}}\p{{N}}])(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|via|viale|piazza|corso)\s|box\s*#?\s*\d|postfach|apartado|postale|(?<![\p{{L}}\p{{N}}])B\.?P\.?\s*#?\s*\d", _I)
 
 _SEP = r"[\s.\-/‐-―]"
 PHONE = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.:/#+\-=@])(?:(?:\+|00)\s?\d{{1,3}}|\(\+?\d{{2,4}}\)|\d{{1,5}})(?:{_SEP}?\(\d{{1,5}}\))?(?:{_SEP}{{0,2}}\d{{1,8}}){{1,6}}(?:\s*(?:ext|extension|durchwahl|x)\.?\s*\d{{1,6}})?(?![\p{{L}}\p{{N}}_@])(?![:.\-/]\p{{N}})", _I)
@@ -129,7 +130,7 @@ def iso_check(digits: str) -> bool:
 
 
 def _emails(t: str) -> Iterator[tuple[int, int, float]]:
-    if _MAY_MAIL.search(t):
+    if _MAY_MAIL.search(t) or all(p.search(t) for p in _MAY_SPELL):
         for p in EMAIL:
             for m in p.finditer(t):
                 yield m.start(), m.end(), 1.0
@@ -179,9 +180,30 @@ def _phones(t: str) -> Iterator[tuple[int, int, float]]:
         yield m.start(), m.end(), score
 
 
+_ALNUM = re.compile(r"[^\W_]+")
+_BREAKS = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
+def _runs(low: str) -> set:
+    """The runs of letters and digits of a text in lower case."""
+    return set(low.translate(_BREAKS).split() if low.isascii() else _ALNUM.findall(low))
+
+
 @cache
-def _known_words(people: frozenset) -> frozenset:
-    return frozenset(w for pair in people for w in pair)
+def _known_runs(people: frozenset) -> dict[str, tuple[frozenset, ...]]:
+    """The runs of letters and digits of every name, by one of them."""
+    out: dict[str, set] = {}
+    for pair in people:
+        runs = frozenset(_ALNUM.findall(" ".join(pair)))
+        if runs:
+            out.setdefault(min(runs), set()).add(runs)
+    return {w: tuple(names) for w, names in out.items()}
+
+
+def _may_know(words: set, people: frozenset) -> bool:
+    """Whether all runs of some name are among the words."""
+    names = _known_runs(people)
+    return any(runs <= words for w in words if w in names for runs in names[w])
 
 
 def _names(t: str, people: frozenset) -> Iterator[tuple[int, int, float]]:
@@ -213,7 +235,7 @@ def _names(t: str, people: frozenset) -> Iterator[tuple[int, int, float]]:
         if not capital and not regex.match(r"\s*(?:$|[.,;:()\n!?]|(?:and|und|et|y|now|who|about|for|re|wegen|pour|para|der|die|qui|que)\b)", t[end : end + 12]):
             score -= 0.3  # lower case: the sentence must go on after the name
         yield lead.end(), end, score
-    if people and len(_known_words(people).intersection(t.lower().replace(",", " ").split())) > 1:
+    if people and _may_know(_runs(t.lower()), people):
         for m in regex.finditer(rf"(?<![\p{{L}}\p{{N}}@._\-])({_PART})(,?)\s+(?={_PART})", t, overlapped=False):
             after = regex.compile(_PART).match(t, m.end())
             pair = (m[1].lower(), after[0].lower()) if after else None
@@ -247,7 +269,6 @@ def masked(t: str, spans: list[tuple[int, int, str]]) -> str:
 
 # What a text must have for spans of a kind to be proposed, so that most texts
 # meet no pattern at all. It only saves work: each part is implied by the patterns.
-_BREAKS = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): " " for c in "‘’“”«»–—…•·　\u00a0"}
 _STREET_WORDS = frozenset(
     _EN[3:-1].lower().split("|")
     + "rue avenue boulevard place chemin allée impasse quai cours route passage calle c avenida avda plaza paseo camino carrera ronda via viale piazza corso box postbox postalbox postfach apartado postale bp b".split()
@@ -265,21 +286,23 @@ _NAME_WORDS = frozenset(
     " name heiße heisse appelle nom llamo nombre spoke talked signed cc regards best cheers sincerely attn ask belongs belong owned approved grüße cordialement saludos gesprochen unterschrieben parlé appartient signé hablé pertenece firmado".split()
 )
 _CALL_PHRASES = ("number is", "numéro est", "nummer ist", "número es")
-_MAIL_SIGNS = ("@", "＠", "%40", "&#64;", "&#x40;", "&commat;", "arroba", "dot", "(at", "[at", "{at", "<at", "( at", "[ at", "ät")
+_MAIL_SIGNS = ("@", "＠", "%40", "&#64;", "&#x40;", "&commat;", "arroba", "dot", "ät")
+_MAIL_AT = re.compile(r"[(\[{<]\s*at")
+_BOX = re.compile(r"(?:box|bp|postfach|apartado|postale)\s*#?\s*\d")
 _DIAL = re.compile(r"\+\s?\d|\(\+?\d{2,4}\)|(?<!\w)00\s?\d")
-_CODE = re.compile(r"\d{7}\d?-?[A-Z](?!\w)")
-_INITIAL_SIGN = re.compile(r"\b[^\W\d_]\.\s?[^\W\d_]|, [^\W\d_]\.")
+_CODE = re.compile(r"\d{7}\d?-?[A-Z](?![^\W_])")
+_INITIAL_SIGN = re.compile(r"(?<![^\W_])[^\W\d_]\.\s?[^\W\d_]|,\s+[^\W\d_]\.")
 
 
 def worth_a_look(t: str, people: frozenset) -> tuple[bool, bool, bool, bool, bool]:
     """Whether email, address, id number, phone and name have to be looked for."""
     low = t.lower()
-    words = set(low.translate(_BREAKS).split())
-    mail = any(sign in low for sign in _MAIL_SIGNS)
-    place = not words.isdisjoint(_STREET_WORDS) or any(w.endswith(_STREET_ENDS) for w in words)
-    number = not words.isdisjoint(_ID_WORDS) or bool(_CODE.search(t))
+    words = _runs(low)
+    mail = any(sign in low for sign in _MAIL_SIGNS) or bool(_MAIL_AT.search(low))
+    place = not words.isdisjoint(_STREET_WORDS) or any(w.endswith(_STREET_ENDS) for w in words) or bool(_BOX.search(low))
+    number = not words.isdisjoint(_ID_WORDS) or "licen" in low or bool(_CODE.search(t))
     call = not words.isdisjoint(_CALL_WORDS) or bool(_DIAL.search(t)) or any(p in low for p in _CALL_PHRASES)
-    name = not words.isdisjoint(_NAME_WORDS) or bool(_INITIAL_SIGN.search(t)) or len(words & _known_words(people)) > 1
+    name = not words.isdisjoint(_NAME_WORDS) or bool(_INITIAL_SIGN.search(t)) or _may_know(words, people)
     return mail, place, number, call, name
 
 

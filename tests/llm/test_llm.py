@@ -310,6 +310,39 @@ def test_personal_spans(text, want):
     assert {k: "|".join(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("jane { at } example.org", "email"),
+        ("jane [  at ] example.org", "email"),
+        ("jane (\tat) example.org", "email"),
+        ("jane < at > example.org", "email"),
+        ("jane at\n\nexample dot org", "email"),
+        ("POBox 12, Ristador", "address"),
+        ("BP123 Ristador", "address"),
+        ("BP #12 Ristador", "address"),
+        ("Postfach12 Ristador", "address"),
+        ("avda. Nakpel 12, Ristador", "address"),
+        ("driverslicense: 12345678", "id_number"),
+        ("Smith,\nJ. wrote", "name"),
+        ("Smith,  J. wrote", "name"),
+        ("seen tari solek.", "name"),
+        ("(tari solek)", "name"),
+        ("tari solek!", "name"),
+        ("seen anne-li o'brien there", "name"),
+        ("seen ali ali there", "name"),
+    ],
+)
+def test_gates_only_save_work(monkeypatch, text, kind):
+    people = frozenset({("tari", "solek"), ("anne-li", "o'brien"), ("ali", "ali")})
+    got = personal.find_personal(text, people)
+    assert [k for _, _, k in got] == [kind]
+    monkeypatch.setattr(personal, "worth_a_look", lambda t, people: (True,) * 5)
+    for gate in ("_MAY_MAIL", "_MAY_ADDRESS", "_MAY_GERMAN"):
+        monkeypatch.setattr(personal, gate, re.compile(""))
+    assert personal.find_personal(text, people) == got
+
+
 def test_validators():
     assert personal.luhn("79927398713") and not personal.luhn("79927398710")
     assert personal.check_letter("12345678Z") and not personal.check_letter("12345678A")
