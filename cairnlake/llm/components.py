@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
     Every round rewires edges towards smaller nodes; a hub's edges are kept as
     rows and its minimum is found by a partial aggregate, so no node's
     neighbourhood is collected. Rounds grow as the logarithm of the diameter.
-    Self-loops make a node of its own; edges with a null end are left out.
+    Self-loops make a node of its own; edges with a null end are left out. Raises
+    if the last of ``max_rounds`` still changed edges.
     """
     e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     cur = stage(e, "edges")
@@ -34,4 +35,6 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         if sums == old:
             break
         old = sums
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return nodes.join(cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

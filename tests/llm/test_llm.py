@@ -154,6 +154,12 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 7} | {100 + i: 100 for i in range(51)}
 
 
+def test_components_raise_unless_settled(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        components.components(chain, "a", "b", max_rounds=2)
+
+
 # --------------------------------------------------- problems 3 and 7
 
 
