@@ -213,23 +213,22 @@ def similar_pairs(rows: DataFrame, id_col: str, text: str, share: int = 80, leas
     """(a, b): pairs of ids, smaller first, whose word sets are alike.
 
     Exact: no candidate is dropped by number. Texts of fewer than ``least``
-    different words, null and empty ones among them, are in no pair. Equal word
-    sets of at most ``expand`` members are written out in all pairs; a larger
-    group of copies is given by pairs with its smallest id, and stands in pairs
-    with other texts by that id alone.
+    different words, null and empty ones among them, are in no pair. Copies (equal
+    texts, to the letter) of at most ``expand`` members are written out in all
+    pairs; a larger group of copies is given by pairs with its smallest id, and
+    stands in pairs with other texts, of the same words or not, by that id alone.
     """
-    sets = stage(word_sets(rows, text, least, id_col), "sets")
-    members = stage(_one_set_each(sets, id_col), "members")
-    classes = members.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
-    shown = members.join(classes, "h").filter((F.col("size") <= expand) | (F.col("id") == F.col("first"))).select("h", "id")
+    sets = stage(word_sets(rows.withColumn("_copy", F.xxhash64(text)), text, least, id_col, "_copy"), "sets")
+    members = stage(sets.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.struct("h", "_copy")).alias("m")).select("id", "m.h", "m._copy"), "members")
+    classes = members.groupBy("h", "_copy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    known = members.join(classes, ["h", "_copy"])
+    shown = known.filter((F.col("size") <= expand) | (F.col("id") == F.col("first"))).select("h", "id")
     links = alike_sets(sets, share)
     left = shown.select(F.col("h").alias("a"), F.col("id").alias("i"))
     right = shown.select(F.col("h").alias("b"), F.col("id").alias("j"))
     across = links.join(left, "a").join(right, "b").select("i", "j")
-    copied = members.join(classes.filter("size > 1"), "h")
-    few, many = copied.filter(F.col("size") <= expand), copied.filter(F.col("size") > expand)
-    inside = few.select("h", F.col("id").alias("i")).join(few.select("h", F.col("id").alias("j")), "h").filter("i < j").select("i", "j")
-    star = many.filter("id <> first").select(F.col("first").alias("i"), F.col("id").alias("j"))
+    inside = shown.select("h", F.col("id").alias("i")).join(shown.select("h", F.col("id").alias("j")), "h").filter("i < j").select("i", "j")
+    star = known.filter((F.col("size") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("i"), F.col("id").alias("j"))
     return across.unionByName(inside).unionByName(star).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 

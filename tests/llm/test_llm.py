@@ -218,6 +218,15 @@ def test_large_copy_groups_by_star(spark):
     assert got == {(0, i) for i in range(1, 50)} | {(0, 60)}
 
 
+def test_only_exact_copies_are_shortened(spark):
+    words = [f"a{i}" for i in range(30)]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(20)] + [" ".join(words)] * 15 + [" ".join(words).replace("a1 ", "b1 ")]
+    df = spark.createDataFrame([*enumerate(texts)], "cid long, body string")
+    got = {(r.a, r.b) for r in neardup.similar_pairs(df, "cid", "body", 78, 22, expand=10).collect()}
+    shown = [*range(20), 35]  # 0 stands for its 15 copies
+    assert got == set(itertools.combinations(shown, 2)) | {(0, i) for i in range(20, 35)}
+
+
 @pytest.mark.parametrize("places", [64, 1])
 def test_batches_against_history(spark, monkeypatch, places):
     monkeypatch.setattr(history, "PLACES", places)
