@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + path
 
 
-def stage(df: DataFrame, name: str = "stage", sort_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", sort_by: list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` into the shared folder and read it back.
 
     Unlike ``checkpoint()`` the plan runs once, the files are columnar and a
@@ -53,7 +53,7 @@ def stage(df: DataFrame, name: str = "stage", sort_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
+    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path, partitionBy=partition_by)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
