@@ -1,14 +1,11 @@
 """Near-duplicate records with small edits (problem 7).
 
-Generalised pigeonhole over word sets. A record may lose d of its words, so of
-any d + k words an alike record has k. The words are the bits; the first d + 1
-in the global order get threshold zero, all others are left out, which is the
-cheapest allocation when cost is the document frequency. Where a single word has
-more than GROUP records, correlated words are joined to it: the signature
-becomes two words out of d + 2, three out of d + 3 and so on, until the counted
-group is small. Whether a signature is extended depends only on its count over
-all records, so both records of a pair always meet. Candidates are held against
-size, rank and sketch bounds where they arise, then verified on the word sets.
+Generalised pigeonhole over word sets: correlated words are grouped into
+partitions whose unequal thresholds are allocated by dynamic programming on
+estimated candidate counts (``signatures``). Records that share a signature meet,
+are held against size and sketch bounds, and what is left is verified on the
+texts. A signature with more than GROUP records is cut into blocks, and pairs of
+blocks are compared by different tasks, so no group is held by one.
 """
 
 from __future__ import annotations
@@ -20,193 +17,225 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import stage, unstage
 from .components import components
-from .wordsets import Batch, frequent_words, may_lose, may_match, spread, verified, word_sets
+from .signatures import CLASS, Plan, Words, plan_for, signatures, word_counts
+from .wordsets import verified, word_sets
 
-#: Records of a signature from which it is extended, and the most words of one;
-#: groups of the longest signatures are compared whatever their size.
-GROUP, DEEPEST = 1024, 4
-_SIGNED = "sig long, id long, meta long, s0 long, s1 long"
+#: Records of a signature that one task compares; of larger ones, of a block.
+GROUP = 8192
+#: Rows of signatures for a shuffle partition.
+SHARD_ROWS = 400_000
+#: Names a task remembers, so that copies in its input sign once.
+REMEMBERED = 200_000
+_SIGNED = "sig long, id long, s0 long, s1 long"
+_LARGEST = (1 << 16) - 1
 
 
 def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for v in columns.values()], names=list(columns))
 
 
-def _size_class(n: np.ndarray) -> np.ndarray:
-    """Powers of two from 64 words on; smaller records are one class."""
-    return np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64), 6)
+def _signed(sets: DataFrame, plan, share: int) -> DataFrame:
+    """(sig, id, s0, s1): a row per record and signature; sig ends in 16 bits of the record's size.
 
-
-def _signatures(sets: DataFrame, frequent, share: int) -> DataFrame:
-    """First-level signatures: one word of the d + 1 first, by size class.
-
-    A record also signs for the next class where an alike record may be in it.
-    meta packs words, rank and whether the class is the record's own.
+    ``plan``: broadcast. Equal sets of a task sign once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = Batch(batch.column("keys"), frequent.value)
             ids = batch.column("h").to_numpy(zero_copy_only=False)
-            use = b.place <= may_lose(b.n, share)[b.rec]
-            rec, word, place = b.rec[use], b.sorted[use], b.place[use]
-            own, far = _size_class(b.n), _size_class(100 * b.n // share)
-            for k in (0, 1):
-                pick = slice(None) if k == 0 else (far > own)[rec]
-                r, w, p = rec[pick], word[pick], place[pick]
-                sig = spread(w ^ spread((own[r] + k + 1).astype(np.uint64)))
-                yield _table(sig=sig, id=ids[r], meta=(b.n[r] << 32) | (p << 1) | (1 - k), s0=b.sketch0[r], s1=b.sketch1[r])
+            _, first = np.unique(ids, return_index=True)
+            fresh = np.sort(first[[h not in seen for h in ids[first].tolist()]]) if len(ids) else first
+            if not len(fresh):
+                continue
+            if len(seen) < REMEMBERED:
+                seen.update(ids[fresh].tolist())
+            for lo in range(0, len(fresh), 2000):
+                some = fresh[lo : lo + 2000]
+                w = Words(batch.column("keys").take(pa.array(some)), plan.value.counts)
+                rec, sig, _ = signatures(w, plan.value, share)
+                named = (sig & ~np.uint64(_LARGEST)) | np.minimum(w.n[rec], _LARGEST).astype(np.uint64)
+                yield _table(sig=named, id=ids[some][rec], s0=w.s0[rec], s1=w.s1[rec])
 
     return sets.select("h", "keys").mapInArrow(run, _SIGNED)
 
 
-def _prefixes(sets: DataFrame, frequent, share: int) -> DataFrame:
-    """(id, words, s0, s1): the first d + DEEPEST words of each record by rank."""
+def _close(n1, n2, differ, share: int) -> np.ndarray:
+    """False only where a pair can't be alike: sizes, and bits in which the sketches differ."""
+    big, small = np.maximum(n1, n2), np.minimum(n1, n2)
+    need = -(-share * big // 100)
+    return (big >= _LARGEST) | ((small >= need) & (differ <= n1 + n2 - 2 * need))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = Batch(batch.column("keys"), frequent.value)
-            length = np.minimum(may_lose(b.n, share) + DEEPEST, b.n)
-            use = b.place < length[b.rec]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(b.sorted[use].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), lists, pa.array(b.sketch0.view(np.int64)), pa.array(b.sketch1.view(np.int64))], names=["id", "words", "s0", "s1"])
-
-    return sets.select("h", "keys").mapInArrow(run, "id long, words array<long>, s0 long, s1 long")
-
-
-def _meet(signed: DataFrame, level: int, share: int, shards: int) -> DataFrame:
-    """kind 0: candidate pairs (x, y); kind 1: rows (x: signature, y: id, z: meta) of groups to extend."""
-    last = level >= DEEPEST
-
-    def pairs(sig, ids, meta, s0, s1) -> Iterator[pa.RecordBatch]:
-        n, rank, own = meta >> 32, (meta & 0xFFFFFFFF) >> 1, meta & 1
-        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
-        left = np.arange(len(sig))  # rows with a row of their group at this distance
-        for gap in range(1, len(sig)):
-            left = left[: np.searchsorted(left, len(sig) - gap)]
-            left = left[sig[left] == sig[left + gap]]
-            if not len(left):
-                return
-            i, j = left, left + gap
-            # a pair counts in the size class of its larger record
-            ok = np.where(n[i] >= n[j], own[i], own[j]) == 1
-            i, j = i[ok], j[ok]
-            ok = may_match(n[i], rank[i], n[j], rank[j], (s0[i], s1[i]), (s0[j], s1[j]), level, share)
-            i, j = i[ok], j[ok]
-            if len(i):
-                zero = np.zeros(len(i), np.int64)
-                yield _table(kind=zero, x=np.minimum(ids[i], ids[j]), y=np.maximum(ids[i], ids[j]), z=zero)
-
-    def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Whole groups: small ones give pairs, others go on to the next level."""
-        sig = cols[0]
-        if not len(sig):
+
+def _bits(s0, s1, i, j) -> np.ndarray:
+    return np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+
+
+def _few(group: np.ndarray, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) within runs of equal ``group``, by distance: for small groups."""
+    left = np.arange(len(group))
+    for gap in range(1, len(group)):
+        left = left[: np.searchsorted(left, len(group) - gap)]
+        left = left[group[left] == group[left + gap]]
+        if not len(left):
             return
-        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(edge, len(sig)))
-        many = np.repeat(size > GROUP, size) & (not last)
-        few = np.repeat(size > 1, size) & ~many
-        yield from pairs(*[c[few] for c in cols])
-        if many.any():
-            yield _table(kind=np.ones(many.sum(), np.int64), x=sig[many], y=cols[1][many], z=cols[2][many])
+        ok = _close(n[left], n[left + gap], _bits(s0, s1, left, left + gap), share)
+        yield left[ok], left[ok] + gap
+
+
+def _many(a: int, b: int, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of the rows a to b, sorted by size, in tiles."""
+    for i in range(a, b, 512):
+        e = min(i + 512, b)
+        stop = b if n[e - 1] * 100 // share >= _LARGEST else a + int(np.searchsorted(n[a:b], 100 * n[e - 1] // share, "right"))
+        differ = np.bitwise_count(s0[i:e, None] ^ s0[None, i:stop]) + np.bitwise_count(s1[i:e, None] ^ s1[None, i:stop])
+        bound = 255 if n[e - 1] >= _LARGEST else min(255, int(2 * n[e - 1] - 2 * (share * n[e - 1] // 100)) + 2)
+        r, c = np.nonzero(differ <= bound)
+        keep = c > r
+        r, c = r[keep] + i, c[keep] + i
+        ok = _close(n[r], n[c], _bits(s0, s1, r, c), share)
+        yield r[ok], c[ok]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[str, list[np.ndarray]]]:
+    """("whole", rows of whole groups) of a stream sorted by its first column; ("part", rows) of groups of more than ``most`` rows."""
+    held: list[list[np.ndarray]] = []
+    rows, crowded = 0, None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if crowded is not None:
+            stop = int(np.searchsorted(cols[0], crowded, "right"))
+            if stop:
+                yield "part", [c[:stop] for c in cols]
+            cols = [c[stop:] for c in cols]
+            crowded = crowded if not len(cols[0]) else None
+        if not len(cols[0]):
+            continue
+        held.append(cols)
+        rows += len(cols[0])
+        if rows < 100_000 and (most is None or held[0][0][0] != cols[0][-1] or rows <= most):
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if cut:
+            yield "whole", [c[:cut] for c in cols]
+        cols = [c[cut:] for c in cols]
+        held, rows = [cols], len(cols[0])
+        if most is not None and rows > most:
+            crowded = cols[0][-1]
+            yield "part", cols
+            held, rows = [], 0
+    if held:
+        yield "whole", [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((y, x))
+    x, y = x[by], y[by]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new]
+
+
+def _compared(cols: list[np.ndarray], group: np.ndarray, share: int, most: int, block: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """kind 0: candidate pairs (x, y) of whole groups; kind 1: the rows of groups of more than ``most``."""
+    sig, ids, s0, s1 = cols[0], cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64)
+    n = sig & _LARGEST
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(edge, len(group)))
+    few = np.repeat((size > 1) & (size <= 32), size)
+    at = np.flatnonzero(few)
+    found = [(at[i], at[j]) for i, j in _few(group[at], n[at], s0[at], s1[at], share)] if len(at) else []
+    for g in np.flatnonzero((size > 32) & (size <= most)):
+        found += _many(edge[g], edge[g] + size[g], n, s0, s1, share)
+    if found:
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        ok = ids[i] != ids[j]
+        if block is not None:  # a cell of two blocks pairs one with the other
+            ok &= (block[i] != block[j]) | (cols[4][i] == cols[5][i])
+        i, j = i[ok], j[ok]
+        if len(i):
+            x, y = _distinct(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
+            zero = np.zeros(len(x), np.int64)
+            yield _table(kind=zero, sig=zero, x=x, y=y, s0=zero, s1=zero)
+    large = np.repeat(size > most, size)
+    if large.any():
+        yield _table(kind=np.ones(large.sum(), np.int64), sig=sig[large], x=ids[large], y=np.zeros(large.sum(), np.int64), s0=s0[large], s1=s1[large])
+
+
+_MET = "kind long, sig long, x long, y long, s0 long, s1 long"
+
+
+def _meet(signed: DataFrame, shards: int, share: int, most: int) -> DataFrame:
+    """kind 0: candidate pairs (x, y); kind 1: rows of crowded signatures (sig, x: id, s0, s1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # rows of groups that may go on
-        rows, crowded = 0, None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if crowded is not None and not last:  # more of a group known to be large
-                more = cols[0] == crowded
-                if more.any():
-                    yield _table(kind=np.ones(more.sum(), np.int64), x=cols[0][more], y=cols[1][more], z=cols[2][more])
-                    cols = [c[~more] for c in cols]
-                if not len(cols[0]):
-                    continue
-                crowded = None
-            if not len(cols[0]):
-                continue
-            held.append(cols)
-            rows += len(cols[0])
-            if held[0][0][0] == cols[0][-1] and (last or rows <= GROUP):
-                continue  # still one group
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-            cols = [c[fresh] for c in cols]  # equal sets sign alike
-            tail = cols[0] == cols[0][-1]
-            if tail.all() and not last and len(tail) > GROUP:
-                crowded = cols[0][-1]
-                yield from settle(cols)
-                held, rows = [], 0
-                continue
-            yield from settle([c[~tail] for c in cols])
-            held, rows = [[c[tail] for c in cols]], int(tail.sum())
-            if rows > GROUP and not last:
-                crowded = cols[0][-1]
-                yield from settle(held[0])
-                held, rows = [], 0
-        if held:
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-            yield from settle([c[fresh] for c in cols])
+        # the stream is sorted by signature and size; groups are those of the signature
+        def named() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    sig = b.column("sig").to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig >> 16), *b.columns], names=["g", *b.schema.names])
+
+        for what, cols in _groups(named(), most):
+            if what == "part":
+                some = np.ones(len(cols[0]), np.int64)
+                yield _table(kind=some, sig=cols[1], x=cols[2], y=0 * some, s0=cols[3], s1=cols[4])
+            else:
+                yield from _compared(cols[1:], cols[0], share, most)
+
+    return signed.repartition(shards, F.shiftright("sig", 16)).sortWithinPartitions("sig").mapInArrow(run, _MET)
+
+
+def _blocks(crowded: DataFrame, share: int, most: int) -> DataFrame:
+    """Candidate pairs (a, b) of crowded signatures: every record goes to the cells of its block with each other one."""
+    rows = crowded.select("sig", F.col("x").alias("id"), "s0", "s1").distinct().withColumn("g", F.shiftright("sig", 16))
+    count = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) * 2 / most).cast("int").alias("blocks"))
+    own = rows.join(count, "g").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("long"))
+    other = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    cell = other.select("g", "sig", "id", "s0", "s1", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
+    cell = cell.withColumn("c", F.xxhash64("g", "lo", "hi"))
+    size = F.col("sig").bitwiseAND(_LARGEST)
 
-    return signed.repartition(shards, "sig").sortWithinPartitions("sig", "id").mapInArrow(run, "kind long, x long, y long, z long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in _groups(batches, None):
+            c, sig, ids, s0, s1, lo, hi, block, _ = cols
+            yield from _compared([sig, ids, s0, s1, lo, hi], c, share, len(c) + 1, block)
 
+    spread_out = cell.select("c", "sig", "id", "s0", "s1", "lo", "hi", "block", size.alias("size")).repartition("c").sortWithinPartitions("c", "size")
+    return spread_out.mapInArrow(run, _MET).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-def _extend(crowded: DataFrame, prefixes: DataFrame, level: int, share: int) -> DataFrame:
-    """Signatures of level + 1: each crowded one with one more word of higher rank."""
-    per = crowded.groupBy(F.col("y").alias("id")).agg(F.collect_set(F.struct(F.col("x").alias("sig"), F.col("z").alias("meta"))).alias("hot"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, s0, s1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "s0", "s1"))
-            words, hot = batch.column("words"), batch.column("hot")
-            at = words.offsets.to_numpy().astype(np.int64)
-            flat = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            h = hot.offsets.to_numpy().astype(np.int64)
-            rec = np.repeat(np.arange(len(ids)), np.diff(h))
-            sig = hot.values.field(0).to_numpy(zero_copy_only=False)[h[0] : h[-1]].view(np.uint64)
-            meta = hot.values.field(1).to_numpy(zero_copy_only=False)[h[0] : h[-1]]
-            n, rank, own = meta >> 32, (meta & 0xFFFFFFFF) >> 1, meta & 1
-            children = np.maximum(np.minimum(may_lose(n, share) + level, n - 1) - rank, 0)
-            row = np.repeat(np.arange(len(sig)), children)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(children) - children, children)
-            new = rank[row] + 1 + nth
-            for cut in range(0, len(row), 200_000):
-                r, q = row[cut : cut + 200_000], new[cut : cut + 200_000]
-                w = flat[at[rec[r]] + q]
-                yield _table(sig=spread(sig[r] ^ spread(w)), id=ids[rec[r]], meta=(n[r] << 32) | (q << 1) | own[r], s0=s0[rec[r]], s1=s1[rec[r]])
-
-    return per.join(prefixes, "id").select("id", "words", "s0", "s1", "hot").mapInArrow(run, _SIGNED)
-
-
-def alike_sets(sets: DataFrame, share: int) -> DataFrame:
-    """(a, b, shared): all pairs a < b of different word sets that are alike. ``sets``: a staged ``word_sets``."""
-    spark = sets.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_words(sets))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed, found = _signatures(sets, frequent, share), None
-    for level in range(1, DEEPEST + 1):
-        met = stage(_meet(signed, level, share, shards), "met")
-        new = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = new if found is None else found.union(new)
-        crowded = met.filter("kind = 1")
-        if level == DEEPEST or crowded.isEmpty():
-            break
-        signed = _extend(crowded, _prefixes(sets, frequent, share), level, share)
-    return verified(found.filter("a <> b"), sets, share)
+def plan_of(sets: DataFrame, share: int) -> tuple[Plan, int]:
+    """(the plan for all records of staged ``sets``, how many there are)."""
+    small = F.when(F.col("n") < CLASS, F.col("n"))
+    total = sets.agg(F.count(F.lit(1)).alias("rows"), F.avg(small).alias("small"), F.avg("n").alias("mean")).first()
+    return plan_for(word_counts(sets), total["rows"], float(total["small"] or total["mean"] or 1), share), total["rows"]
 
 
-def _one_set_each(sets: DataFrame, id_col: str) -> DataFrame:
-    """(id, h): rows that repeat an id are one message (the greatest set name, should they differ)."""
-    return sets.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("h").alias("h"))
+def candidates(sets: DataFrame, share: int, most: int = GROUP) -> DataFrame:
+    """(a, b): pairs of set names that share a signature and pass the bounds, staged. ``sets``: staged ``word_sets``."""
+    spark = sets.sparkSession
+    plan, rows = plan_of(sets, share)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * plan.rows_each * 1.5 / SHARD_ROWS) + 1)
+    met = stage(_meet(_signed(sets, spark.sparkContext.broadcast(plan), share), shards, share, most), "met")
+    found, crowded = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), met.filter("kind = 1")
+    if not crowded.isEmpty():
+        found = found.unionByName(_blocks(crowded, share, most))
+    out = stage(found.distinct(), "candidates")
+    unstage(met)
+    return out
+
+
+def alike_sets(sets: DataFrame, rows: DataFrame, id_col: str, text: str, names: DataFrame, share: int) -> DataFrame:
+    """(a, b, shared): all pairs a < b of names of different word sets that are alike; see ``verified`` for ``names``."""
+    found = candidates(sets, share)
+    unstage(sets)
+    out = verified(found, rows, id_col, text, names, share)
+    unstage(found)
+    return out
 
 
 def similar_pairs(rows: DataFrame, id_col: str, text: str, share: int = 80, least: int = 1, expand: int = 200) -> DataFrame:
@@ -218,16 +247,19 @@ def similar_pairs(rows: DataFrame, id_col: str, text: str, share: int = 80, leas
     pairs; a larger group of copies is given by pairs with its smallest id, and
     stands in pairs with other texts, of the same words or not, by that id alone.
     """
-    sets = stage(word_sets(rows.withColumn("_copy", F.xxhash64(text)), text, least, id_col, "_copy"), "sets")
-    members = stage(sets.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.struct("h", "_copy")).alias("m")).select("id", "m.h", "m._copy"), "members")
+    known_ids = rows.filter(F.col(id_col).isNotNull())
+    sets = stage(word_sets(known_ids.withColumn("_copy", F.xxhash64(text)), text, least, id_col, "_copy"), "sets")
+    members = stage(sets.groupBy(F.col(id_col).alias("id")).agg(F.max(F.struct("h", "_copy")).alias("m")).select("id", "m.h", "m._copy"), "members")
     classes = members.groupBy("h", "_copy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
     known = members.join(classes, ["h", "_copy"])
     shown = known.filter((F.col("size") <= expand) | (F.col("id") == F.col("first"))).select("h", "id")
-    links = alike_sets(sets, share)
+    names = members.groupBy("h").agg(F.min("id").alias("id"))
+    links = alike_sets(sets, known_ids, id_col, text, names, share)
     left = shown.select(F.col("h").alias("a"), F.col("id").alias("i"))
     right = shown.select(F.col("h").alias("b"), F.col("id").alias("j"))
     across = links.join(left, "a").join(right, "b").select("i", "j")
-    inside = shown.select("h", F.col("id").alias("i")).join(shown.select("h", F.col("id").alias("j")), "h").filter("i < j").select("i", "j")
+    several = shown.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("h"), "h", "left_semi")
+    inside = several.select("h", F.col("id").alias("i")).join(several.select("h", F.col("id").alias("j")), "h").filter("i < j").select("i", "j")
     star = known.filter((F.col("size") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("i"), F.col("id").alias("j"))
     return across.unionByName(inside).unionByName(star).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
@@ -238,10 +270,11 @@ def similar_groups(rows: DataFrame, id_col: str, text: str, share: int = 80, lea
     group_id is the smallest id reachable over links between alike texts; links
     counts other texts (not copies) that are alike, each text once.
     """
-    sets = stage(word_sets(rows, text, least, id_col), "sets")
-    members = stage(_one_set_each(sets, id_col), "members")
+    known_ids = rows.filter(F.col(id_col).isNotNull())
+    sets = stage(word_sets(known_ids, text, least, id_col), "sets")
+    members = stage(sets.groupBy(F.col(id_col).alias("id")).agg(F.max("h").alias("h")), "members")
     classes = stage(members.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")), "classes")
-    links = stage(alike_sets(sets, share), "links")
+    links = alike_sets(sets, known_ids, id_col, text, classes.select("h", F.col("first").alias("id")), share)
     ends = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     name = classes.select("h", "first")
     by_id = links.join(name.withColumnRenamed("h", "a").withColumnRenamed("first", "i"), "a").join(name.withColumnRenamed("h", "b").withColumnRenamed("first", "j"), "b")

@@ -1,119 +1,61 @@
-"""Word sets of messages: hashed words, a global order, sketches and prefixes.
+"""Word sets of messages: hashed words, and the exact check of candidate pairs.
 
 Shared by the operators on nearly equal texts. A record is a set of words;
-records are alike if the words in both are at least ``share`` of the words in
-either. A pair that is alike shares, for every k, at least k of the d + k words
-of each that come first in any global order, d being the words a record may
-lose. The order puts rare words first; it only decides cost, never results.
+records are alike if the words in both are at least ``share`` percent of the
+words in either. Candidates are looked for on 32 bits of a word's hash (words
+that fall together only add candidates); the check is on 64 bits, from the text.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import stage, unstage
 from .text import words
 
-#: A word is frequent from this share of the records on: at most
-#: (mean words of a record) / FREQUENT words, so the list may be broadcast.
-FREQUENT = 1 / 20_000
-#: Names of asked sets up to which they are sent to every task (8 MB); more are joined by shuffle.
+#: Names of asked records up to which they are sent to every task (8 MB); more are joined by shuffle.
 SENT = 500_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(text: str):
+    return F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
 
 
 def word_sets(rows: DataFrame, text: str, least: int, *keep: str) -> DataFrame:
-    """(kept columns, h, n, keys): distinct hashed words in order of first use.
+    """(kept columns, h, n, keys array<int>): the distinct words of each record, hashed, sorted.
 
     Records of fewer than ``least`` different words, null and empty texts among
     them, are left out. ``h`` names the set: rows with equal word sets share it.
     """
-    keys = F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
-    sets = rows.select(*keep, keys.alias("keys")).filter(F.size("keys") >= least)
-    return sets.select(*keep, F.xxhash64(F.array_sort("keys")).alias("h"), F.size("keys").alias("n"), "keys")
-
-
-def frequent_words(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes sorted, their rank by document frequency, rarest first), counted over all records."""
-    total = sets.count()
-    counts = sets.select(F.explode("keys").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= max(2.0, total * FREQUENT))
-    got = counts.toPandas().sort_values(["c", "w"])  # bounded, see FREQUENT
-    w = got["w"].to_numpy(np.int64)
-    by_hash = np.argsort(w)
-    return w[by_hash], by_hash.astype(np.uint64)
-
-
-def spread(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of unsigned values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+    sets = rows.select(*keep, F.array_sort(_hashed(text)).alias("_k")).filter(F.size("_k") >= least)
+    return sets.select(*keep, F.xxhash64("_k").alias("h"), F.size("_k").alias("n"), F.transform("_k", lambda k: F.shiftright(k, 32).cast("int")).alias("keys"))
 
-def may_lose(n: np.ndarray, share: int) -> np.ndarray:
-    """Words of a record of n that an alike record need not have; share in percent."""
-    return n - -(-share * n // 100)
 
-
-class Batch:
-    """Records of one Arrow batch, flat, with order and sketches."""
-
-    def __init__(self, keys: pa.ListArray, frequent: tuple[np.ndarray, np.ndarray]):
-        offsets = keys.offsets.to_numpy().astype(np.int64)
-        flat = keys.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-        self.start = offsets[:-1] - offsets[0]
-        self.n = np.diff(offsets)
-        self.rec = np.repeat(np.arange(len(self.n)), self.n)
-        known, rank = frequent
-        raw = flat.view(np.uint64)
-        order = raw >> np.uint64(2)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-            hit = known[at] == flat
-            order = np.where(hit, (np.uint64(1) << np.uint64(62)) + rank[at], order)
-        self.text_order = order  # by place in the text
-        by = np.lexsort((order, self.rec))
-        self.sorted = order[by]  # by rank, within each record
-        self.source = by - self.start[self.rec]  # place in the text of the word at this rank
-        self.place = np.arange(len(order)) - self.start[self.rec]
-        # parity sketch: a word flips one of 128 bits, so sketches of two sets
-        # differ in at most as many bits as the sets do in words
-        bit = (raw * _MIX) >> np.uint64(57)
-        flip = np.uint64(1) << (bit & np.uint64(63))
-        if len(self.n):
-            self.sketch0 = np.bitwise_xor.reduceat(np.where(bit < 64, flip, np.uint64(0)), self.start)
-            self.sketch1 = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), flip), self.start)
-        else:
-            self.sketch0 = self.sketch1 = np.zeros(0, np.uint64)
-
-
-def may_match(n1, p1, n2, p2, s1, s2, level: int, share: int) -> np.ndarray:
-    """False only where a pair can't be alike.
-
-    n: words, p: rank of the level-th shared word, s: the two sketch columns.
-    """
-    big, small = np.maximum(n1, n2), np.minimum(n1, n2)
-    need = -(-share * big // 100)
-    ok = (small >= need) & (level + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
-    differ = np.bitwise_count(s1[0] ^ s2[0]).astype(np.int64) + np.bitwise_count(s1[1] ^ s2[1])
-    return ok & (differ <= n1 + n2 - 2 * need)
+def word_sets64(rows: DataFrame, text: str, least: int, *keep: str) -> DataFrame:
+    """As ``word_sets``, with the 64-bit hashes as k, for records that are kept to be compared."""
+    sets = rows.select(*keep, F.array_sort(_hashed(text)).alias("k")).filter(F.size("k") >= least)
+    return sets.select(*keep, F.xxhash64("k").alias("h"), F.size("k").alias("n"), "k", F.transform("k", lambda k: F.shiftright(k, 32).cast("int")).alias("keys"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, id_col: str, text: str, names: DataFrame, share: int) -> DataFrame:
     """(a, b, shared): the pairs of set names whose words in both reach the share.
 
-    Word lists travel once, by set name; equal sets are folded before.
+    ``rows``: id, text; ``names`` (h, id): a row of each set. Only the asked rows
+    are read out of ``rows`` with their text, each once.
     """
     pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(names, "h").select(F.col("id").alias(id_col), "h")
     if 2 * pairs.count() <= SENT:
         asked = F.broadcast(asked)
-    lists = sets.select("h", "n", "keys").join(asked, "h", "left_semi").groupBy("h").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
-    one = lists.select(F.col("h").alias("a"), F.col("keys").alias("k1"), F.col("n").alias("n1"))
-    two = lists.select(F.col("h").alias("b"), F.col("keys").alias("k2"), F.col("n").alias("n2"))
-    both = pairs.join(one, "a").join(two, "b")
+    found = rows.select(id_col, text).join(asked, id_col).select("h", F.array_sort(_hashed(text)).alias("k"))
+    # a repeated id may have another text: the name tells which row is meant
+    lists = found.filter(F.xxhash64("k") == F.col("h")).groupBy("h").agg(F.first("k").alias("k"))
+    lists = stage(lists, "lists")
+    one = lists.select(F.col("h").alias("a"), F.col("k").alias("k1"))
+    two = lists.select(F.col("h").alias("b"), F.col("k").alias("k2"))
     shared = F.size(F.array_intersect("k1", "k2"))
-    return both.select("a", "b", "n1", "n2", shared.alias("shared")).filter(100 * F.col("shared") >= share * F.greatest("n1", "n2")).select("a", "b", "shared")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("k1").alias("n1"), F.size("k2").alias("n2"), shared.alias("shared"))
+    out = stage(both.filter(100 * F.col("shared") >= share * F.greatest("n1", "n2")).select("a", "b", "shared"), "alike")
+    unstage(pairs, lists)
+    return out

@@ -6,10 +6,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlake.llm import clusters, components, conversations, history, neardup, neighbours, packing, personal, reading, splitting, tokens
+from cairnlake.llm import clusters, components, conversations, history, neardup, neighbours, packing, personal, reading, signatures, splitting, tokens
+from cairnlake.llm.wordsets import word_sets
+from cairnlake.runtime import stage
 
 CLASH = ("id", "h", "n", "keys", "node", "size")
 
@@ -187,10 +190,7 @@ def alike(a, b, least=22, share=78):
     return len(a) >= least and len(b) >= least and 100 * len(a & b) >= share * max(len(a), len(b))
 
 
-@pytest.mark.parametrize("group, deepest", [(128, 4), (2, 4), (2, 2)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, group, deepest):
-    monkeypatch.setattr(neardup, "GROUP", group)
-    monkeypatch.setattr(neardup, "DEEPEST", deepest)
+def test_near_duplicates_equal_brute_force(spark):
     texts = edited_texts(random.Random(5))
     sets = [words_of(t) for t in texts]
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(sets[a], sets[b])}
@@ -227,9 +227,50 @@ def test_only_exact_copies_are_shortened(spark):
     assert got == set(itertools.combinations(shown, 2)) | {(0, i) for i in range(20, 35)}
 
 
-@pytest.mark.parametrize("places", [64, 1])
-def test_batches_against_history(spark, monkeypatch, places):
-    monkeypatch.setattr(history, "PLACES", places)
+@pytest.mark.parametrize("most", [8192, 4])
+def test_crowded_signatures_are_compared_in_blocks(spark, most):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(36)]
+    texts = [" ".join(rng.sample(words, 28)) for _ in range(150)]
+    sets = [words_of(t) for t in texts]
+    staged = stage(word_sets(spark.createDataFrame([*enumerate(texts)], "cid long, body string"), "body", 22, "cid"))
+    names = {r.h: r.cid for r in staged.collect()}
+    got = {tuple(sorted((names[r.a], names[r.b]))) for r in neardup.candidates(staged, 78, most).collect()}
+    assert {(a, b) for a, b in itertools.combinations(range(150), 2) if alike(sets[a], sets[b])} <= got
+
+
+@pytest.mark.parametrize("mean", [24, 60, 200])
+def test_alike_sets_share_signatures_and_coverage(mean):
+    rng = random.Random(mean)
+    vocabulary = [rng.randrange(-(2**31), 2**31) for _ in range(500)]
+    base = [sorted(rng.sample(vocabulary, rng.randint(22, 2 * mean - 22))) for _ in range(60)]
+    sets = list(base)
+    for b in base:
+        lose = len(b) - -(-78 * len(b) // 100)
+        kept = rng.sample(b, len(b) - rng.randint(0, lose))
+        sets.append(sorted({*kept, *rng.sample(vocabulary, rng.randint(0, max(0, len(b) - len(kept))))}))
+    keys = pa.array(sets, pa.list_(pa.int32()))
+    counts = np.bincount(np.concatenate(sets) & (signatures.BUCKETS - 1), minlength=signatures.BUCKETS)
+    n = np.array([len(s) for s in sets])
+    plan = signatures.plan_for(counts, len(sets), float(n.mean()), 78)
+    other = signatures.Plan(counts, [signatures.Tier(8, 1, 1), signatures.Tier(20, 7, 2), signatures.Tier(float("inf"), 40, 4)], 1, [[signatures.Tier(float("inf"), 60, 3)]])
+    for p in (plan, other):
+        rec, sig, cover = signatures.signatures(signatures.Words(keys, counts), p, 78)
+        own = [set(sig[rec == i].tolist()) for i in range(len(sets))]
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if alike(set(sets[i]), set(sets[j])):
+                assert len(own[i] & own[j]) >= min(cover[i], cover[j]) >= 1
+
+
+def test_allocation_prefers_rare_words():
+    occurrences = np.array([6.0, 0, 0, 0, 0, 0, 4, 10, 10, 10])
+    tiers, rows = signatures.allocate(occurrences, 2.0 ** (np.arange(10) + 1) - 1, 1000, 5)
+    assert tiers[0].common == 1 and rows <= 6
+    tiers, _ = signatures.allocate(occurrences, 1000 * (2.0 ** (np.arange(10) + 1) - 1), 1_000_000, 9)
+    assert max(t.common for t in tiers) > 1  # more of frequent words must be shared
+
+
+def test_batches_against_history(spark):
     rng = random.Random(7)
     texts = edited_texts(rng)
     batch = {s: rng.randint(1, 6) for s in range(30)}
@@ -239,55 +280,47 @@ def test_batches_against_history(spark, monkeypatch, places):
     want = {i for i in range(len(texts)) for j in range(len(texts)) if at[i] and at[j] and at[j] < at[i] and alike(sets[i], sets[j])}
     rows = with_clash(spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(zip(session, texts, strict=True))] * 2, "cid long, sid long, body string"))
     intake = spark.createDataFrame([*batch.items(), (0, batch[0]), (None, 1)], "sid long, no int")
-    got = {r.id for r in history.repeated_messages(rows, intake, "cid", "sid", "body", "no", 78, 22).collect()}
-    assert got <= want
-    # with one place only, narrowing follows the text's order, which the edits shuffle
-    assert len(got) >= (len(want) if places == 64 else 0.3 * len(want))
+    assert {r.id for r in history.repeated_messages(rows, intake, "cid", "sid", "body", "no", 78, 22).collect()} == want
     assert history.repeated_messages(rows.limit(0), intake, "cid", "sid", "body", "no", 78, 22).count() == 0
 
 
-@pytest.mark.parametrize("places, depth", [(64, 4), (1, 4), (1, 2)])
-def test_reordered_repeat_among_many_places(spark, monkeypatch, places, depth):
-    # the repeats are in another order, and 100 unlike texts share their rare words
-    monkeypatch.setattr(history, "PLACES", places)
-    monkeypatch.setattr(history, "DEPTH", depth)
+def test_history_where_every_word_is_frequent_and_shuffled(spark, tmp_path):
     rng = random.Random(17)
-    rare, common = [f"r{i}" for i in range(10)], [f"w{i}" for i in range(40)]
-    texts = [" ".join(rng.sample(rare + rng.sample(common, 20), 30)) for _ in range(100)] + [" ".join(rng.sample(common, 24)) for _ in range(300)]
-    base = rng.sample(common, 20)
-    texts.append(" ".join(rare + base))
-    texts += [" ".join(rng.sample(rare + base[: 20 - k // 2], 30 - k // 2)) for k in range(12)]
-    sets = [words_of(t) for t in texts]
-    at = [1] * 401 + [2 + k % 3 for k in range(12)]
-    want = {i for i in range(len(texts)) for j in range(len(texts)) if at[j] < at[i] and alike(sets[i], sets[j])}
-    rows = spark.createDataFrame([(i, at[i], t) for i, t in enumerate(texts)], "cid long, sid long, body string")
-    intake = spark.createDataFrame([(n, n) for n in set(at)], "sid long, no int")
-    assert len(want) >= 12
-    assert {r.id for r in history.repeated_messages(rows, intake, "cid", "sid", "body", "no", 78, 22).collect()} == want
-
-
-@pytest.mark.parametrize("places", [64, 1])
-def test_batches_against_history_miss_none(spark, monkeypatch, places):
-    monkeypatch.setattr(history, "PLACES", places)
-    texts = [t for t in edited_texts(random.Random(7)) if t]
-    sets = [words_of(t) for t in texts]
-    at = [random.Random(i).randint(1, 6) for i in range(len(texts))]
-    want = {i for i in range(len(texts)) for j in range(len(texts)) if at[j] < at[i] and alike(sets[i], sets[j])}
-    rows = spark.createDataFrame([(i, at[i], t) for i, t in enumerate(texts)], "cid long, sid long, body string")
-    intake = spark.createDataFrame([(n, n) for n in range(1, 7)], "sid long, no int")
-    assert {r.id for r in history.repeated_messages(rows, intake, "cid", "sid", "body", "no", 78, 22).collect()} == want
-
-
-def test_suffix_arrays_merge_logarithmically():
-    rng = np.random.default_rng(1)
-    h = history.History()
-    parts = [{k: rng.integers(0, 50, 20) for k in history.SuffixArray.COLS} for _ in range(13)]
-    for n, p in enumerate(parts, 1):
-        h.append(history.SuffixArray(p))
-        assert len(h.arrays) == bin(n).count("1") and sum(map(len, h.arrays)) == 20 * n
-    words = np.sort(np.concatenate([p["word"] for p in parts]))
-    got = sum((a.places(np.arange(50), np.zeros(50, np.int64))[1] - a.places(np.arange(50), np.zeros(50, np.int64))[0]) for a in h.arrays)
-    assert got.tolist() == [int((words == w).sum()) for w in range(50)]
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, 30)) for _ in range(600)]
+    edited = []
+    for t in texts[:200]:
+        w = t.split()
+        w[rng.randrange(30)] = "other"
+        rng.shuffle(w)
+        edited.append(" ".join(w))
+    h = history.History(spark, f"file://{tmp_path}/index", 78, 22)
+    frame = lambda ts, start: spark.createDataFrame([(start + i, t) for i, t in enumerate(ts)], "cid long, body string")
+    assert h.add(frame(texts, 0), "cid", "body", 1).count() == 0
+    got = {r.id: r.earliest for r in h.add(frame(edited, 1000), "cid", "body", 2).collect()}
+    assert got == dict.fromkeys(range(1000, 1200), 1)
+
+
+def test_history_is_kept_in_files_and_merged(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    text = lambda n: " ".join(f"t{n}x{i}" for i in range(30))
+    for b in range(7):
+        rows = spark.createDataFrame([(10 * b + i, text(5 * b + i)) for i in range(5)] + [(10 * b + 7, text(0) + " more")], "cid long, body string")
+        h = history.History(spark, folder, 78, 22)  # each batch opens the written index
+        got = {r.id: r.earliest for r in h.add(rows, "cid", "body", b).collect()}
+        assert got == ({10 * b + 7: 0} if b else {})
+    assert [a["weight"] for a in h.arrays] == [4, 2, 1]
+    assert len(list((tmp_path / "index").glob("part-*"))) == 3
+
+
+def test_lookup_reads_only_the_row_groups_asked_for(tmp_path):
+    store, root = history._files(f"file://{tmp_path}")
+    sig = np.arange(100_000, dtype=np.int64) << 20
+    table = pa.table({"sig": sig, "id": sig, "s0": sig, "s1": sig, "need": np.ones(len(sig), np.int8)}, schema=history._ARRAY)
+    history._write(store, f"{root}/a.parquet", history._ARRAY, iter([table]), 1000)
+    file = history.SortedFile(store, f"{root}/a.parquet")
+    asked = np.array([5, 1500, 1700, 99_999], np.int64) << 20
+    assert [(g, some.tolist()) for g, some in file.touched(asked, asked)] == [(0, [0]), (1, [1, 2]), (99, [3])]
 
 
 # ------------------------------------------------------------- problem 4
