@@ -28,17 +28,20 @@ GROUP = 8192
 SHARD_ROWS = 400_000
 #: Names a task remembers, so that copies in its input sign once.
 REMEMBERED = 200_000
-_SIGNED = "sig long, id long, s0 long, s1 long"
+_SIGNED = "sig long, id long, s0 long, s1 long, more binary"
 _LARGEST = (1 << 16) - 1
 
 
-def _table(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for v in columns.values()], names=list(columns))
+def _table(**columns) -> pa.RecordBatch:
+    """A batch of numbers; Arrow arrays are taken as they are."""
+    as_long = lambda v: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64))
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else as_long(v) for v in columns.values()], names=list(columns))
 
 
 def _signed(sets: DataFrame, plan, share: int) -> DataFrame:
-    """(sig, id, s0, s1): a row per record and signature; sig ends in 16 bits of the record's size.
+    """(sig, id, s0, s1, more): a row per record and signature; sig ends in 16 bits of the record's size.
 
+    s0, s1 and more are the record's sketch and, for large ones, a wider one.
     ``plan``: broadcast. Equal sets of a task sign once.
     """
 
@@ -57,7 +60,7 @@ def _signed(sets: DataFrame, plan, share: int) -> DataFrame:
                 w = Words(batch.column("keys").take(pa.array(some)), plan.value.counts)
                 rec, sig, _ = signatures(w, plan.value, share)
                 named = (sig & ~np.uint64(_LARGEST)) | np.minimum(w.n[rec], _LARGEST).astype(np.uint64)
-                yield _table(sig=named, id=ids[some][rec], s0=w.s0[rec], s1=w.s1[rec])
+                yield _table(sig=named, id=ids[some][rec], s0=w.s0[rec], s1=w.s1[rec], more=w.wide().take(pa.array(rec)))
 
     return sets.select("h", "keys").mapInArrow(run, _SIGNED)
 
@@ -73,6 +76,21 @@ def _bits(s0, s1, i, j) -> np.ndarray:
     return np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
 
 
+def _wide_bits(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Bits in which the wide sketches of the pairs differ, the wider one folded to the other; 0 where one has none."""
+    out = np.zeros(len(i), np.int64)
+    width = np.array([len(m) if m is not None else 0 for m in more])
+    wide = np.flatnonzero((width[i] > 0) & (width[j] > 0))
+    for one, two in set(zip(width[i[wide]].tolist(), width[j[wide]].tolist(), strict=True)):
+        at = wide[(width[i[wide]] == one) & (width[j[wide]] == two)]
+        to = min(one, two)
+        for lo in range(0, len(at), 100_000):
+            some = at[lo : lo + 100_000]
+            x, y = (np.frombuffer(b"".join(more[r].tolist()), np.uint64).reshape(len(some), -1, to // 8) for r in (i[some], j[some]))
+            out[some] = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1)
+    return out
+
+
 def _few(group: np.ndarray, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) within runs of equal ``group``, by distance: for small groups."""
     left = np.arange(len(group))
@@ -139,9 +157,9 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], y[new]
 
 
-def _compared(cols: list[np.ndarray], group: np.ndarray, share: int, most: int, block: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _compared(cols: list[np.ndarray], group: np.ndarray, share: int, most: int, block: tuple[np.ndarray, ...] | None = None) -> Iterator[pa.RecordBatch]:
     """kind 0: candidate pairs (x, y) of whole groups; kind 1: the rows of groups of more than ``most``."""
-    sig, ids, s0, s1 = cols[0], cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64)
+    sig, ids, s0, s1, more = cols[0], cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64), cols[4]
     n = sig & _LARGEST
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(edge, len(group)))
@@ -154,22 +172,30 @@ def _compared(cols: list[np.ndarray], group: np.ndarray, share: int, most: int,
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         ok = ids[i] != ids[j]
         if block is not None:  # a cell of two blocks pairs one with the other
-            ok &= (block[i] != block[j]) | (cols[4][i] == cols[5][i])
+            own, low, high = block
+            ok &= (own[i] != own[j]) | (low[i] == high[i])
+        i, j = i[ok], j[ok]
+        ok = _close(n[i], n[j], _wide_bits(i, j, more), share)
         i, j = i[ok], j[ok]
         if len(i):
             x, y = _distinct(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
             zero = np.zeros(len(x), np.int64)
-            yield _table(kind=zero, sig=zero, x=x, y=y, s0=zero, s1=zero)
+            yield _table(kind=zero, sig=zero, x=x, y=y, s0=zero, s1=zero, more=pa.nulls(len(x), pa.binary()))
     large = np.repeat(size > most, size)
     if large.any():
-        yield _table(kind=np.ones(large.sum(), np.int64), sig=sig[large], x=ids[large], y=np.zeros(large.sum(), np.int64), s0=s0[large], s1=s1[large])
+        yield _crowded(sig[large], ids[large], s0[large], s1[large], more[large])
+
+
+def _crowded(sig, ids, s0, s1, more) -> pa.RecordBatch:
+    some = np.ones(len(sig), np.int64)
+    return _table(kind=some, sig=sig, x=ids, y=0 * some, s0=s0, s1=s1, more=pa.array(more, pa.binary()))
 
 
-_MET = "kind long, sig long, x long, y long, s0 long, s1 long"
+_MET = "kind long, sig long, x long, y long, s0 long, s1 long, more binary"
 
 
 def _meet(signed: DataFrame, shards: int, share: int, most: int) -> DataFrame:
-    """kind 0: candidate pairs (x, y); kind 1: rows of crowded signatures (sig, x: id, s0, s1)."""
+    """kind 0: candidate pairs (x, y); kind 1: rows of crowded signatures (sig, x: id, s0, s1, more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the stream is sorted by signature and size; groups are those of the signature
@@ -181,8 +207,7 @@ def _meet(signed: DataFrame, shards: int, share: int, most: int) -> DataFrame:
 
         for what, cols in _groups(named(), most):
             if what == "part":
-                some = np.ones(len(cols[0]), np.int64)
-                yield _table(kind=some, sig=cols[1], x=cols[2], y=0 * some, s0=cols[3], s1=cols[4])
+                yield _crowded(*cols[1:])
             else:
                 yield from _compared(cols[1:], cols[0], share, most)
 
@@ -191,20 +216,20 @@ def _meet(signed: DataFrame, shards: int, share: int, most: int) -> DataFrame:
 
 def _blocks(crowded: DataFrame, share: int, most: int) -> DataFrame:
     """Candidate pairs (a, b) of crowded signatures: every record goes to the cells of its block with each other one."""
-    rows = crowded.select("sig", F.col("x").alias("id"), "s0", "s1").distinct().withColumn("g", F.shiftright("sig", 16))
+    rows = crowded.select("sig", F.col("x").alias("id"), "s0", "s1", "more").dropDuplicates(["sig", "id"]).withColumn("g", F.shiftright("sig", 16))
     count = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) * 2 / most).cast("int").alias("blocks"))
     own = rows.join(count, "g").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("long"))
     other = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    cell = other.select("g", "sig", "id", "s0", "s1", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
+    cell = other.select("g", "sig", "id", "s0", "s1", "more", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
     cell = cell.withColumn("c", F.xxhash64("g", "lo", "hi"))
     size = F.col("sig").bitwiseAND(_LARGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in _groups(batches, None):
-            c, sig, ids, s0, s1, lo, hi, block, _ = cols
-            yield from _compared([sig, ids, s0, s1, lo, hi], c, share, len(c) + 1, block)
+            c, sig, ids, s0, s1, more, lo, hi, block, _ = cols
+            yield from _compared([sig, ids, s0, s1, more], c, share, len(c) + 1, (block, lo, hi))
 
-    spread_out = cell.select("c", "sig", "id", "s0", "s1", "lo", "hi", "block", size.alias("size")).repartition("c").sortWithinPartitions("c", "size")
+    spread_out = cell.select("c", "sig", "id", "s0", "s1", "more", "lo", "hi", "block", size.alias("size")).repartition("c").sortWithinPartitions("c", "size")
     return spread_out.mapInArrow(run, _MET).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 

@@ -145,15 +145,52 @@ def _addresses(t: str) -> Iterator[tuple[int, int, float]]:
                 yield m.start(), m.end(), 0.8
 
 
+# Digits of the numbers that a word names, and what checks them.
+# Numbers named otherwise (passports, licences) have no common form.
+_FORMS = (
+    (regex.compile(r"ssn|soc|seguridad", _I), (9, 11, 12), None),
+    (regex.compile(r"^(?:ni|nino)\b|national[ _]insurance", _I), (6,), None),
+    (regex.compile(r"steuer", _I), (10, 11, 12, 13), iso_check),
+    (regex.compile(r"\b(?:dni|nie|nif)\b", _I), (7, 8), None),
+    (regex.compile(r"sécurité sociale|\bnir\b", _I), (13, 15), mod97),
+    (regex.compile(r"\b(?:tin|itin)\b|tax", _I), (8, 9, 10, 11, 12, 13), luhn),
+)
+_NIR = regex.compile(r"(?<![\p{L}\p{N}\-.])[12]\s?\d{2}\s?(?:0[1-9]|1[0-2])\s?\d[\dAB]\s?\d{3}\s?\d{3}\s?\d{2}(?![\p{L}\p{N}\-])")
+
+
+def id_score(word: str, value: str) -> float:
+    """How sure a number named by an identity word is one.
+
+    The word alone speaks for it; a form that such a number does not have speaks
+    against it. A check digit that is right confirms it. One that is wrong lowers
+    the score, but not below ACCEPT: people mistype and blur their numbers, and a
+    wrong one is still personal.
+    """
+    digits = _digits(value)
+    score = 0.7 if len(digits) >= 5 else 0.2
+    for name, lengths, check in _FORMS:
+        if name.search(word):
+            score -= 0.3 * (len(digits) not in lengths)
+            if check is not None:
+                score += 0.2 if check(digits) else -0.1
+            break
+    if _DNI.fullmatch(value):
+        score += 0.2 if check_letter(value) else -0.1
+    return score
+
+
 def _id_numbers(t: str) -> Iterator[tuple[int, int, float]]:
     for m in _ID_WORD.finditer(t):
         v = _ID_VALUE.match(t, m.end())
-        if v and len(_digits(v[1])) >= 5:
-            yield v.start(1), v.end(1), 0.7
+        if v:
+            yield v.start(1), v.end(1), id_score(m[0], v[1])
+    # without the word before it, only a right check tells it from a code
     for m in _DNI.finditer(t):
-        # without the word before it, only a right check letter tells it from a code
         if check_letter(m[0]):
             yield m.start(), m.end(), 0.5
+    for m in _NIR.finditer(t):
+        if mod97(_digits(m[0])):
+            yield m.start(), m.end(), 0.5
 
 
 def _phones(t: str) -> Iterator[tuple[int, int, float]]:
@@ -291,6 +328,7 @@ _MAIL_AT = re.compile(r"[(\[{<]\s*at")
 _BOX = re.compile(r"(?:box|bp|postfach|apartado|postale)\s*#?\s*\d")
 _DIAL = re.compile(r"\+\s?\d|\(\+?\d{2,4}\)|(?<!\w)00\s?\d")
 _CODE = re.compile(r"\d{7}\d?-?[A-Z](?![^\W_])")
+_LONG = re.compile(r"[12](?:\s?\d){12}")
 _INITIAL_SIGN = re.compile(r"(?<![^\W_])[^\W\d_]\.\s?[^\W\d_]|,\s+[^\W\d_]\.")
 
 
@@ -300,7 +338,7 @@ def worth_a_look(t: str, people: frozenset) -> tuple[bool, bool, bool, bool, boo
     words = _runs(low)
     mail = any(sign in low for sign in _MAIL_SIGNS) or bool(_MAIL_AT.search(low))
     place = not words.isdisjoint(_STREET_WORDS) or any(w.endswith(_STREET_ENDS) for w in words) or bool(_BOX.search(low))
-    number = not words.isdisjoint(_ID_WORDS) or "licen" in low or bool(_CODE.search(t))
+    number = not words.isdisjoint(_ID_WORDS) or "licen" in low or bool(_CODE.search(t)) or bool(_LONG.search(t))
     call = not words.isdisjoint(_CALL_WORDS) or bool(_DIAL.search(t)) or any(p in low for p in _CALL_PHRASES)
     name = not words.isdisjoint(_NAME_WORDS) or bool(_INITIAL_SIGN.search(t)) or _may_know(words, people)
     return mail, place, number, call, name

@@ -83,7 +83,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_familiar(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_profile(read_table(spark, d, "documents"), familiar=0.05).select("doc_id", "words", "sentences", "difficult", "words_per_sentence", "difficult_share")
+    return reading.reading_profile(read_table(spark, d, "documents"), familiar=0.05)
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:

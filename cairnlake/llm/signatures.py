@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,10 +196,30 @@ class Words:
         # differ in at most as many bits as the sets do in words
         bit = (self.key * _MIX) >> np.uint64(57)
         flip = np.uint64(1) << (bit & np.uint64(63))
-        start = offsets[:-1] - offsets[0]
+        self.start = start = offsets[:-1] - offsets[0]
         self.s0, self.s1 = (np.bitwise_xor.reduceat(np.where(side, flip, np.uint64(0)), start) if len(size) else np.zeros(0, np.uint64) for side in (bit < 64, bit >= 64))
 
 
+    def wide(self) -> pa.Array:
+        """Parity sketches of twice as many bits as words, in powers of two from 256, for records of at least 64 words; null for others.
+
+        A narrower one is a wider one folded in half.
+        """
+        out = np.full(len(self.n), None, object)
+        large = np.flatnonzero(self.n >= 64)
+        bits = 2 << np.ceil(np.log2(np.maximum(self.n, 2))).astype(np.int64)
+        for width in np.unique(bits[large]):
+            own = large[bits[large] == width]
+            place = np.full(len(self.n), -1)
+            place[own] = np.arange(len(own))
+            at = np.flatnonzero(place[self.rec] >= 0)
+            bit = (spread(self.key[at]) % np.uint64(width)).astype(np.int64)
+            ones = np.bincount(place[self.rec[at]] * width + bit, minlength=len(own) * width) & 1
+            packed = np.packbits(ones.reshape(len(own), width).astype(np.uint8), axis=1, bitorder="little")
+            out[own] = [row.tobytes() for row in packed]
+        return pa.array(out, pa.binary())
+
+
 def _sign_level(w: Words, at: np.ndarray, rec: np.ndarray, scale: np.ndarray, need: np.ndarray, tiers: list[Tier], seed: int, singles: bool):
     """(record, signature) of the words ``at``; and the units that each signing record has beyond those it may lose, 0 if it is short.
 

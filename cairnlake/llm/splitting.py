@@ -162,12 +162,14 @@ def oversized(items: DataFrame, text: str, limit: int) -> DataFrame:
 
 def item_ranges(items: DataFrame, id_col: str, text: str, range_bytes: int = RANGE) -> DataFrame:
     """(id, range_no, size, buf): the items as byte ranges, buf with a halo of HALO bytes before and 4 after it."""
-    raw = items.select(F.col(id_col).alias("id"), F.encode(F.col(text), "UTF-8").alias("raw"))
-    n = F.ceil(F.octet_length("raw") / range_bytes).cast("int")
-    parts = raw.select("id", "raw", F.octet_length("raw").alias("size"), F.explode(F.sequence(F.lit(0), n - 1)).alias("range_no"))
-    begin = F.col("range_no") * range_bytes
-    first = F.greatest(begin - HALO, F.lit(0))
-    return parts.select("id", "range_no", "size", F.substring("raw", first + 1, begin + range_bytes + 4 - first).alias("buf"))
+    raw = F.encode(F.col(text), "UTF-8")
+    # the ranges are cut out before they become rows, so no row carries the item beside its range
+    begin = lambda i: i * range_bytes
+    first = lambda i: F.greatest(begin(i) - HALO, F.lit(0))
+    cut = lambda i: F.struct(i.alias("range_no"), F.substring("raw", first(i) + 1, begin(i) + range_bytes + 4 - first(i)).alias("buf"))
+    last = F.ceil(F.octet_length("raw") / range_bytes).cast("int") - 1
+    cuts = items.select(F.col(id_col).alias("id"), raw.alias("raw")).select("id", F.octet_length("raw").alias("size"), F.transform(F.sequence(F.lit(0), last), cut).alias("c"))
+    return cuts.select("id", "size", F.explode("c").alias("c")).select("id", "c.range_no", "size", "c.buf")
 
 
 def file_ranges(spark: SparkSession, paths: DataFrame, range_bytes: int = RANGE) -> DataFrame:

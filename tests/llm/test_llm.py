@@ -537,3 +537,20 @@ def test_reading_bands(spark):
     own = {r.did: r.difficult for r in reading.reading_profile(df, "did", "body", familiar=0.3).collect()}
     assert own[0] == 0 and own[1] > 30
     assert reading.reading_profile(df.limit(0), "did", "body").count() == 0
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Please hand it over to Anna Schmidt.", ["name"]), ("(Anna Schmidt) knows", ["name"]), ("anna schmidt!", ["name"]), ("go to Anna Schmidt today", ["name"]),
+        ("ssn 99999", []), ("ssn 123-45-6789", ["id_number"]), ("Steuer-ID 12345678901", ["id_number"]), ("here 1 85 05 78 006 084 91 it is", ["id_number"]), ("here 1 85 05 78 006 084 92 it is", []),
+    ],
+)
+def test_personal_checks_and_known_people(text, found):
+    people = frozenset({("anna", "schmidt"), ("schmidt", "anna")})
+    assert [k for _, _, k in personal.find_personal(text, people)] == found
+
+
+def test_checks_move_the_score():
+    assert personal.id_score("steuer-id", "02476291358") > personal.id_score("steuer-id", "12345678901") >= personal.ACCEPT
+    assert personal.id_score("dni", "12345678Z") > personal.id_score("dni", "12345678A") >= personal.ACCEPT > personal.id_score("ssn", "99999")
+    assert personal.id_score("tax id", "79927398713") > personal.id_score("tax id", "79927398710")
