@@ -92,21 +92,22 @@ def _wide_bits(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _few(group: np.ndarray, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) within runs of equal ``group``, by distance: for small groups."""
-    left = np.arange(len(group))
+    """Pairs (i, j) within runs of equal ``group``, sorted by size, by distance: for small groups."""
+    bound = np.where(n >= _LARGEST, 255, np.minimum(2 * (n - -(-share * n // 100)) + 2, 255)).astype(np.uint8)
     for gap in range(1, len(group)):
-        left = left[: np.searchsorted(left, len(group) - gap)]
-        left = left[group[left] == group[left + gap]]
-        if not len(left):
+        same = group[:-gap] == group[gap:]
+        if not same.any():
             return
-        ok = _close(n[left], n[left + gap], _bits(s0, s1, left, left + gap), share)
+        differ = np.bitwise_count(s0[:-gap] ^ s0[gap:]) + np.bitwise_count(s1[:-gap] ^ s1[gap:])
+        left = np.flatnonzero(same & (differ <= bound[:-gap]))
+        ok = _close(n[left], n[left + gap], differ[left].astype(np.int64), share)
         yield left[ok], left[ok] + gap
 
 
 def _many(a: int, b: int, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of the rows a to b, sorted by size, in tiles."""
-    for i in range(a, b, 512):
-        e = min(i + 512, b)
+    for i in range(a, b, 128):
+        e = min(i + 128, b)
         stop = b if n[e - 1] * 100 // share >= _LARGEST else a + int(np.searchsorted(n[a:b], 100 * n[e - 1] // share, "right"))
         differ = np.bitwise_count(s0[i:e, None] ^ s0[None, i:stop]) + np.bitwise_count(s1[i:e, None] ^ s1[None, i:stop])
         bound = 255 if n[e - 1] >= _LARGEST else min(255, int(2 * n[e - 1] - 2 * (share * n[e - 1] // 100)) + 2)
