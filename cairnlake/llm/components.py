@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import stage
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 1000) -> DataFrame:
     """(node, component): component is the smallest node reachable.
 
     Every round rewires edges towards smaller nodes; a hub's edges are kept as

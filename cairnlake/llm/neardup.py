@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stage, unstage
 from .components import components
-from .signatures import CLASS, Plan, Words, plan_for, signatures, word_counts
+from .signatures import CLASS, PAIR_COST, Plan, Words, plan_for, signatures, word_counts
 from .wordsets import verified, word_sets
 
 #: Records of a signature that one task compares; of larger ones, of a block.
@@ -234,11 +234,14 @@ def _blocks(crowded: DataFrame, share: int, most: int) -> DataFrame:
     return spread_out.mapInArrow(run, _MET).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def plan_of(sets: DataFrame, share: int) -> tuple[Plan, int]:
-    """(the plan for all records of staged ``sets``, how many there are)."""
+def plan_of(sets: DataFrame, share: int, expected: int | None = None, pair_cost: float = PAIR_COST) -> tuple[Plan, int]:
+    """(the plan for all records of staged ``sets``, how many there are); for as many as ``expected`` if they are the first of those."""
     small = F.when(F.col("n") < CLASS, F.col("n"))
     total = sets.agg(F.count(F.lit(1)).alias("rows"), F.avg(small).alias("small"), F.avg("n").alias("mean")).first()
-    return plan_for(word_counts(sets), total["rows"], float(total["small"] or total["mean"] or 1), share), total["rows"]
+    counts, rows = word_counts(sets), total["rows"]
+    if expected and rows:
+        counts = np.round(counts * max(1.0, expected / rows)).astype(np.int64)
+    return plan_for(counts, max(rows, expected or 0), float(total["small"] or total["mean"] or 1), share, pair_cost), rows
 
 
 def candidates(sets: DataFrame, share: int, most: int = GROUP) -> DataFrame:

@@ -94,7 +94,7 @@ def _excess(rate: float, common: int) -> float:
     return max(out, 0.0)
 
 
-def allocate(occurrences: np.ndarray, tops: np.ndarray, records: float, need: float) -> tuple[list[Tier], float]:
+def allocate(occurrences: np.ndarray, tops: np.ndarray, records: float, need: float, pair_cost: float = PAIR_COST) -> tuple[list[Tier], float]:
     """Tiers of least estimated cost that give ``need`` units to a typical record.
 
     ``occurrences``: words of such a record by frequency bin, rarest first;
@@ -118,7 +118,7 @@ def allocate(occurrences: np.ndarray, tops: np.ndarray, records: float, need: fl
                     rows = words if common == 1 else parts * rate**common / math.factorial(common)
                     group = records * often ** (1 + INDEPENDENT * (common - 1))
                     if units > 0.05:
-                        options.append((a, b, parts, common, 3.6 * units, rows * (1 + group * PAIR_COST / 2), rows))
+                        options.append((a, b, parts, common, 3.6 * units, rows * (1 + group * pair_cost / 2), rows))
     starts: dict[int, list] = {}
     for o in options:
         starts.setdefault(o[0], []).append(o)
@@ -159,7 +159,7 @@ def word_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def plan_for(counts: np.ndarray, records: int, mean_words: float, share: int) -> Plan:
+def plan_for(counts: np.ndarray, records: int, mean_words: float, share: int, pair_cost: float = PAIR_COST) -> Plan:
     """The plan for records of ``mean_words`` words, from counts over all of them."""
     held = counts[counts > 0].astype(float)
     bins = np.floor(np.log2(np.maximum(held, 1))).astype(int)
@@ -168,7 +168,7 @@ def plan_for(counts: np.ndarray, records: int, mean_words: float, share: int) ->
     occurrences = occurrences * (mean_words / max(occurrences.sum(), 1.0))
     tops = 2.0 ** (np.arange(most) + 1) - 1
     need = float(may_lose(np.array([max(int(mean_words), 1)]), share)[0]) + 1
-    tiers, rows = allocate(occurrences, tops, records, need)
+    tiers, rows = allocate(occurrences, tops, records, need, pair_cost)
     top = tiers[-1].top if tiers else -1
     # a reserve of the words that the allocation left out, for records that need more units
     rest = float(occurrences[tops > top].sum())
