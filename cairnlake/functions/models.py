@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -40,6 +41,36 @@ class HashEmbedder:
         return out
 
 
+class EmbedderChain:
+    """Embedders in order of preference: the first that answers with vectors of the right width is taken.
+
+    One that failed is passed over for ``rest`` seconds; if all fail, the last
+    error is raised. Vectors are cut to ``dims`` and scaled to length one.
+    """
+
+    def __init__(self, embedders: Sequence[Embedder], dims: int, rest: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self.embedders, self.dims, self.rest, self.clock = list(embedders), dims, rest, clock
+        self.failed: dict[int, float] = {}
+
+    def embed(self, texts: Sequence[str]) -> np.ndarray:
+        error: Exception = ValueError("no embedder is left")
+        for i, e in enumerate(self.embedders):
+            if i in self.failed and self.clock() - self.failed[i] < self.rest:
+                continue
+            try:
+                x = np.asarray(e.embed(texts), np.float32)
+                if x.ndim != 2 or len(x) != len(texts) or x.shape[1] < self.dims:
+                    raise ValueError(f"vectors of shape {x.shape}")
+            except Exception as now:  # noqa: BLE001 - whatever a source raises, the next one is asked
+                error = now
+                self.failed[i] = self.clock()
+                continue
+            self.failed.pop(i, None)
+            x = x[:, : self.dims]
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        raise error
+
+
 class FixedJudge:
     """Answers by the first pattern that the prompt matches."""
 
@@ -93,6 +124,44 @@ def parse_sections(reply: str, names: Sequence[str]) -> dict[str, str]:
     return out
 
 
+def parse_yes_count(reply: str) -> tuple[int, int]:
+    """(yes, answered): lines or words of a reply that say Y or N."""
+    votes = re.findall(r"\b(y(?:es)?|n(?:o)?)\b", reply, re.I)
+    return sum(v[0] in "yY" for v in votes), len(votes)
+
+
+def parse_verdict(reply: str, words: Sequence[str] = ("BETTER", "SAME", "WORSE"), default: str = "SAME") -> str:
+    """The first of the verdict words in a reply, in any case."""
+    m = re.search(rf"\b({'|'.join(map(re.escape, words))})\b", reply, re.I)
+    return m[1].upper() if m else default
+
+
+def parse_operations(reply: str, most: int = 8) -> list[dict]:
+    """The first ``most`` operations (add, update, prune) of a JSON list in a reply; what is no operation is left out."""
+    a, b = reply.find("["), reply.rfind("]")
+    try:
+        got = json.loads(reply[a : b + 1]) if 0 <= a < b else []
+    except ValueError:
+        return []
+    named = [o for o in got if isinstance(o, dict) and o.get("op") in ("add", "update", "prune") and (o["op"] == "add" or isinstance(o.get("id"), int))]
+    return named[:most]
+
+
+def first_line(reply: str, most: int = 240) -> str:
+    """The first line of a reply that is not blank, cut to ``most`` signs."""
+    return next((x.strip()[:most] for x in reply.splitlines() if x.strip()), "")
+
+
+def body_is_enough(body: str, least: int = 80) -> bool:
+    """Whether a reconstructed skill has a body worth keeping."""
+    return len(body.strip()) >= least
+
+
+def better_variant(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether variant ``a`` (improvements, tokens) beats ``b``: more improvements, or as many with fewer tokens."""
+    return (a[0], -a[1]) > (b[0], -b[1])
+
+
 def corpus(seed: int, facts: int, sessions: int, superseded: float = 0.2, filler: int = 3) -> tuple[list[tuple], list[tuple]]:
     """(chunks, questions) of a generated memory: (chunk_id, session_id, turn_index, role, content) and
     (query_id, text, gold chunk_id, newest value). A superseded fact gets a later version with another value."""

@@ -21,14 +21,15 @@ def _matrix(column, dims: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1)[:, None]
 
 
-def knn_topk(queries: DataFrame, query_id: str, query_vec: str, vectors: DataFrame, vec_id: str, vec: str, dims: int, k: int, exclude_self: bool = False) -> DataFrame:
+def knn_topk(queries: DataFrame, query_id: str, query_vec: str, vectors: DataFrame, vec_id: str, vec: str, dims: int, k: int | None, exclude_self: bool = False) -> DataFrame:
     """(query, id, cosine, rank): exact ``k`` nearest vectors of each query by cosine.
 
     Each batch of vectors meets a block of at most QUERIES queries in one matrix
     product and sends only its own best k on, so the shuffle holds k rows per
     query and batch. Vectors that are not usable are left out on both sides;
     rows that repeat id and vector count once; ties go to the smaller id.
-    ``exclude_self`` leaves out the vector whose id equals the query's.
+    ``exclude_self`` leaves out the vector whose id equals the query's. ``k`` None:
+    all vectors of each query (for a bounded few queries), without a rank.
     """
     spark = vectors.sparkSession
     clean = vectors.filter(usable(F.col(vec), dims) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("v")).dropDuplicates(["id"])
@@ -51,14 +52,17 @@ def knn_topk(queries: DataFrame, query_id: str, query_vec: str, vectors: DataFra
                 s = np.round(m @ _matrix(batch.column("v"), dims).T, 6)
                 if exclude_self:
                     s[q[:, None] == own[None, :]] = -np.inf
-                take = min(k, s.shape[1])
-                # ties of the k-th place may be at stake, so the id decides here too
-                by = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :take] if s.shape[1] > k else np.tile(np.arange(take), (len(q), 1))
-                sim = np.take_along_axis(s, by, axis=1)
-                ok = np.isfinite(sim).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, take)[ok]), pa.array(own[by].ravel()[ok]), pa.array(sim.ravel()[ok])], names=["query", "id", "cosine"])
+                if k is not None and s.shape[1] > k:
+                    # all that reach the k-th best, ties included: the ids of ties decide later
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    i, j = np.nonzero((s >= least) & np.isfinite(s))
+                else:
+                    i, j = np.nonzero(np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(own[j]), pa.array(s[i, j])], names=["query", "id", "cosine"])
 
         got = clean.mapInArrow(run, "query long, id long, cosine double")
         found = got if found is None else found.union(got)
+    if k is None:
+        return found
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -29,6 +29,31 @@ def any_all_at(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return j.select("query", (F.coalesce("hits", F.lit(0)) > 0).cast("int").alias("any_at"), (F.coalesce("hits", F.lit(0)) == F.col("n_gold")).cast("int").alias("all_at"))
 
 
+def session_scores(ranked: DataFrame, gold: DataFrame, k: int, depth: int) -> DataFrame:
+    """(query, any_at, all_at, ndcg): any and all gold ids among the first ``k``, and the gain at ``depth``."""
+    return any_all_at(ranked, gold, k).join(ranking_scores(ranked, gold, depth).select("query", "ndcg"), "query")
+
+
+def arm_scores(arms: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:
+    """(arm, queries, recall, rr, ndcg): means of ``ranking_scores`` for each named list of (query, id, rank)."""
+    out = None
+    for name, ranked in arms.items():
+        s = ranking_scores(ranked, gold, k).agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "rr", "ndcg")])
+        s = s.select(F.lit(name).alias("arm"), "*")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def threshold_sweep(scored: DataFrame, truth: str, score: str, bounds: list[float]) -> DataFrame:
+    """(bound, tp, fp, fn, precision, recall) of calling a row true from each bound on; ``truth`` is 0 or 1, null rows are left out."""
+    rows = scored.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).select(F.col(truth).alias("t"), F.col(score).alias("s"), F.explode(F.array(*[F.lit(float(b)) for b in bounds])).alias("bound"))
+    n = lambda c: F.sum(c.cast("int"))
+    yes, true = F.col("s") >= F.col("bound"), F.col("t") == 1
+    g = rows.groupBy("bound").agg(n(yes & true).alias("tp"), n(yes & ~true).alias("fp"), n(~yes & true).alias("fn"))
+    rate = lambda c: F.round(F.try_divide("tp", F.col("tp") + F.col(c)), 6)
+    return g.select("bound", "tp", "fp", "fn", rate("fp").alias("precision"), rate("fn").alias("recall"))
+
+
 def precision_recall(labels: DataFrame, truth: str, guess: str, source: str) -> DataFrame:
     """(source, label, tp, fp, fn, precision, recall): one row per source and label seen on either side."""
     rows = labels.filter(F.col(truth).isNotNull())

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered(events: DataFrame, key: str, by: list[str], value: Column) -> DataFrame:
-    """(key, events): each key's values in order, for ``F.aggregate``.
-
-    For keys with a bounded number of events (a session, an arm); a key that may
-    hold a share of all rows goes through ``runs`` instead.
-    """
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*by, value.alias("v")))).alias("events"))
-
-
 def utility(events: DataFrame, key: str, by: list[str], reward: Column, start: float = 0.5, step: float = 0.1) -> DataFrame:
     """(key, utility): u + step * (reward - u) over the rewards in order; null rewards change nothing.
 
@@ -46,11 +40,33 @@ def clamped_sum(events: DataFrame, key: str, by: list[str], value: Column, start
     return g.select(key, F.aggregate("_m", F.lit(start), lambda x, m: hold(x + m["_f"]["s"], m["_f"]["lo"], m["_f"]["hi"])).alias("total"))
 
 
-def resets(events: Column, bound: float) -> Column:
-    """How often a running sum reached ``bound`` and started again at zero."""
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    step = lambda s, e: F.when(s["sum"] + e["v"] >= bound, F.struct(F.lit(0.0).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(F.struct((s["sum"] + e["v"]).alias("sum"), s["n"].alias("n")))
-    return F.aggregate(events, zero, step)["n"]
+def resets(events: DataFrame, key: str, by: list[str], value: Column, bound: float) -> DataFrame:
+    """(key, nudges): how often each key's running sum reached ``bound`` and started again at zero.
+
+    Events are read in order from a sort that spills; a task holds one sum and one
+    count, so a key may hold any share of all rows. Null values count as zero.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, n, seen = None, 0.0, 0, False
+        for batch in batches:
+            keys, counts = [], []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not seen or k != last:
+                    if seen:
+                        keys.append(last)
+                        counts.append(n)
+                    last, total, n, seen = k, 0.0, 0, True
+                total += v
+                if total >= bound:
+                    total, n = 0.0, n + 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(counts, pa.int32())], names=[key, "nudges"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([last], batch.column(0).type), pa.array([n], pa.int32())], names=[key, "nudges"])
+
+    own = events.select(key, F.coalesce(value.cast("double"), F.lit(0.0)).alias("_v"), *by)
+    return own.repartition(key).sortWithinPartitions(key, *by).select(key, "_v").mapInArrow(run, f"{key} {kind}, nudges int")
 
 
 def every_nth(events: DataFrame, key: str, by: list[str], hit: Column, n: int, reset: Column) -> DataFrame:

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 def pair_counts(sets: DataFrame, key: str, item: str, at: str, most: int = 64) -> DataFrame:
     """(a, b, n, last_at): pairs a < b that occur in one key, counted over keys.
 
-    Pairs are formed within the sorted distinct items of a key (row by row, no
-    join). ``most`` is a guard against a key that is not a set of some items: a
-    larger one raises, since its pairs would be unbounded.
+    Pairs are formed within the sorted distinct items of a key, row by row; the
+    few keys with more than ``most`` items go through a join on the key instead,
+    whose rows are spread by item, so that no row carries a large set.
     """
-    per = sets.filter(F.col(item).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("items"), F.max(at).alias("at"))
-    per = per.withColumn("items", F.when(F.size("items") <= most, F.col("items")).otherwise(F.raise_error(F.lit(f"a key with more than {most} items")).cast("array<string>")))
+    own = sets.filter(F.col(item).isNotNull()).select(F.col(key).alias("_k"), F.col(item).alias("_i"), F.col(at).alias("_at"))
+    size = own.groupBy("_k").agg(F.count_distinct("_i").alias("_n"), F.max("_at").alias("at"))
+    per = own.join(size.filter(F.col("_n") <= most).select("_k"), "_k", "left_semi").groupBy("_k").agg(F.array_sort(F.collect_set("_i")).alias("items"), F.max("_at").alias("at"))
     first = per.select("at", "items", F.posexplode("items").alias("i", "a"))
-    both = first.select("a", "at", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"))
+    few = first.select("a", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("b"), "at")
+    big = own.join(size.filter(F.col("_n") > most).select("_k", "at"), "_k").select("_k", "_i", "at").distinct()
+    many = big.withColumnRenamed("_i", "a").join(big.select("_k", F.col("_i").alias("b")), "_k").filter("a < b").select("a", "b", "at")
+    return few.unionByName(many).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"))
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

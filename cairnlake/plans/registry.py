@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, retrieval, streams, structure, texts  # noqa: F401
+from . import base, facts, labels, retrieval, streams, structure, texts  # noqa: F401
 
 
 def queries():

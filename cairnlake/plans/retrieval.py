@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, text
-from ..operators import browse, dense, fusion, lexical
-from .base import C, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, query_terms_sql, sessions, skills, trajectories, vectors
+from ..functions.vectors import as_double, norm, usable
+from ..operators import browse, cluster, dense, fusion, lexical
+from ..runtime import shared_dir
+from .base import (
+    C, DESCRIBED, FACT_V, FACTS, K, NOW, S, SKILL_V, T, V, VEC, bm25_sql, chunks, described, documents, fact_vectors, facts, knn_sql, query, query_units_sql, sessions, skill_vectors, skills, terms_sql,
+    trajectories, vectors,
+)
 
 # The query set of the searches: every row whose id is divisible by 100.
 TASKS = f"(SELECT * FROM {T} WHERE trajectory_id % 100 = 0)"
 ASKED_V = f"(SELECT * FROM {V} WHERE chunk_id % 100 = 0)"
 
 
-def tasks(spark, d):
-    return trajectories(spark, d).filter("trajectory_id % 100 = 0")
+def tasks(spark, d, every=100):
+    return trajectories(spark, d).filter(F.col("trajectory_id") % every == 0)
 
 
-def _bm25(spark, d, k=25):
-    return lexical.bm25_topk(chunks(spark, d), "chunk_id", "content", tasks(spark, d), "trajectory_id", "task", k)
+def _bm25(spark, d, k=25, every=100):
+    return lexical.bm25_topk(chunks(spark, d), "chunk_id", "content", tasks(spark, d, every), "trajectory_id", "task", k)
 
 
-def _task_vectors(spark, d):
+def _task_vectors(spark, d, every=100):
     """A task's vector: that of its session's first message that has one."""
-    v = vectors(spark, d).select("chunk_id", "embedding")
-    from ..functions.vectors import usable
-
-    v = v.filter(usable(F.col("embedding"), VEC))
+    v = vectors(spark, d).select("chunk_id", "embedding").filter(usable(F.col("embedding"), VEC))
     first = chunks(spark, d).join(v, "chunk_id").groupBy("session_id").agg(F.min_by("embedding", F.struct("turn_index", "chunk_id")).alias("embedding"))
-    return tasks(spark, d).filter("session_id is not null").select("trajectory_id", "session_id").join(first, "session_id")
+    return tasks(spark, d, every).filter("session_id is not null").select("trajectory_id", "session_id").join(first, "session_id")
 
 
 TASK_V = f"(SELECT trajectory_id, v FROM {TASKS} t JOIN (SELECT session_id, min_by(v, (coalesce(turn_index, -1), c.chunk_id)) AS v FROM {C} c JOIN {V} w ON c.chunk_id = w.chunk_id WHERE session_id IS NOT NULL GROUP BY session_id) f ON f.session_id = t.session_id)"
 
 
-@query(f"SELECT trajectory_id AS query, unnest({query_terms_sql('task')}) AS term FROM {TASKS}")
+@query(f"SELECT query, array_to_string(u, ' ') AS unit, count(*) AS times FROM (SELECT trajectory_id AS query, unnest({query_units_sql('task')}) AS u FROM {TASKS}) GROUP BY ALL")
 def rt1_query_terms(spark, d):
-    return tasks(spark, d).select(F.col("trajectory_id").alias("query"), F.explode(text.query_terms(F.col("task"))).alias("term"))
+    return lexical.asked_units(tasks(spark, d), "trajectory_id", "task").select("query", "unit", "times")
 
 
 @query(f"WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'task', 25)} SELECT query, doc, score, rank FROM bm")
@@ -45,14 +49,44 @@ def rt2_bm25_topk(spark, d):
     return _bm25(spark, d)
 
 
-@query(f"""SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc DESC) AS rank FROM
- (SELECT d.doc_id AS query, x.doc_id AS doc FROM (SELECT doc_id, lower(substr(regexp_extract(text, '[\\x{{3040}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}]+'), 1, 4)) AS needle FROM documents WHERE doc_id % 100 = 0) d
-  JOIN documents x ON needle <> '' AND contains(lower(x.text), needle))) WHERE rank <= 25""")
+# Rows in a script without word spaces, which the tables hardly have.
+CJK_ROWS = [(9_000_001, "部署失败后重启数据库"), (9_000_002, "今日重启数据库并检查日志"), (9_000_003, "データベースを再起動した"), (9_000_004, "deploy notes 部署失败")]
+CJK_ASKED = [(1, "重启数据库"), (2, "部署失败"), (3, "再起動"), (4, "志"), (5, "没有这个"), (6, "deploy 部署失败")]
+_values = lambda rows: ", ".join(f"({i}, '{t}')" for i, t in rows)
+CJK_DOCS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_values(CJK_ROWS)}))"
+CJK_Q = f"(SELECT * FROM (VALUES {_values(CJK_ASKED)}) v(q, text))"
+LITERAL = f"""(SELECT q AS query, doc_id AS doc, row_number() OVER (PARTITION BY q ORDER BY doc_id DESC) AS rank FROM {CJK_Q} a JOIN {CJK_DOCS} x ON contains(lower(x.text), lower(a.text)))"""
+
+
+def _cjk(spark, d):
+    docs = documents(spark, d).select("doc_id", "text").unionByName(spark.createDataFrame(CJK_ROWS, "doc_id long, text string"))
+    return docs, spark.createDataFrame(CJK_ASKED, "q long, text string")
+
+
+@query(f"SELECT query, doc, rank FROM {LITERAL} WHERE rank <= 25")
 def rt3_substring_fallback(spark, d):
-    docs = documents(spark, d)
-    needle = F.substring(F.regexp_extract("text", r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]+", 0), 1, 4)
-    asked = docs.filter("doc_id % 100 = 0").select("doc_id", needle.alias("needle"))
-    return lexical.substring_topk(docs, "doc_id", "text", asked, "doc_id", "needle", 25)
+    docs, asked = _cjk(spark, d)
+    return lexical.substring_topk(docs, "doc_id", "text", asked, "q", "text", 25)
+
+
+@query(f"WITH {bm25_sql(CJK_DOCS, 'doc_id', 'text', CJK_Q, 'q', 'text', 8)} SELECT query, doc, rank, 'terms' AS channel FROM bm UNION ALL SELECT query, doc, rank, 'literal' FROM {LITERAL} WHERE rank <= 8 AND query NOT IN (SELECT query FROM bm)")
+def rt8_lexical_only(spark, d):
+    """Words first; a query that no word answers is looked for as a literal."""
+    docs, asked = _cjk(spark, d)
+    return lexical.lexical_channel(docs, "doc_id", "text", asked, "q", "text", 8)
+
+
+@query()
+def rt2_stemmed_topk(spark, d):
+    """As the word search, by Porter stems (held against SQLite's index in the tests)."""
+    return lexical.bm25_topk(chunks(spark, d), "chunk_id", "content", tasks(spark, d), "trajectory_id", "task", 25, stem=True)
+
+
+@query(f"WITH {bm25_sql(T, 'trajectory_id', 'task', TASKS, 'trajectory_id', 'task', 10)} SELECT query, doc, score, rank FROM bm")
+def ix1_stored_index(spark, d):
+    """The same search out of a written index."""
+    index = lexical.StoredIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return index.ensure(trajectories(spark, d), "trajectory_id", "task").search(tasks(spark, d), "trajectory_id", "task", 10)
 
 
 @query(f"WITH {knn_sql(ASKED_V, 'chunk_id', 'v', 25)} SELECT query, id, cosine, rank FROM kn")
@@ -66,10 +100,10 @@ FUSED = f"""WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'ta
   (SELECT query, doc AS id, rank FROM bm UNION ALL SELECT query, id, rank FROM kn) GROUP BY query, id))"""
 
 
-def _fused(spark, d):
-    lex = _bm25(spark, d).withColumnRenamed("doc", "id")
+def _fused(spark, d, every=100):
+    lex = _bm25(spark, d, every=every).withColumnRenamed("doc", "id")
     v = vectors(spark, d)
-    near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", v, "chunk_id", "embedding", VEC, 25)
+    near = dense.knn_topk(_task_vectors(spark, d, every), "trajectory_id", "embedding", v, "chunk_id", "embedding", VEC, 25)
     return fusion.rrf([lex, near])
 
 
@@ -80,7 +114,12 @@ def rt5_rrf_fusion(spark, d):
 
 @query(FUSED + f" SELECT query, id, score, rank, session_id, length(content) AS chars FROM fu JOIN {C} c ON c.chunk_id = id WHERE rank <= 8")
 def rt6_hybrid_search(spark, d):
-    hit = _fused(spark, d).filter("rank <= 8")
+    return hybrid_search(spark, d)
+
+
+def hybrid_search(spark, d, every=100, k=8):
+    """(query, id, score, rank, session_id, chars): fused hits of the tasks whose id is divisible by ``every``."""
+    hit = _fused(spark, d, every).filter(F.col("rank") <= k)
     c = chunks(spark, d).select(F.col("chunk_id").alias("id"), "session_id", F.char_length("content").alias("chars"))
     return hit.join(c, "id").select("query", "id", "score", "rank", "session_id", "chars")
 
@@ -91,14 +130,6 @@ def rt7_mmr_rerank(spark, d):
     return fusion.mmr(hit, "content", 0.7, 8)
 
 
-@query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'task', 8)},
- cjk AS (SELECT trajectory_id AS query FROM {TASKS} WHERE regexp_matches(coalesce(task,''), '[\\x{{2E80}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{AC00}}-\\x{{D7AF}}]'))
- SELECT b.query, doc, rank, CASE WHEN c.query IS NULL THEN 'terms' ELSE 'cjk' END AS channel FROM bm b LEFT JOIN cjk c ON c.query = b.query""")
-def rt8_lexical_only(spark, d):
-    cjk = tasks(spark, d).filter(text.has_cjk(F.col("task"))).select(F.col("trajectory_id").alias("query"), F.lit("cjk").alias("c"))
-    return _bm25(spark, d, 8).join(cjk, "query", "left").select("query", "doc", "rank", F.coalesce("c", F.lit("terms")).alias("channel"))
-
-
 @query()
 def rt9_snippets(spark, d):
     hit = _bm25(spark, d, 3).join(tasks(spark, d).select(F.col("trajectory_id").alias("query"), "task"), "query")
@@ -134,73 +165,159 @@ def rt12_recent_sessions(spark, d):
     return browse.recent_sessions(sessions(spark, d), chunks(spark, d), 50)
 
 
-@query(f"""WITH {bm25_sql(T, 'trajectory_id', 'task', TASKS, 'trajectory_id', 'task', 20)},
- sc AS (SELECT query, doc, round((1.0/(60+rank)) * (1 - 0.3*(1 - pow(0.5, ({NOW} - created_at)/86400.0/30))), 9) AS score FROM bm JOIN {T} t ON t.trajectory_id = doc WHERE query <> doc AND created_at IS NOT NULL)
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 3""")
+FIRST_V = f"(SELECT session_id, min_by(v, (coalesce(turn_index, -1), c.chunk_id)) AS v FROM {C} c JOIN {V} w ON c.chunk_id = w.chunk_id WHERE session_id IS NOT NULL GROUP BY session_id)"
+def _first_vectors(spark, d):
+    """Each session's first vector."""
+    v = vectors(spark, d).filter(usable(F.col("embedding"), VEC))
+    return chunks(spark, d).filter("session_id is not null").join(v, "chunk_id").groupBy("session_id").agg(F.min_by("embedding", F.struct(F.coalesce("turn_index", F.lit(-1)), "chunk_id")).alias("embedding"))
+
+
+TRAJ_V = f"(SELECT trajectory_id, v FROM {T} t JOIN {FIRST_V} f ON f.session_id = t.session_id)"
+
+
+@query(f"""WITH {bm25_sql(T, 'trajectory_id', 'task', TASKS, 'trajectory_id', 'task', 20)}, {knn_sql(TASK_V, 'trajectory_id', 'v', 20, own=TRAJ_V, vid='trajectory_id', skip_self=False)},
+ fu AS (SELECT query, id, round(sum(1.0/(60+rank)), 9) AS score FROM (SELECT query, doc AS id, rank FROM bm UNION ALL SELECT query, id, rank FROM kn) GROUP BY query, id),
+ sc AS (SELECT query, id, round(score * (1 - 0.3*(1 - CASE WHEN created_at IS NULL OR created_at >= {NOW} THEN 1 ELSE pow(0.5, ({NOW} - created_at)/86400.0/30) END)), 9) AS score FROM fu JOIN {T} t ON t.trajectory_id = id)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 3""")
 def rt13_trajectory_search(spark, d):
+    """Words and vectors of past tasks, fused; older ones are demoted before the cut."""
     t = trajectories(spark, d)
-    hit = lexical.bm25_topk(t, "trajectory_id", "task", tasks(spark, d), "trajectory_id", "task", 20).filter("query <> doc")
-    j = hit.join(t.filter("created_at is not null").select(F.col("trajectory_id").alias("doc"), "created_at"), "doc")
-    fresh = ranking.recency((F.lit(NOW) - F.col("created_at")) / 86400, 30)
-    s = j.select("query", "doc", F.round((1.0 / (60 + F.col("rank"))) * (1 - 0.3 * (1 - fresh)), 9).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).filter("rank <= 3")
-
+    lex = lexical.bm25_topk(t, "trajectory_id", "task", tasks(spark, d), "trajectory_id", "task", 20).withColumnRenamed("doc", "id")
+    own = t.select("trajectory_id", "session_id").join(_first_vectors(spark, d), "session_id")
+    near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", own, "trajectory_id", "embedding", VEC, 20)
+    return fusion.aged(fusion.rrf([lex, near]), t.select(F.col("trajectory_id").alias("id"), "created_at"), "created_at", NOW, 0.3, 30, 3)
 
-FIRST_V = f"(SELECT session_id, min_by(v, (coalesce(turn_index, -1), c.chunk_id)) AS v FROM {C} c JOIN {V} w ON c.chunk_id = w.chunk_id WHERE session_id IS NOT NULL GROUP BY session_id)"
-REFLECT = f"(SELECT trajectory_id, utility, created_at, v FROM {T} t JOIN {FIRST_V} f ON f.session_id = t.session_id WHERE reflection IS NOT NULL AND utility IS NOT NULL AND created_at IS NOT NULL)"
 
+REFLECT = f"(SELECT trajectory_id, utility, created_at, t.session_id, v FROM {T} t JOIN {FIRST_V} f ON f.session_id = t.session_id WHERE reflection IS NOT NULL AND utility IS NOT NULL AND created_at IS NOT NULL)"
+WORDS4 = lambda c: f"list_distinct(regexp_extract_all(lower(coalesce({c},'')), '[a-z0-9]{{4,}}'))"
+NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id) AS pos FROM {C} WHERE session_id IS NOT NULL)"
+CITED = f"""(SELECT a.session_id, a.chunk_id, b.chunk_id AS reply_id, round(len(list_intersect(wa, wb)) / len(wa), 6) AS share, CASE WHEN len(list_intersect(wa, wb)) / len(wa) >= 0.3 THEN 1 ELSE 0 END AS cited
+ FROM (SELECT *, {WORDS4('content')} AS wa FROM {NUMBERED}) a JOIN (SELECT *, {WORDS4('content')} AS wb FROM {NUMBERED}) b ON b.session_id = a.session_id AND b.pos = a.pos + 1 WHERE len(wa) > 0 AND b.role = 'assistant')"""
 
-def _first_vectors(spark, d):
-    from ..functions.vectors import usable
 
-    v = vectors(spark, d).filter(usable(F.col("embedding"), VEC))
-    return chunks(spark, d).filter("session_id is not null").join(v, "chunk_id").groupBy("session_id").agg(F.min_by("embedding", F.struct(F.coalesce("turn_index", F.lit(-1)), "chunk_id")).alias("embedding"))
+def citations(spark, d):
+    """(session_id, chunk_id, reply_id, share, cited): how much of a message the reply after it takes up."""
+    w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_first(), "chunk_id")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit("[a-z0-9]{4,}"), 0))
+    p = chunks(spark, d).filter("session_id is not null").select("session_id", "turn_index", "chunk_id", "role", words.alias("wa"))
+    p = p.withColumn("reply_id", F.lead("chunk_id").over(w)).withColumn("wb", F.lead("wa").over(w)).withColumn("r", F.lead("role").over(w))
+    share = ranking.overlap_share(F.col("wa"), F.col("wb"))
+    p = p.filter((F.size("wa") > 0) & (F.col("r") == "assistant"))
+    return p.select("session_id", "chunk_id", "reply_id", F.round(share, 6).alias("share"), (share >= 0.3).cast("int").alias("cited"))
 
 
-@query(f"""WITH {knn_sql(ASKED_V, 'chunk_id', 'v', 20, own=REFLECT, vid='trajectory_id', skip_self=False)},
- sc AS (SELECT query, kn.id, round(cosine + 0.3*utility + 0.15*pow(0.5, ({NOW} - created_at)/86400.0/30), 6) AS score FROM kn JOIN {T} t ON t.trajectory_id = kn.id WHERE cosine >= 0.2)
+@query(f"""WITH {knn_sql(ASKED_V, 'chunk_id', 'v', 20, own=REFLECT, vid='trajectory_id', skip_self=False)}, ci AS (SELECT session_id, count(*) AS views, sum(cited) AS cites FROM {CITED} GROUP BY session_id),
+ sc AS (SELECT query, kn.id, round(cosine + 0.3*utility + 0.2*(coalesce(cites, 0) + 1)/(coalesce(views, 0) + 2) + 0.15*least(1, pow(0.5, ({NOW} - created_at)/86400.0/30)), 6) AS score
+  FROM kn JOIN {T} t ON t.trajectory_id = kn.id LEFT JOIN ci ON ci.session_id = t.session_id WHERE cosine >= 0.6)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5""")
 def rt14_reflection_retrieval(spark, d):
+    """Nearest reflections, by likeness, utility, how often they were taken up, and age."""
     t = trajectories(spark, d).filter("reflection is not null and utility is not null and created_at is not null")
     own = t.select("trajectory_id", "session_id").join(_first_vectors(spark, d), "session_id")
     v = vectors(spark, d).filter("chunk_id % 100 = 0")
-    near = dense.knn_topk(v, "chunk_id", "embedding", own, "trajectory_id", "embedding", VEC, 20).filter("cosine >= 0.2")
-    j = near.join(t.select(F.col("trajectory_id").alias("id"), "utility", "created_at"), "id")
-    fresh = F.pow(F.lit(0.5), (F.lit(NOW) - F.col("created_at")) / 86400 / 30)
-    s = j.select("query", "id", F.round(F.col("cosine") + 0.3 * F.col("utility") + 0.15 * fresh, 6).alias("score"))
+    near = dense.knn_topk(v, "chunk_id", "embedding", own, "trajectory_id", "embedding", VEC, 20).filter("cosine >= 0.6")
+    seen = citations(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("views"), F.sum("cited").alias("cites"))
+    j = near.join(t.select(F.col("trajectory_id").alias("id"), "session_id", "utility", "created_at"), "id").join(seen, "session_id", "left")
+    fresh = ranking.recency((F.lit(NOW) - F.col("created_at")) / 86400, 30)
+    cite = (F.coalesce("cites", F.lit(0)) + 1) / (F.coalesce("views", F.lit(0)) + 2)
+    s = j.select("query", "id", F.round(F.col("cosine") + 0.3 * F.col("utility") + 0.2 * cite + 0.15 * fresh, 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter("rank <= 5")
 
 
-@query(f"""WITH {knn_sql(ASKED_V, 'chunk_id', 'v', 64)} SELECT query, id, round((1 - cosine) / greatest(coalesce(len(content), 0) / 1000.0, 0.01), 6) AS adjusted, rank FROM kn JOIN {C} c ON c.chunk_id = id WHERE role = 'assistant'""")
-def rt17_knn_then_filter(spark, d):
-    """The k nearest come first, the filter after, so a query may keep fewer than k."""
-    v = vectors(spark, d)
-    near = dense.knn_topk(v.filter("chunk_id % 100 = 0"), "chunk_id", "embedding", v, "chunk_id", "embedding", VEC, 64, exclude_self=True)
-    c = chunks(spark, d).filter("role = 'assistant'").select(F.col("chunk_id").alias("id"), "content")
-    weight = F.greatest(F.coalesce(F.char_length("content"), F.lit(0)) / 1000.0, F.lit(0.01))
-    return near.join(c, "id").select("query", "id", F.round((1 - F.col("cosine")) / weight, 6).alias("adjusted"), "rank")
+@query()
+def rt15_case_injection(spark, d):
+    """Past cases like the task: the nearest first, then by raw likeness against words in common (held against brute force in the tests)."""
+    t = trajectories(spark, d).filter("task is not null")
+    own = t.select("trajectory_id", "session_id").join(_first_vectors(spark, d), "session_id")
+    near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", own, "trajectory_id", "embedding", VEC, 8).filter("cosine >= 0.75")
+    hits = near.join(t.select(F.col("trajectory_id").alias("id"), "task"), "id")
+    return fusion.seeded_mmr(hits, "cosine", "task", 0.7, 4).join(t.select(F.col("trajectory_id").alias("id"), "outcome"), "id").select("query", "id", "pick", "outcome")
+
+
+_ASCII = r"[a-zA-Z][a-zA-Z0-9_]*"
+RULES = f"""(SELECT trajectory_id, task AS condition, coalesce(task, '') || ' ' || reflection AS rule, CAST(floor(utility*5) AS INT) AS helpful, CAST(floor((1-utility)*3) AS INT) AS harmful, created_at FROM {T} WHERE reflection IS NOT NULL AND utility IS NOT NULL)"""
+RULE_Q = f"""(SELECT trajectory_id, array_to_string(list_distinct_in_order[1:12], ' ') AS terms FROM (SELECT trajectory_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM
+ (SELECT trajectory_id, list_filter(list_transform(regexp_extract_all(substr(task, 1, 500), '{_ASCII}'), lambda x: lower(x)), lambda x: length(x) >= 4) AS w FROM {TASKS})))"""
+
+
+@query(f"""WITH {bm25_sql(RULES, 'trajectory_id', 'rule', RULE_Q, 'trajectory_id', 'terms', 9)},
+ sc AS (SELECT query, doc, bm.rank AS lexical_rank, round(helpful - harmful + CASE WHEN created_at IS NULL OR created_at >= {NOW} THEN 1 ELSE pow(0.5, ({NOW} - created_at)/86400.0/30) END, 6) AS value FROM bm JOIN {RULES} r ON r.trajectory_id = doc)
+ SELECT * FROM (SELECT query, doc, value, row_number() OVER (PARTITION BY query ORDER BY value DESC, lexical_rank) AS rank FROM sc) WHERE rank <= 3""")
+def rt16_principle_retrieval(spark, d):
+    """Rules whose words fit the task: three times as many as wanted, then by proven worth and age."""
+    t = trajectories(spark, d).filter("reflection is not null and utility is not null")
+    count = lambda c: F.floor(c).cast("int")
+    rules = t.select("trajectory_id", F.concat(F.coalesce("task", F.lit("")), F.lit(" "), "reflection").alias("rule"), count(F.col("utility") * 5).alias("helpful"), count((1 - F.col("utility")) * 3).alias("harmful"), "created_at")
+    words = F.filter(F.transform(F.regexp_extract_all(F.substring("task", 1, 500), F.lit(_ASCII), 0), F.lower), lambda x: F.char_length(x) >= 4)
+    asked = tasks(spark, d).select("trajectory_id", F.array_join(F.slice(F.array_distinct(words), 1, 12), " ").alias("terms"))
+    hit = lexical.bm25_topk(rules, "trajectory_id", "rule", asked, "trajectory_id", "terms", 9).withColumnRenamed("rank", "lexical_rank")
+    j = hit.join(rules.withColumnRenamed("trajectory_id", "doc"), "doc")
+    age = F.coalesce((F.lit(NOW) - F.col("created_at")) / 86400, F.lit(0.0))
+    s = j.select("query", "doc", F.round(F.col("helpful") - F.col("harmful") + ranking.recency(age, 30), 6).alias("value"), "lexical_rank")
+    w = Window.partitionBy("query").orderBy(F.desc("value"), "lexical_rank")
+    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("query", "doc", "value", "rank")
+
+
+@query(f"""WITH {knn_sql(ASKED_V, 'chunk_id', 'v', 64, own=FACT_V, vid='fact_id', skip_self=False)}, sc AS (SELECT query, id, round(greatest(0, cosine), 6) AS relevance, (1 - cosine) / greatest(trust, 0.01) AS adjusted FROM kn JOIN {FACTS} f ON f.fact_id = id
+ WHERE fact_type IN ('cheatsheet','expel') AND invalid_at IS NULL AND trust >= 0.3)
+ SELECT query, id, relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(adjusted, 9), id) AS rank FROM sc) WHERE rank <= 5""")
+def rt17_lesson_retrieval(spark, d):
+    """The k nearest come first, the filter after, so a query may keep fewer; least distance for its trust first."""
+    v = vectors(spark, d).filter("chunk_id % 100 = 0")
+    near = dense.knn_topk(v, "chunk_id", "embedding", fact_vectors(spark, d), "fact_id", "embedding", VEC, 64)
+    live = facts(spark, d).filter("fact_type in ('cheatsheet','expel') and invalid_at is null and trust >= 0.3").select(F.col("fact_id").alias("id"), "trust")
+    far = 1 - F.col("cosine")
+    s = near.join(live, "id").select("query", "id", F.round(F.greatest(F.lit(0.0), F.col("cosine")), 6).alias("relevance"), F.round(far / F.greatest("trust", F.lit(0.01)), 9).alias("adjusted"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("adjusted", "id"))).filter("rank <= 5").drop("adjusted")
+
+
+_NAME_WORDS = "list_distinct(regexp_extract_all(lower(skill_name), '[\\p{L}\\p{N}]+'))"
+SKILL_HITS = f"""{knn_sql(TASK_V, 'trajectory_id', 'v', 15, own=SKILL_V, vid='skill_id', skip_self=False)}, tot AS (SELECT sum(use_count) AS total FROM {K} WHERE skill_status <> 'deprecated'),
+ adj AS (SELECT query, id, round(1 - cosine - 0.05*(success_count/greatest(use_count,1) + sqrt(2*ln(total+1)/greatest(use_count,1))) - CASE WHEN len({_NAME_WORDS}) > 0 THEN 0.1*len(list_intersect({_NAME_WORDS}, list_distinct({terms_sql('task')})))/len({_NAME_WORDS}) ELSE 0 END, 6) AS adjusted
+  FROM kn JOIN {K} s ON s.skill_id = id JOIN {TASKS} t ON t.trajectory_id = query, tot WHERE skill_status <> 'deprecated')"""
+
 
+def _skill_hits(spark, d):
+    k = skills(spark, d).filter("skill_status <> 'deprecated'")
+    total = k.agg(F.sum("use_count").alias("total"))
+    near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", skill_vectors(spark, d), "skill_id", "embedding", VEC, 15)
+    j = near.join(k.select(F.col("skill_id").alias("id"), "skill_name", "use_count", "success_count"), "id").join(F.broadcast(total))
+    j = j.join(tasks(spark, d).select(F.col("trajectory_id").alias("query"), "task"), "query")
+    words = lambda c: F.array_distinct(text.terms(F.col(c)))
+    score = ranking.ucb1(1 - F.col("cosine"), F.col("use_count"), F.col("success_count"), F.col("total"), 0.05)
+    return j.select("query", "id", F.round(ranking.name_overlap(score, words("skill_name"), words("task"), 0.1), 6).alias("adjusted"))
 
-SKILL_DOCS = "(SELECT skill_id, replace(replace(skill_name, '-', ' '), '_', ' ') AS words, use_count, success_count FROM skill_stats)"
 
+@query(f"WITH {SKILL_HITS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY adjusted, id) AS rank FROM adj) WHERE rank <= 5")
+def rt18_skill_search(spark, d):
+    """Nearest skills by vector, deprecated ones dropped, distances less an optimistic success rate and words of the name."""
+    return _skill_hits(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("adjusted", "id"))).filter("rank <= 5")
 
-@query(f"""WITH {bm25_sql(SKILL_DOCS, 'skill_id', 'words', TASKS, 'trajectory_id', 'task', 15)}, tot AS (SELECT sum(use_count) AS total FROM skill_stats WHERE lower(trim(skill_status)) <> 'deprecated'),
- adj AS (SELECT query, doc, round(1/(1+score) - 0.05*(success_count/greatest(use_count,1) + sqrt(2*ln(total+1)/greatest(use_count,1))), 6) AS adjusted FROM bm JOIN {SKILL_DOCS} s ON s.skill_id = doc, tot)
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY adjusted, doc) AS rank FROM adj) WHERE rank <= 5""")
-def rt18_skill_ucb1(spark, d):
-    k = skills(spark, d)
-    total = k.filter("skill_status <> 'deprecated'").agg(F.sum("use_count").alias("total"))
-    docs = k.withColumn("words", F.translate("skill_name", "-_", "  "))
-    hit = lexical.bm25_topk(docs, "skill_id", "words", tasks(spark, d), "trajectory_id", "task", 15)
-    j = hit.join(k.select(F.col("skill_id").alias("doc"), "use_count", "success_count"), "doc").join(F.broadcast(total))
-    score = ranking.ucb1(1 / (1 + F.col("score")), F.col("use_count"), F.col("success_count"), F.col("total"), 0.05)
-    s = j.select("query", "doc", F.round(score, 6).alias("adjusted"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("adjusted", "doc"))).filter("rank <= 5")
+
+@query()
+def rt18_skill_siblings(spark, d):
+    """The same hits with like ones under the first (held against brute force in the tests)."""
+    ranked = _skill_hits(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("adjusted", "id")))
+    return cluster.siblings(ranked.join(skill_vectors(spark, d).select(F.col("skill_id").alias("id"), "embedding"), "id"), "embedding", 0.82, 5)
+
+
+@query(f"""WITH {knn_sql(TASK_V, 'trajectory_id', 'v', 15, own=SKILL_V, vid='skill_id', skip_self=False)}, adj AS (SELECT query, id, round(CASE WHEN use_count >= 3 THEN 1 - cosine - 0.003*success_count/use_count ELSE 1 - cosine END, 6) AS adjusted FROM kn JOIN {K} s ON s.skill_id = id WHERE skill_status <> 'deprecated')
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY adjusted, id) AS rank FROM adj) WHERE rank <= 5""")
+def rk2_success_weighted(spark, d):
+    k = skills(spark, d).filter("skill_status <> 'deprecated'").select(F.col("skill_id").alias("id"), "use_count", "success_count")
+    near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", skill_vectors(spark, d), "skill_id", "embedding", VEC, 15).join(k, "id")
+    s = near.select("query", "id", F.round(ranking.success_weighted(1 - F.col("cosine"), F.col("use_count"), F.col("success_count"), 0.3, 3), 6).alias("adjusted"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("adjusted", "id"))).filter("rank <= 5")
+
+
+SKILL_DOCS = f"(SELECT skill_id, skill_name || ' ' || coalesce(description, '') AS words FROM {K} k LEFT JOIN {DESCRIBED} x ON x.name = k.skill_name)"
 
 
 @query(f"WITH {bm25_sql(SKILL_DOCS, 'skill_id', 'words', TASKS, 'trajectory_id', 'task', 5)} SELECT query, doc, round(1/(1+score), 6) AS distance, rank FROM bm")
 def rt19_skill_lexical(spark, d):
-    docs = skills(spark, d).withColumn("words", F.translate("skill_name", "-_", "  "))
+    """Skills by the words of their name and description, without stems."""
+    k = skills(spark, d).join(described(spark, d), F.col("skill_name") == F.col("name"), "left")
+    docs = k.select("skill_id", F.concat_ws(" ", "skill_name", F.coalesce("description", F.lit(""))).alias("words"))
     hit = lexical.bm25_topk(docs, "skill_id", "words", tasks(spark, d), "trajectory_id", "task", 5)
     return hit.select("query", "doc", F.round(1 / (1 + F.col("score")), 6).alias("distance"), "rank")
 
@@ -232,24 +349,12 @@ def rk3_name_overlap(spark, d):
     return x.select("doc_id", "skill_name", F.round(ranking.name_overlap(F.lit(0.5), text.word_set(F.col("skill_name")), text.word_set(F.col("text")), 0.2), 6).alias("distance"))
 
 
-WORDS4 = lambda c: f"list_distinct(regexp_extract_all(lower(coalesce({c},'')), '[a-z0-9]{{4,}}'))"
-
-
-@query(f"""WITH p AS MATERIALIZED {NUM} SELECT a.chunk_id, b.chunk_id AS reply_id, round(len(list_intersect(wa, wb)) / len(wa), 6) AS share, CASE WHEN len(list_intersect(wa, wb)) / len(wa) >= 0.3 THEN 1 ELSE 0 END AS cited
- FROM (SELECT *, {WORDS4('content')} AS wa FROM p) a JOIN (SELECT *, {WORDS4('content')} AS wb FROM p) b ON b.session_id = a.session_id AND b.pos = a.pos + 1 WHERE len(wa) > 0 AND b.role = 'assistant'""")
+@query(f"SELECT chunk_id, reply_id, share, cited FROM {CITED}")
 def rk5_citation(spark, d):
-    w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_first(), "chunk_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit("[a-z0-9]{4,}"), 0))
-    p = chunks(spark, d).filter("session_id is not null").select("session_id", "turn_index", "chunk_id", "role", words.alias("wa"))
-    p = p.withColumn("reply_id", F.lead("chunk_id").over(w)).withColumn("wb", F.lead("wa").over(w)).withColumn("r", F.lead("role").over(w))
-    share = ranking.overlap_share(F.col("wa"), F.col("wb"))
-    p = p.filter((F.size("wa") > 0) & (F.col("r") == "assistant"))
-    return p.select("chunk_id", "reply_id", F.round(share, 6).alias("share"), (share >= 0.3).cast("int").alias("cited"))
+    return citations(spark, d).drop("session_id")
 
 
 @query(f"SELECT chunk_id, round(sqrt(list_sum(list_transform(v[1:64], lambda x: x*x))), 5) AS head_norm FROM {V}")
 def rk11_truncated_norm(spark, d):
-    from ..functions.vectors import as_double, norm, usable
-
     v = vectors(spark, d).filter(usable(F.col("embedding"), VEC))
     return v.select("chunk_id", F.round(norm(as_double(F.slice("embedding", 1, 64))), 5).alias("head_norm"))

@@ -43,10 +43,11 @@ def sf25_token_budget_tail(spark, d):
     return browse.tail_under_budget(chunks(spark, d), t, 500).select("session_id", "chunk_id", "tokens", "running")
 
 
-@query(f"SELECT session_id, task, outcome, created_at FROM {T} WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM {C} WHERE session_id IS NOT NULL)")
-def jn14_orphan_trajectories(spark, d):
-    c = chunks(spark, d).filter("session_id is not null").select("session_id").distinct()
-    return trajectories(spark, d).filter("session_id is not null").join(c, "session_id", "left_anti").select("session_id", "task", "outcome", "created_at")
+@query(f"SELECT DISTINCT chunk_id FROM chunks_vec WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)")
+def jn14_orphan_vectors(spark, d):
+    """Vectors whose message is gone."""
+    c = chunks(spark, d).select("chunk_id")
+    return vectors(spark, d).select("chunk_id").join(c, "chunk_id", "left_anti").distinct()
 
 
 @query(f"SELECT chunk_id, session_id FROM {C} WHERE session_id IN (SELECT session_id FROM {T} WHERE outcome = 'ok')")
@@ -220,22 +221,32 @@ def gr2_merged_tags(spark, d):
     return j.select("a", "b", F.array_join(graph.merged_tags(F.col("p"), F.col("q"), 3), ",").alias("tags"))
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY trajectory_id DESC) AS k FROM {T} WHERE reflection IS NOT NULL AND session_id IS NOT NULL), x AS (SELECT * FROM r WHERE k <= 20)
- SELECT a.trajectory_id AS a, b.trajectory_id AS b, count(*) AS n FROM x a JOIN x b ON a.session_id = b.session_id AND a.trajectory_id < b.trajectory_id GROUP BY ALL""")
+# A user's purchases stand for what was active together: sessions of the table have one reflection at most.
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'purchase'), x AS (SELECT user_id, event_id % 97 AS item FROM r WHERE k <= 20 GROUP BY ALL)
+ SELECT a.item AS a, b.item AS b, count(*) AS n FROM x a JOIN x b ON a.user_id = b.user_id AND a.item < b.item GROUP BY ALL""")
 def gr5_coactivation(spark, d):
-    t = trajectories(spark, d).filter("reflection is not null and session_id is not null")
-    top = t.withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("trajectory_id")))).filter("k <= 20")
-    return graph.pair_counts(top, "session_id", "trajectory_id", "created_at").select("a", "b", "n")
+    """Pairs among the 20 highest ids of each key."""
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'purchase'")
+    top = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("k <= 20")
+    return graph.pair_counts(top.select("user_id", (F.col("event_id") % 97).alias("item"), "ts"), "user_id", "item", "ts").select("a", "b", "n")
 
 
-@query(f"""WITH x AS (SELECT trajectory_id, outcome, created_at, v FROM {T} t JOIN {FIRST_V} f ON f.session_id = t.session_id WHERE outcome IN ('ok','fail') AND created_at IS NOT NULL)
+CONTRAST = f"(SELECT trajectory_id, outcome, created_at, v FROM {T} t JOIN {FIRST_V} f ON f.session_id = t.session_id WHERE outcome IN ('ok','fail','partial') AND created_at >= {NOW} - 90*86400)"
+
+
+@query(f"""WITH x AS {CONTRAST}, o AS (SELECT * FROM x WHERE outcome = 'ok' ORDER BY created_at DESC, trajectory_id LIMIT 50)
  SELECT trajectory_id, other, cosine FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY cosine DESC, other) AS r FROM (SELECT a.trajectory_id, b.trajectory_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine
-  FROM x a JOIN x b ON a.outcome = 'fail' AND b.outcome = 'ok')) WHERE r = 1""")
+  FROM x a JOIN o b ON a.outcome <> 'ok')) WHERE r = 1""")
 def jn16_contrast_pairs(spark, d):
-    t = trajectories(spark, d).filter("outcome in ('ok','fail') and created_at is not null").select("trajectory_id", "session_id", "outcome")
+    """Every failure's most similar success, among the newest 50 of the last 90 days."""
+    t = trajectories(spark, d).filter(F.col("outcome").isin("ok", "fail", "partial") & (F.col("created_at") >= NOW - 90 * 86400)).select("trajectory_id", "session_id", "outcome", "created_at")
     x = t.join(_first_vectors(spark, d), "session_id")
-    near = dense.knn_topk(x.filter("outcome = 'fail'"), "trajectory_id", "embedding", x.filter("outcome = 'ok'"), "trajectory_id", "embedding", VEC, 1)
-    return near.select(F.col("query").alias("trajectory_id"), F.col("id").alias("other"), "cosine")
+    good = x.filter(text.outcome_class(F.col("outcome")) == "success").orderBy(F.desc("created_at"), "trajectory_id").limit(50)
+    bad = x.filter(text.outcome_class(F.col("outcome")) == "failure")
+    # the bounded side is the block of queries; every failure keeps its best of them
+    near = dense.knn_topk(good, "trajectory_id", "embedding", bad, "trajectory_id", "embedding", VEC, None)
+    best = near.groupBy(F.col("id").alias("trajectory_id")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("query").alias("other"))).alias("b"))
+    return best.select("trajectory_id", "b.other", (-F.col("b.c")).alias("cosine"))
 
 
 @query(f"WITH {knn_sql(ASKED_V, 'chunk_id', 'v', 64)} SELECT chunk_id FROM {ASKED_V} WHERE chunk_id NOT IN (SELECT query FROM kn WHERE cosine >= 0.92 AND id < query)")
@@ -321,7 +332,7 @@ def rk7_trust_fold(spark, d):
 def rk10_salience_resets(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     v = F.when(F.col("event_type") == "error", 3.0).when(F.col("event_type") == "purchase", 2.0).otherwise(1.0)
-    return folds.ordered(e, "user_id", ["ts", "event_id"], v).select("user_id", folds.resets(F.col("events"), 5.0).alias("nudges"))
+    return folds.resets(e, "user_id", ["ts", "event_id"], v, 5.0)
 
 
 @query("""SELECT event_id, user_id FROM (SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM
@@ -357,14 +368,6 @@ def sk16_retention_purge(spark, d):
     return n(kept, "sessions").unionByName(n(rest["chunks"], "chunks")).unionByName(n(detached, "detached"))
 
 
-@query(f"""WITH x AS (SELECT trajectory_id AS id, CASE WHEN outcome = 'fail' AND created_at < {NOW} - 14*86400 THEN 1 WHEN utility < 0.3 AND created_at < {NOW} - 30*86400 THEN 2 END AS tier, created_at, utility FROM {T})
- SELECT id AS trajectory_id, tier FROM x WHERE tier IS NOT NULL ORDER BY tier, CASE WHEN tier = 1 THEN created_at END NULLS FIRST, CASE WHEN tier = 2 THEN utility END NULLS FIRST, created_at NULLS FIRST, id LIMIT 40""")
-def sk17_ranked_eviction(spark, d):
-    old = lambda days: F.col("created_at") < NOW - days * 86400
-    tiers = [((F.col("outcome") == "fail") & old(14), [F.col("created_at")]), ((F.col("utility") < 0.3) & old(30), [F.col("utility"), F.col("created_at")])]
-    return retention.evict(trajectories(spark, d), "trajectory_id", tiers, 40)
-
-
 @query("SELECT skill_id FROM skill_stats ORDER BY 2*success_count - use_count DESC, last_used_at DESC NULLS LAST, skill_id LIMIT 50")
 def sk18_keep_best(spark, d):
     return retention.keep_best(skills(spark, d), "skill_id", [F.desc(2 * F.col("success_count") - F.col("use_count")), F.desc_nulls_last("last_used_at")], 50).select("skill_id")
@@ -387,15 +390,24 @@ def ev1_retrieval_scores(spark, d):
     return evaluate.ranking_scores(ranked, _gold(spark, d), 10)
 
 
+SAME_SKILL = f"(SELECT DISTINCT t.trajectory_id AS query, o.session_id AS id FROM (SELECT trajectory_id, session_id, unnest(skills) AS skill FROM {T} WHERE trajectory_id % 100 = 0) t JOIN (SELECT session_id, unnest(skills) AS skill FROM {T} WHERE outcome = 'ok') o ON o.skill = t.skill WHERE o.session_id IS NOT NULL UNION SELECT trajectory_id, session_id FROM {T} WHERE trajectory_id % 100 = 0 AND session_id IS NOT NULL)"
+
+
 @query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', f"(SELECT * FROM {T} WHERE trajectory_id % 100 = 0)", 'trajectory_id', 'task', 25)}, s AS (SELECT query, session_id AS id, min(rank) AS best FROM bm JOIN {C} c ON c.chunk_id = doc WHERE session_id IS NOT NULL GROUP BY ALL),
- r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY best, id) AS rank FROM s), g AS (SELECT trajectory_id AS query, session_id AS id FROM {T} WHERE trajectory_id % 100 = 0 AND session_id IS NOT NULL)
- SELECT g.query, CAST(max(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) AS INT) AS any_at, CAST(max(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) AS INT) AS all_at FROM g LEFT JOIN r ON r.query = g.query AND r.id = g.id GROUP BY g.query""")
+ r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY best, id) AS rank FROM s), g AS (SELECT query, id FROM {SAME_SKILL}), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query)
+ SELECT g.query, CAST(max(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) AS INT) AS any_at, CAST(min(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) AS INT) AS all_at,
+  round(coalesce(sum(CASE WHEN r.rank <= 10 THEN 1/log2(r.rank+1) END), 0) / any_value(list_sum(list_transform(range(1, least(n_gold, 10)+1), lambda i: 1/log2(i+1)))), 6) AS ndcg
+  FROM g JOIN n ON n.query = g.query LEFT JOIN r ON r.query = g.query AND r.id = g.id GROUP BY g.query""")
 def ev3_session_scores(spark, d):
+    """Sessions by their first hit, against the task's own and all that used one of its skills with success."""
     c = chunks(spark, d).filter("session_id is not null").select(F.col("chunk_id").alias("doc"), "session_id")
     best = _bm25(spark, d, 25).join(c, "doc").groupBy("query", F.col("session_id").alias("id")).agg(F.min("rank").alias("best"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("best", "id")))
-    gold = tasks(spark, d).filter("session_id is not null").select(F.col("trajectory_id").alias("query"), F.col("session_id").alias("id"))
-    return evaluate.any_all_at(ranked, gold, 5)
+    own = tasks(spark, d).select(F.col("trajectory_id").alias("query"), F.explode("skills").alias("skill"))
+    good = uses(spark, d).filter("outcome = 'ok' and session_id is not null").select("skill", F.col("session_id").alias("id"))
+    itself = tasks(spark, d).filter("session_id is not null").select(F.col("trajectory_id").alias("query"), F.col("session_id").alias("id"))
+    gold = own.join(good, "skill").select("query", "id").unionByName(itself).distinct()
+    return evaluate.session_scores(ranked, gold, 5, 10)
 
 
 @query(f"""WITH x AS (SELECT 'utility' AS source, outcome AS truth, CASE WHEN utility >= 0.7 THEN 'ok' WHEN utility < 0.3 THEN 'fail' END AS guess FROM {T} WHERE outcome <> 'unknown'), l AS (SELECT unnest(['ok','fail','partial']) AS label),

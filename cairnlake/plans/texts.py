@@ -42,15 +42,16 @@ def fl16_literal_substring(spark, d):
  FROM (SELECT trajectory_id, list_filter(regexp_extract_all(lower(task), '[\\p{{L}}\\p{{N}}]+')[1:3], lambda x: length(x) > 3) AS w FROM {T} WHERE trajectory_id % 100 = 0) q
  JOIN {T} t ON len(w) > 0 AND regexp_matches(lower(t.task), '(?s)' || w[1] || '.*' || coalesce(w[2], '')) ) WHERE r <= 5""")
 def fl17_like_fallback(spark, d):
-    t = trajectories(spark, d)
+    """Tasks that hold the first two long words of a query in order: candidates by a 3-gram of the first, then the pattern."""
+    t = trajectories(spark, d).select(F.col("trajectory_id").alias("doc"), "created_at", F.lower("task").alias("t")).filter("t <> ''")
     w = F.filter(F.slice(text.terms(F.col("task")), 1, 3), lambda x: F.char_length(x) > 3)
-    asked = t.filter("trajectory_id % 100 = 0").select(F.col("trajectory_id").alias("query"), w.alias("w")).filter(F.size("w") > 0)
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 queries: ask in blocks")
+    asked = trajectories(spark, d).filter("trajectory_id % 100 = 0").select(F.col("trajectory_id").alias("query"), w.alias("w")).filter(F.size("w") > 0)
     pattern = F.concat(F.lit("%"), F.col("w")[0], F.lit("%"), F.coalesce(F.get("w", F.lit(1)), F.lit("")), F.lit("%"))
-    j = t.select(F.col("trajectory_id").alias("doc"), "created_at", F.lower("task").alias("t")).join(F.broadcast(asked.withColumn("p", pattern)), F.expr("t like p"))
+    asked = asked.select("query", pattern.alias("p"), F.substring(F.col("w")[0], 1, 3).alias("g"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("t") - 2, F.lit(1))), lambda i: F.substring("t", i, 3)))
+    near = t.select("doc", F.explode(grams).alias("g")).join(asked, "g").select("doc", "query", "p").join(t, "doc").filter(F.expr("t like p"))
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("created_at"), "doc"))
-    return j.withColumn("r", r).filter("r <= 5").select("query", "doc")
+    return near.withColumn("r", r).filter("r <= 5").select("query", "doc")
 
 
 @query(f"SELECT session_id FROM {S} WHERE coalesce(lower(trim(session_key)), '') <> 'heartbeat' AND NOT starts_with(coalesce(lower(trim(session_key)), ''), 'cron:')")
@@ -59,26 +60,6 @@ def fl18_labelled_sessions(spark, d):
     return sessions(spark, d).filter((k != "heartbeat") & ~k.startswith("cron:")).select("session_id")
 
 
-_INVISIBLE = "regexp_matches(x, '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}]')"
-
-
-def _rules_sql(rules) -> str:
-    quoted = lambda s: s.replace("'", "''")
-    return " ".join(f"WHEN regexp_matches(x, '{quoted(p)}') THEN '{label}'" for label, p in rules)
-
-
-@query(f"SELECT id, source, label FROM (SELECT *, CASE WHEN {_INVISIBLE} THEN 'invisible unicode' {_rules_sql(text.INJECTION + text.EXFILTRATION)} END AS label FROM (SELECT chunk_id AS id, 'chunk' AS source, content AS x FROM {C} UNION ALL SELECT doc_id, 'document', text FROM documents)) WHERE label IS NOT NULL")
-def fl21_threats(spark, d):
-    c = chunks(spark, d).select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("source"), F.col("content").alias("x"))
-    x = c.unionByName(documents(spark, d).select(F.col("doc_id").alias("id"), F.lit("document").alias("source"), F.col("text").alias("x")))
-    return x.select("id", "source", text.threat(F.col("x")).alias("label")).filter("label is not null")
-
-
-@query(f"SELECT doc_id, label FROM (SELECT doc_id, CASE WHEN {_INVISIBLE} THEN 'invisible unicode' {_rules_sql(text.INJECTION + text.DESTRUCTIVE + text.PERSISTENCE + text.EXFILTRATION + text.OBFUSCATION)} END AS label FROM (SELECT doc_id, text AS x FROM documents)) WHERE label IS NOT NULL")
-def fl22_skill_threats(spark, d):
-    return documents(spark, d).select("doc_id", text.skill_threat(F.col("text")).alias("label")).filter("label is not null")
-
-
 @query("SELECT skill_name, regexp_matches(skill_name, '^[a-z0-9][a-z0-9_-]{0,63}$') AS valid FROM skill_stats")
 def fl23_valid_names(spark, d):
     return skills(spark, d).select("skill_name", F.col("skill_name").rlike("^[a-z0-9][a-z0-9_-]{0,63}$").alias("valid"))
@@ -133,20 +114,6 @@ def sc8_front_matter(spark, d):
     return x.filter(b != "").select("doc_id", text.front_matter(t, "name").alias("name"), text.front_matter(t, "description").alias("description"))
 
 
-@query()
-def sf4_redacted_secrets(spark, d):
-    r = text.redacted("content")
-    return chunks(spark, d).filter("content is not null").select("chunk_id", r.alias("r")).filter("r.secrets > 0").select("chunk_id", "r.secrets", F.array_join("r.kinds", ",").alias("kinds"), F.sha2("r.text", 256).alias("digest"))
-
-
-_KEYS = "(sk-[A-Za-z0-9_-]{10,}|gh[pousr]_[A-Za-z0-9]{10,}|AKIA[A-Z0-9]{16}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|hf_[A-Za-z0-9]{10,}|npm_[A-Za-z0-9]{10,})"
-
-
-@query(f"SELECT chunk_id, len(regexp_extract_all(content, '{_KEYS}')) AS n FROM {C} WHERE regexp_matches(content, '{_KEYS}')")
-def sf4_key_counts(spark, d):
-    return chunks(spark, d).filter(F.col("content").rlike(_KEYS)).select("chunk_id", F.size(F.regexp_extract_all("content", F.lit(_KEYS), 0)).alias("n"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(translate(text, '‘’“”–—…', '''''\"\"--.'), '[ \\t\\r\\n]+', ' ', 'g')) AS folded FROM documents WHERE text IS NOT NULL")
 def sf5_folded_typography(spark, d):
     t = F.translate("text", "‘’“”–—…", "''\"\"--.")
@@ -185,19 +152,6 @@ def wn6_rolling_reactions(spark, d):
     return u.select("chunk_id", "reaction", F.sum(v).over(w).alias("mood"))
 
 
-@query(f"""SELECT session_id, CASE WHEN last_bad > last_good THEN 'fail' WHEN last_good > 0 AND bad > 0 THEN 'partial' WHEN last_good > 0 THEN 'ok' ELSE 'unknown' END AS label FROM
- (SELECT session_id, max(CASE WHEN reaction = 'positive' THEN p ELSE 0 END) AS last_good, max(CASE WHEN reaction = 'correction' THEN p ELSE 0 END) AS last_bad, count(*) FILTER (WHERE reaction = 'correction') AS bad FROM
- (SELECT session_id, {REACT} AS reaction, row_number() OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id) AS p FROM (SELECT *, {strip_sql('content')} AS t FROM {C} WHERE {USER} AND {strip_sql('content')} <> '' AND session_id IS NOT NULL)) GROUP BY session_id)""")
-def ag15_session_labels(spark, d):
-    u = chunks(spark, d).filter(F.expr(USER) & (text.strip(F.col("content")) != "") & F.col("session_id").isNotNull())
-    w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_first(), "chunk_id")
-    r = u.select("session_id", text.reaction(F.col("content")).alias("reaction"), F.row_number().over(w).alias("p"))
-    at = lambda what: F.max(F.when(F.col("reaction") == what, F.col("p")).otherwise(0))
-    g = r.groupBy("session_id").agg(at("positive").alias("good"), at("correction").alias("bad"), F.sum((F.col("reaction") == "correction").cast("int")).alias("n"))
-    label = F.when(F.col("bad") > F.col("good"), "fail").when((F.col("good") > 0) & (F.col("n") > 0), "partial").when(F.col("good") > 0, "ok").otherwise("unknown")
-    return g.select("session_id", label.alias("label"))
-
-
 @query("SELECT doc_id, i AS place, trim(e) AS entry FROM (SELECT doc_id, unnest(p) AS e, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, CASE WHEN len(string_split(text, chr(10) || chr(10))) > 1 THEN string_split(text, chr(10) || chr(10)) ELSE string_split(text, chr(10)) END AS p FROM documents WHERE doc_kind = 'memory' AND text IS NOT NULL)) WHERE trim(e) <> ''")
 def sf13_entries(spark, d):
     x = documents(spark, d).filter("doc_kind = 'memory' and text is not null")
@@ -224,18 +178,22 @@ def sf22_failure_classes(spark, d):
     return x.select("chunk_id", text.failure_class(F.regexp_extract("content", r"code (\d+)", 1).try_cast("int"), F.col("content")).alias("class"))
 
 
-@query(f"SELECT trajectory_id, bound, CASE WHEN utility >= bound AND 1-utility <= 1-bound THEN 'yes' WHEN 1-utility >= bound AND utility <= 1-bound THEN 'no' ELSE 'unsure' END AS verdict FROM {T}, (SELECT unnest([0.6,0.7,0.8,0.9]::DOUBLE[]) AS bound) WHERE utility IS NOT NULL")
+@query(f"SELECT trajectory_id, bound, CASE WHEN p >= bound AND q <= 1-bound THEN 'yes' WHEN q >= bound AND p <= 1-bound THEN 'no' ELSE 'unsure' END AS verdict FROM (SELECT trajectory_id, utility AS p, (trajectory_id * 53 % 101) / 100.0::DOUBLE AS q FROM {T}), (SELECT unnest([0.6,0.7,0.8,0.9]::DOUBLE[]) AS bound) WHERE p IS NOT NULL")
 def sf24_two_sided_verdicts(spark, d):
-    t = trajectories(spark, d).filter("utility is not null").select("trajectory_id", "utility", F.explode(F.array(*[F.lit(x) for x in (0.6, 0.7, 0.8, 0.9)])).alias("bound"))
-    u, b = F.col("utility"), F.col("bound")
-    verdict = F.when((u >= b) & (1 - u <= 1 - b), "yes").when((1 - u >= b) & (u <= 1 - b), "no").otherwise("unsure")
-    return t.select("trajectory_id", F.col("bound").cast("double").alias("bound"), verdict.alias("verdict"))
+    """Two probabilities asked for separately, which need not add up to one."""
+    t = trajectories(spark, d).filter("utility is not null").select("trajectory_id", F.col("utility").alias("p"), (F.col("trajectory_id") * 53 % 101 / 100.0).cast("double").alias("q"), F.explode(F.array(*[F.lit(x) for x in (0.6, 0.7, 0.8, 0.9)])).alias("bound"))
+    return t.select("trajectory_id", F.col("bound").cast("double").alias("bound"), ranking.two_sided(F.col("p"), F.col("q"), F.col("bound")).alias("verdict"))
+
+
+SKILL_PATHS = "['read skills/deploy-fix/SKILL.md now', '/home/a/skills/x_1/SKILL.md', 'skills//SKILL.md', 'skills/a/b/SKILL.md', 'see skills/late/SKILL.md and skills/other/SKILL.md', 'skills/none/README.md']"
 
 
-@query(f"SELECT chunk_id, regexp_extract(content, '([a-z]+-[a-z]+)/([a-z]+_[0-9]+)\\.[a-z]+', 1) AS place, regexp_extract(content, '([a-z]+-[a-z]+)/([a-z]+_[0-9]+)\\.[a-z]+', 2) AS name FROM {C} WHERE regexp_matches(content, '([a-z]+-[a-z]+)/([a-z]+_[0-9]+)\\.[a-z]+')")
+@query(f"SELECT place, nullif(regexp_extract(x, 'skills/([^/\\s]+)/SKILL\\.md', 1), '') AS name FROM (SELECT unnest(range(1, 7)) AS place, unnest({SKILL_PATHS}) AS x) UNION ALL SELECT chunk_id + 100, regexp_extract(content, 'skills/([^/\\s]+)/SKILL\\.md', 1) FROM {C} WHERE regexp_matches(content, 'skills/([^/\\s]+)/SKILL\\.md')")
 def sf26_names_from_paths(spark, d):
-    p = r"([a-z]+-[a-z]+)/([a-z]+_[0-9]+)\.[a-z]+"
-    return chunks(spark, d).filter(F.col("content").rlike(p)).select("chunk_id", F.regexp_extract("content", p, 1).alias("place"), F.regexp_extract("content", p, 2).alias("name"))
+    p = r"skills/([^/\s]+)/SKILL\.md"
+    own = spark.range(1, 7).select(F.col("id").alias("place"), F.get(F.expr(f"array({SKILL_PATHS[1:-1]})"), (F.col("id") - 1).cast("int")).alias("x"))
+    c = chunks(spark, d).filter(F.col("content").rlike(p)).select((F.col("chunk_id") + 100).alias("place"), F.col("content").alias("x"))
+    return own.unionByName(c).select("place", F.nullif(F.regexp_extract("x", p, 1), F.lit("")).alias("name"))
 
 
 @query("SELECT skill_id, CAST(least(greatest(coalesce(try_cast(use_count AS INT), 5), 1), 10) AS INT) AS importance FROM skill_stats")

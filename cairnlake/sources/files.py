@@ -8,10 +8,11 @@ import re
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import front_matter, skill_threat
+from ..functions.text import front_matter, front_matter_text, skill_threat, threat
 
 LABELS = ("ok", "partial", "fail", "unknown")
 
@@ -34,18 +35,17 @@ def read_skill_tree(spark: SparkSession, roots: Iterable[str], skip: tuple[str,
     schema = "name string, path string, description string, label string, body string"
     if not roots:
         return spark.createDataFrame([], schema)
-    found = None
-    for order, root in enumerate(roots):
-        part = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").format("binaryFile").load(root)
-        part = part.select(F.lit(order).alias("root"), "path", F.decode("content", "UTF-8").alias("body"))
-        found = part if found is None else found.unionByName(part)
+    # one scan of all roots; the longest root that begins a path is its own
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").format("binaryFile").load(roots)
+    own = F.greatest(*[F.when(F.regexp_replace("path", "^file:/+", "/").startswith(r.rstrip("/") + "/"), F.struct(F.lit(len(r)).alias("l"), F.lit(i).alias("i"))) for i, r in enumerate(roots)], F.struct(F.lit(-1).alias("l"), F.lit(len(roots)).alias("i")))
+    found = files.select(own["i"].alias("root"), "path", F.decode("content", "UTF-8").alias("body"))
     for folder in skip:
         found = found.filter(~F.col("path").contains(f"/{folder}/"))
     name = F.coalesce(front_matter(F.col("body"), "name"), F.regexp_extract("path", r"([^/]+)/SKILL\.md$", 1))
     found = found.withColumn("name", name)
     first = Window.partitionBy("name").orderBy("root", "path")
     one = found.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-    return one.select("name", "path", front_matter(F.col("body"), "description").alias("description"), skill_threat(F.col("body")).alias("label"), "body")
+    return one.select("name", "path", front_matter_text(F.col("body"), "description").alias("description"), skill_threat(F.col("body")).alias("label"), "body")
 
 
 def expand_roots(raw: Iterable[str]) -> list[str]:
@@ -58,14 +58,35 @@ def expand_roots(raw: Iterable[str]) -> list[str]:
     return out
 
 
-def read_slots(spark: SparkSession, folder: str, slots: tuple[str, ...] = ("MEMORY", "USER", "SOUL")) -> DataFrame:
-    """(slot, text): whole Markdown files; a missing slot has the empty text."""
+def read_slots(spark: SparkSession, folder: str, slots: tuple[str, ...] = ("MEMORY", "USER", "SOUL"), clean: bool = False) -> DataFrame:
+    """(slot, text): whole Markdown files, read by Spark wherever they lie; a missing slot or folder has the empty text.
+
+    ``clean``: unsafe lines are blocked one by one; a text that is unsafe only as
+    a whole is blocked whole.
+    """
     names = spark.createDataFrame([(s,) for s in slots], "slot string")
-    if not any((Path(folder) / f"{s}.md").exists() for s in slots):
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return names.withColumn("text", F.lit(""))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
     files = files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("slot"), F.decode("content", "UTF-8").alias("text"))
-    return names.join(files, "slot", "left").select("slot", F.coalesce("text", F.lit("")).alias("text"))
+    out = names.join(files, "slot", "left").select("slot", F.coalesce("text", F.lit("")).alias("text"))
+    return out.withColumn("text", sanitised(F.col("text"))) if clean else out
+
+
+def sanitised(c: Column) -> Column:
+    """A loaded text with unsafe lines replaced by [blocked]; blocked whole if it is still unsafe then."""
+    lines = F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(threat(x).isNotNull(), F.lit("[blocked]")).otherwise(x)), "\n")
+    return F.when(threat(lines).isNotNull(), F.lit("[blocked]")).otherwise(lines)
+
+
+def read_questions(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The questions of a long-memory benchmark file (one JSON array), those without an answer (``*_abs``) left out; the first ``most`` by id."""
+    rows = spark.read.option("multiLine", True).json(path)
+    kept = rows.filter(F.col("question_id").isNotNull() & ~F.col("question_id").endswith("_abs"))
+    return kept.orderBy("question_id").limit(most) if most is not None else kept
 
 
 def merge_settings(*layers: dict) -> dict:
@@ -89,14 +110,20 @@ def load_settings(*paths: str) -> dict:
     return merge_settings(*layers)
 
 
-def slot_edit(text: str, action: str, content: str = "", needle: str = "") -> str:
-    """A memory slot after add, replace or remove; a needle must occur exactly once.
+def slot_edit(text: str, action: str, content: str = "", needle: str = "", budget: int | None = None) -> str:
+    """A memory slot after add, replace or remove; a needle must occur exactly once. Raises if the result is over ``budget`` tokens (a third of its bytes).
 
     add does nothing if the content is there already. Typography and runs of
     white space in the needle are forgiven if the exact text is not found.
     """
+    def within(new: str) -> str:
+        tokens = max(1, len(new.encode()) // 3)
+        if budget is not None and tokens > budget:
+            raise ValueError(f"{tokens} tokens are over the budget of {budget}; the closest lines: {closest_lines(text, content or needle)}")
+        return new
+
     if action == "add":
-        return text if content.strip() and content.strip() in text else (text.rstrip() + "\n\n" + content.strip() + "\n").lstrip()
+        return text if content.strip() and content.strip() in text else within((text.rstrip() + "\n\n" + content.strip() + "\n").lstrip())
     spots = [m.span() for m in re.finditer(re.escape(needle), text)] if needle else []
     if not spots and needle.strip():
         loose = r"\s+".join(re.escape(w).replace("'", "['‘’]").replace('"', '["“”]').replace(r"\-", "[-–—]") for w in needle.split())
@@ -104,7 +131,28 @@ def slot_edit(text: str, action: str, content: str = "", needle: str = "") -> st
     if len(spots) != 1:
         raise ValueError(f"the needle occurs {len(spots)} times")
     a, b = spots[0]
-    return text[:a] + (content if action == "replace" else "") + text[b:]
+    return within(text[:a] + (content if action == "replace" else "") + text[b:])
+
+
+def closest_lines(text: str, needle: str, n: int = 2) -> list[str]:
+    """The ``n`` lines that share most words with the needle, best first; lines without any are left out."""
+    words = {w for w in needle.lower().split() if any(c.isalnum() for c in w)}
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    best = sorted(lines, key=lambda x: -len(words & set(x.lower().split())))[:n]
+    return [x for x in best if words & set(x.lower().split())]
+
+
+def folded_index(text: str) -> tuple[str, list[int]]:
+    """(text with plain quotes, dashes and single blanks, the place in the original of each of its signs)."""
+    plain = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
+    out, at = [], []
+    for i, c in enumerate(text):
+        c = " " if c.isspace() else plain.get(c, c)
+        if c == " " and out and out[-1] == " ":
+            continue
+        out.append(c)
+        at.append(i)
+    return "".join(out), at
 
 
 def patch_lines(text: str, old: str, new: str, least: float = 0.85) -> tuple[str, float]:

@@ -81,6 +81,19 @@ def append_batch(folder: str):
     return write
 
 
+def append_vectors(folder: str, text: str, embedder):
+    """A foreachBatch function that embeds a batch's texts and appends the vectors; exactly once, as ``append_batch``."""
+    from ..functions.models import embedded
+
+    write = append_batch(folder)
+    return lambda df, batch: write(embedded(df, text, embedder).drop(text), batch)
+
+
+def write_result(df: DataFrame, path: str) -> None:
+    """A small result (scores of an evaluation) as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def export_json_lines(df: DataFrame, folder: str, by: str) -> None:
     """JSON lines, one folder per value of ``by``; a value's rows may be in several files."""
     df.write.mode("overwrite").partitionBy(by).json(folder)

@@ -26,17 +26,27 @@ def fingerprint(role: str, text: str) -> str:
 
 
 def overlap(archive: list[str], window: list[str]) -> int:
-    """How many of the window's first messages are archived already."""
-    best = 0
-    for at, mark in enumerate(archive):
-        if not window or mark != window[0]:
-            continue
-        n = 0
-        while at + n < len(archive) and n < len(window) and archive[at + n] == window[n]:
-            n += 1
-        if (at + n == len(archive) or n == len(window)) and n > best:
-            best = n
-    return best
+    """How many of the window's first messages are archived already.
+
+    All, if the window stands anywhere in the archive; else the longest beginning
+    of the window that ends the archive. Found by the window's borders, in one pass.
+    """
+    if not window:
+        return 0
+    borders, k = [0] * len(window), 0
+    for i in range(1, len(window)):
+        while k and window[i] != window[k]:
+            k = borders[k - 1]
+        k += window[i] == window[k]
+        borders[i] = k
+    held = 0
+    for mark in archive:
+        while held and window[held] != mark:
+            held = borders[held - 1]
+        held += window[held] == mark
+        if held == len(window):
+            break
+    return held
 
 
 class Conversation:
@@ -94,19 +104,22 @@ def archive_windows(windows: DataFrame, idle_minutes: int | None = None) -> Data
 def archive_batch(windows: DataFrame) -> DataFrame:
     """As ``archive_windows``, over a table of windows, for replays and tests.
 
-    A key's windows are held by one task, as its messages depend on each other
-    in order; a key with more windows than fit goes through the stream, which
-    holds one window and the remembered marks.
+    A key's windows are read in order from a sort that spills, a batch at a time;
+    what a task holds is the state of one key, however many windows it has.
     """
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        c, rows = Conversation(), []
-        for _, row in f.sort_values("window_no").iterrows():
-            rows += [(key[0], *x) for x in c.take([(m["role"], m["content"]) for m in row["messages"]])]
-        return pd.DataFrame(rows, columns=["session_key", "session_no", "turn_index", "role", "content"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, c = None, Conversation()
+        for f in frames:
+            rows = []
+            for own, messages in zip(f["session_key"], f["messages"], strict=True):
+                if own != key:
+                    key, c = own, Conversation()
+                rows += [(key, *x) for x in c.take([(m["role"], m["content"]) for m in messages])]
+            yield pd.DataFrame(rows, columns=["session_key", "session_no", "turn_index", "role", "content"])
 
     keyed = windows.select(F.coalesce("session_key", F.lit("")).alias("session_key"), "window_no", "messages")
-    return keyed.groupBy("session_key").applyInPandas(run, OUT)
+    return keyed.repartition("session_key").sortWithinPartitions("session_key", "window_no").mapInPandas(run, OUT)
 
 
 def session_counts(events: DataFrame, key: str, at: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -119,3 +132,38 @@ def session_counts(events: DataFrame, key: str, at: str, gap: str = "6 hours", l
 def first_deliveries(events: DataFrame, id_col: str, at: str, late: str = "1 hour") -> DataFrame:
     """Rows of a stream without repeated deliveries within the watermark."""
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([id_col])
+
+
+def adopt_pending(messages: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """(key, first, last, n): runs of messages that were stored raw, each adopted by the next replayed message of its key.
+
+    ``messages``: key, order columns, role, text, live (seen in its raw form only).
+    A live message is skipped by its role when the history is replayed; it counts
+    as archived with the replayed message that follows it. A run at the end of a
+    key is still pending: it has no ``last``. Each key is read in order from a
+    sort that spills; a task holds one run.
+    """
+    kind = dict(messages.dtypes)[key]
+    order = by[0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, start, n = None, None, 0
+        for f in frames:
+            rows = []
+            for k, at, live, role in zip(f[key], f[order], f["live"], f["role"], strict=True):
+                if k != own:
+                    if n:
+                        rows.append((own, start, None, n))
+                    own, start, n = k, None, 0
+                if role not in ARCHIVED:
+                    continue
+                if live:
+                    start, n = (at if not n else start), n + 1
+                elif n:
+                    rows.append((own, start, at, n))
+                    start, n = None, 0
+            yield pd.DataFrame(rows, columns=[key, "first", "last", "n"]).astype({"last": "Int64"})
+        if n:
+            yield pd.DataFrame([(own, start, None, n)], columns=[key, "first", "last", "n"]).astype({"last": "Int64"})
+
+    return messages.repartition(key).sortWithinPartitions(key, *by).select(key, order, "live", "role").mapInPandas(run, f"{key} {kind}, first long, last long, n long")
