@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stage, unstage
 from .components import components
-from .signatures import CLASS, PAIR_COST, Plan, Words, plan_for, signatures, word_counts
+from .signatures import CLASS, Plan, Words, plan_for, signatures, word_counts
 from .wordsets import verified, word_sets
 
 #: Records of a signature that one task compares; of larger ones, of a block.
@@ -91,9 +91,26 @@ def _wide_bits(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> np.ndarray:
     return out
 
 
+def bits_allowed(n: np.ndarray, share: int) -> np.ndarray:
+    """Bits in which the sketches of a record of n words and an alike one may differ, at most 255."""
+    return np.where(n >= _LARGEST, 255, np.minimum(2 * (n - -(-share * n // 100)) + 2, 255)).astype(np.uint8)
+
+
+def near_sketches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of two sets of sketches that differ in at most ``most`` (by row of the first) bits, in tiles that fit a cache."""
+    for lo in range(0, len(most), 64):
+        hi = lo + 64
+        for left in range(0, len(b[0]), 1024):
+            right = left + 1024
+            differ = np.bitwise_count(a[0][lo:hi, None] ^ b[0][None, left:right])
+            differ += np.bitwise_count(a[1][lo:hi, None] ^ b[1][None, left:right])
+            i, j = np.nonzero(differ <= most[lo:hi, None])
+            yield i + lo, j + left
+
+
 def _few(group: np.ndarray, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) within runs of equal ``group``, sorted by size, by distance: for small groups."""
-    bound = np.where(n >= _LARGEST, 255, np.minimum(2 * (n - -(-share * n // 100)) + 2, 255)).astype(np.uint8)
+    bound = bits_allowed(n, share)
     for gap in range(1, len(group)):
         same = group[:-gap] == group[gap:]
         if not same.any():
@@ -106,16 +123,15 @@ def _few(group: np.ndarray, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray,
 
 def _many(a: int, b: int, n, s0, s1, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of the rows a to b, sorted by size, in tiles."""
+    bound = bits_allowed(n[a:b], share)
     for i in range(a, b, 128):
         e = min(i + 128, b)
         stop = b if n[e - 1] * 100 // share >= _LARGEST else a + int(np.searchsorted(n[a:b], 100 * n[e - 1] // share, "right"))
-        differ = np.bitwise_count(s0[i:e, None] ^ s0[None, i:stop]) + np.bitwise_count(s1[i:e, None] ^ s1[None, i:stop])
-        bound = 255 if n[e - 1] >= _LARGEST else min(255, int(2 * n[e - 1] - 2 * (share * n[e - 1] // 100)) + 2)
-        r, c = np.nonzero(differ <= bound)
-        keep = c > r
-        r, c = r[keep] + i, c[keep] + i
-        ok = _close(n[r], n[c], _bits(s0, s1, r, c), share)
-        yield r[ok], c[ok]
+        for r, c in near_sketches((s0[i:e], s1[i:e]), (s0[i:stop], s1[i:stop]), bound[i - a : e - a]):
+            keep = c > r
+            r, c = r[keep] + i, c[keep] + i
+            ok = _close(n[r], n[c], _bits(s0, s1, r, c), share)
+            yield r[ok], c[ok]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[str, list[np.ndarray]]]:
@@ -234,14 +250,14 @@ def _blocks(crowded: DataFrame, share: int, most: int) -> DataFrame:
     return spread_out.mapInArrow(run, _MET).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def plan_of(sets: DataFrame, share: int, expected: int | None = None, pair_cost: float = PAIR_COST) -> tuple[Plan, int]:
+def plan_of(sets: DataFrame, share: int, expected: int | None = None) -> tuple[Plan, int]:
     """(the plan for all records of staged ``sets``, how many there are); for as many as ``expected`` if they are the first of those."""
     small = F.when(F.col("n") < CLASS, F.col("n"))
     total = sets.agg(F.count(F.lit(1)).alias("rows"), F.avg(small).alias("small"), F.avg("n").alias("mean")).first()
     counts, rows = word_counts(sets), total["rows"]
     if expected and rows:
         counts = np.round(counts * max(1.0, expected / rows)).astype(np.int64)
-    return plan_for(counts, max(rows, expected or 0), float(total["small"] or total["mean"] or 1), share, pair_cost), rows
+    return plan_for(counts, max(rows, expected or 0), float(total["small"] or total["mean"] or 1), share), rows
 
 
 def candidates(sets: DataFrame, share: int, most: int = GROUP) -> DataFrame:
