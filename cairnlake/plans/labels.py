@@ -70,6 +70,24 @@ def sf23_outcome_classes(spark, d):
     return trajectories(spark, d).select("trajectory_id", "outcome", c.alias("class"), F.when(c == "success", "fail,partial").otherwise("ok").alias("opposite"))
 
 
+_PARTS = "string_split(content, chr(10))"
+
+
+@query(f"SELECT chunk_id, nullif({strip_sql(f'array_to_string(list_filter({_PARTS}, lambda x, i: i % 3 <> 2), chr(10))')}, '') AS text FROM {C} WHERE content IS NOT NULL")
+def sc3_flattened_blocks(spark, d):
+    """Messages of text and other blocks as one text: here every third line stands for an image."""
+    blocks = F.transform(F.split("content", "\n"), lambda x, i: F.struct(F.when(i % 3 == 1, "image").otherwise("text").alias("type"), x.alias("text")))
+    return chunks(spark, d).filter("content is not null").select("chunk_id", text.flatten_blocks(blocks).alias("text"))
+
+
+@query(f"SELECT name, n FROM (SELECT 'links' AS name, count(*) AS n FROM {T} WHERE utility >= 0.78 UNION ALL SELECT 'supersedes', count(*) FROM {T} WHERE utility >= 0.86 UNION ALL SELECT 'reflections', count(*) FROM {T} WHERE utility >= 0.60 UNION ALL SELECT 'cases', count(*) FROM {T} WHERE utility >= 0.75)")
+def fl14_similarity_floors(spark, d):
+    """How many rows reach each floor (0.60 reflections, 0.75 cases, 0.78 links, 0.86 superseding), bounds included."""
+    floors = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("v")) for n, v in (("reflections", 0.60), ("cases", 0.75), ("links", 0.78), ("supersedes", 0.86))])).alias("f")
+    t = trajectories(spark, d).select("utility", floors)
+    return t.groupBy(F.col("f.name").alias("name")).agg(F.sum(F.coalesce((F.col("utility") >= F.col("f.v")).cast("int"), F.lit(0))).alias("n"))
+
+
 # ---------------------------------------------------------- goals, tails
 
 _B = "[Runtime Context]\nTime: now\n"

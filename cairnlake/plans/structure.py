@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.vectors import usable
 from ..operators import browse, cluster, dense, evaluate, folds, graph, retention
-from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, sessions, skills, strip_sql, trajectories, vectors
+from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, sessions, skill_vectors, skills, strip_sql, trajectories, vectors
 from .retrieval import ASKED_V, FIRST_V, NUM, _bm25, _first_vectors, tasks
 
 
@@ -276,9 +276,14 @@ def cl1_greedy_clusters(spark, d):
 
 @query()
 def cl2_hub_clusters(spark, d):
+    """Clusters over at least two sessions, with their sessions, three samples and all ids."""
     rows = _newest(spark, d, 150)
     m = cluster.clustered(rows, "g", "chunk_id", ["age", "chunk_id"], "embedding", lambda x: cluster.greedy(x, 0.8))
-    return cluster.cluster_summary(m.join(rows.select("chunk_id", "session_id"), "chunk_id"), "session_id", 2, 2)
+    body = chunks(spark, d).select("chunk_id", F.substring("content", 1, 500).alias("sample"))
+    j = m.join(rows.select("chunk_id", "session_id", "age"), "chunk_id").join(body, "chunk_id")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("age", "chunk_id", "sample"))), 1, 3)  # at most 150 rows in all
+    g = j.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("session_id")).alias("sessions"), F.transform(first, lambda x: x["sample"]).alias("samples"), F.array_sort(F.collect_set("chunk_id")).alias("ids"))
+    return g.filter((F.col("size") >= 2) & (F.size("sessions") >= 2))
 
 
 @query()
@@ -286,7 +291,7 @@ def cl4_workflow_clusters(spark, d):
     t = trajectories(spark, d).filter("outcome = 'ok' and session_id is not null and created_at is not null").join(_first_vectors(spark, d), "session_id")
     top = t.orderBy(F.desc("created_at"), "trajectory_id").limit(100).select(F.lit(0).alias("g"), "trajectory_id", "session_id", (-F.col("created_at")).alias("age"), "embedding")
     m = cluster.clustered(top, "g", "trajectory_id", ["age", "trajectory_id"], "embedding", lambda x: cluster.greedy(x, 0.8))
-    return cluster.cluster_summary(m.join(top.select("trajectory_id", "session_id"), "trajectory_id"), "session_id", 2, 1)
+    return cluster.cluster_summary(m.join(top.select("trajectory_id", "session_id"), "trajectory_id"), "session_id", 3, 1)
 
 
 @query()
@@ -298,7 +303,10 @@ def cl5_gap_clusters(spark, d):
 
 @query()
 def cl6_anchor_clusters(spark, d):
-    return cluster.clustered(_newest(spark, d, 150), "g", "chunk_id", ["age", "chunk_id"], "embedding", lambda x: cluster.anchored(x, 0.8, 5)).select("chunk_id", "cluster")
+    """Groups of like active skills, each gathered around a skill without a group: a table of fixed size."""
+    active = skills(spark, d).filter("skill_status = 'active'").select("skill_id")
+    v = skill_vectors(spark, d).join(active, "skill_id", "left_semi").withColumn("g", F.lit(0))
+    return cluster.clustered(v, "g", "skill_id", ["skill_id"], "embedding", lambda x: cluster.anchored(x, 0.3, 5)).select("skill_id", "cluster")
 
 
 @query()

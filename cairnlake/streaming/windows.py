@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import redact_secrets
+
 #: Fingerprints kept per key.
 REMEMBERED = 512
 ARCHIVED = ("user", "assistant", "tool")
@@ -50,7 +52,11 @@ def overlap(archive: list[str], window: list[str]) -> int:
 
 
 class Conversation:
-    """State of one key: marks of archived messages, session number, next turn."""
+    """State of one key: marks of archived messages, session number, next turn.
+
+    Secrets are blotted before a message goes out; its mark is that of the text as
+    it came, so that the same message is known again.
+    """
 
     def __init__(self, marks: list[str] | None = None, session: int = 0, turn: int = 0):
         self.marks, self.session, self.turn = marks or [], session, turn
@@ -64,7 +70,7 @@ class Conversation:
             self.session, self.turn, self.marks = self.session + 1, 0, []
         for r, t in kept[old:]:
             self.turn += 1
-            yield self.session, self.turn, r, t
+            yield self.session, self.turn, r, redact_secrets(t)[0]
         self.marks = (self.marks + window[old:])[-max(REMEMBERED, 2 * len(window)) :]
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairnlake.functions import models
 from cairnlake.sources import files, sinks
 from cairnlake.streaming import windows
 
@@ -84,6 +85,22 @@ def test_pending_messages_are_adopted(spark):
     assert [(r.s, r["first"], r["last"], r.n) for r in got] == [(1, 2, 5, 2), (1, 6, None, 1), (2, 1, 2, 1)]
 
 
+def test_secrets_are_blotted_before_the_append(spark):
+    said = [{"role": "user", "content": "key ghp_abcdefghijklmnop12345"}]
+    table = spark.createDataFrame([("k", 1, said), ("k", 2, said + [{"role": "assistant", "content": "ok"}])], "session_key string, window_no long, messages array<struct<role:string,content:string>>")
+    assert [r.content for r in windows.archive_batch(table).orderBy("turn_index").collect()] == ["key ghp_ab…████████…2345", "ok"]
+
+
+def test_vectors_are_appended_once(spark, tmp_path):
+    write = sinks.append_vectors(f"{tmp_path}/v", "t", models.HashEmbedder(8))
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    write(df, 0)
+    write(df, 0)
+    assert spark.read.parquet(f"{tmp_path}/v").count() == 2
+    sinks.write_result(df, f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r").count() == 2
+
+
 def test_overlap_rules():
     assert windows.overlap(list("abc"), list("bcd")) == 2
     assert windows.overlap(list("abc"), list("xyz")) == 0
