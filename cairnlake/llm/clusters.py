@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import stage, unstage
 from .components import components
 from .vectors import fit_centres, fold_equal, shard_matrix, sharded
 
@@ -97,6 +97,7 @@ def _joined(local: DataFrame) -> DataFrame:
     part is the smallest id of a shard's cluster; a vector is in at most COPIES.
     """
     per = stage(local.groupBy("id").agg(F.collect_set("part").alias("parts"), F.max("density").alias("density")).select("id", F.array_min("parts").alias("part"), "parts", "density"), "labels")
+    unstage(local)
     # a vector in several shards joins all their clusters; parts are far fewer than vectors
     names = components(per.select("part", F.explode("parts").alias("other")).distinct(), "part", "other")
     return per.join(names, per.part == names.node).select("id", F.col("component").alias("cluster_id"), "density")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import stage, unstage
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 1000) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 1000) -> Data
     if the last of ``max_rounds`` still changed edges.
     """
     e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    cur = stage(e, "edges")
+    given = cur = stage(e, "edges")
     nodes = cur.select(F.col("u").alias("node")).union(cur.select("v")).distinct()
     old = None
     for _ in range(max_rounds):
@@ -31,6 +31,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 1000) -> Data
         small = large.join(small_low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         new = stage(small, "edges")
         sums = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if cur is not given:  # the nodes are read from the first table
+            unstage(cur)
         cur = new
         if sums == old:
             break

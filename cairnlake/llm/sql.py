@@ -1,7 +1,7 @@
 """SQL twins of the pN_ queries that plain SQL can express.
 
-The others are tested against brute force in tests/llm: vectors and clusters
-(an index decides what is compared), pieces, ids and containers (sequential).
+The others are tested against brute force in tests/llm: clusters (connected
+components), pieces, ids and containers (sequential), prose (back references).
 """
 
 _BLANK = r"\s\p{Z}\p{Cf}\p{Cc}\x{FE00}-\x{FE0F}"
@@ -25,3 +25,10 @@ P7_FOUND = f"WITH {_PAIRS} SELECT a AS chunk_a, b AS chunk_b FROM e"
 
 P3_FOUND = f"""WITH {_PAIRS}, i AS (SELECT session_id, min(batch_no) AS no FROM intake GROUP BY session_id), k AS (SELECT chunk_id, min(no) AS no FROM (SELECT DISTINCT chunk_id, session_id FROM chunks) c JOIN i ON i.session_id = c.session_id GROUP BY chunk_id)
 SELECT DISTINCT CASE WHEN x.no > y.no THEN a ELSE b END AS chunk_id FROM e JOIN k x ON x.chunk_id = a JOIN k y ON y.chunk_id = b WHERE x.no <> y.no"""
+
+_UNIT = """
+ u AS MATERIALIZED (SELECT chunk_id AS id, CAST(list_transform(v, lambda x: x / m) AS DOUBLE[128]) AS v FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS v, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS m FROM
+  (SELECT DISTINCT chunk_id, embedding FROM chunks_vec WHERE chunk_id IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: isfinite(x))) = 128)) WHERE m > 0)"""
+
+P2_FOUND = f"""WITH {_UNIT}, s AS (SELECT a.id AS a, b.id AS b, array_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
+ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM s) WHERE r <= 10 AND c >= 0.95) SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM t"""

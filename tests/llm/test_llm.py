@@ -199,6 +199,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.similar_pairs(df.limit(0), "cid", "body", 78, 22).count() == 0
 
 
+def test_many_records_that_share_frequent_words(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = ["please check this now " + " ".join(rng.sample(vocabulary, 22)) for _ in range(30_000)]
+    planted = {}
+    for i in range(0, 30_000, 300):
+        words = texts[i].split()
+        words[rng.randrange(4, 26)] = "edited"
+        rng.shuffle(words)
+        planted[(i, 100_000 + i)] = " ".join(words)
+    rows = [*enumerate(texts), *((j, t) for (_, j), t in planted.items())]
+    df = spark.createDataFrame(rows, "cid long, body string")
+    assert {(r.a, r.b) for r in neardup.similar_pairs(df, "cid", "body", 78, 22).collect()} == set(planted)
+
+
 def test_near_duplicate_groups(spark):
     texts = edited_texts(random.Random(6))
     sets = [words_of(t) for t in texts]
