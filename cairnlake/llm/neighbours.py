@@ -25,6 +25,8 @@ from .vectors import fit_centres, fold_equal, shard_matrix, sharded
 #: Edges of a point (of these long ones), candidates before pruning, width of a
 #: beam, relaxation of the pruning distance, entry nodes.
 EDGES, LONG, PROPOSED, BEAM, ALPHA, ENTRIES = 20, 4, 32, 24, 1.2, 32
+#: Nodes of a search that are expanded together.
+EXPANDED = 4
 #: Rows of a block of similarities.
 BLOCK = 1024
 #: Share of the shards that a foreign query visits, and the fewest. A vector at
@@ -95,13 +97,20 @@ class Graph:
         fresh = ids >= 0
         live = np.arange(n)
         while len(live):
-            best = np.argmax(np.where(fresh[live], score[live], -np.inf), axis=1)
-            going = fresh[live, best]
-            live, best = live[going], best[going]
+            # the best nodes that were not expanded yet, some at a time
+            open_ = np.where(fresh[live], score[live], -np.inf)
+            best = np.argpartition(-open_, EXPANDED - 1, axis=1)[:, :EXPANDED]
+            going = np.isfinite(np.take_along_axis(open_, best, axis=1))
+            some = going.any(axis=1)
+            live, best, going = live[some], best[some], going[some]
             if not len(live):
                 break
-            fresh[live, best] = False
-            near = self.out[ids[live, best]]
+            fresh[live[:, None], best] &= ~going
+            near = np.where(going[:, :, None], self.out[ids[live[:, None], best]], -1).reshape(len(live), -1)
+            # a node that two of them lead to counts once
+            order = np.argsort(near, axis=1, kind="stable")
+            near = np.take_along_axis(near, order, axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             at = np.maximum(near, 0)
             known = (near < 0) | seen[live[:, None], at]
             seen[live[:, None], at] |= near >= 0
