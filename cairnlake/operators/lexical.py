@@ -52,15 +52,18 @@ def tokens(docs: DataFrame, doc_id: str, text: str, stem: bool = False) -> DataF
     return t.select("doc", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
 
 
-def unit_hits(found: DataFrame, asked: DataFrame) -> DataFrame:
+def unit_hits(found: DataFrame, asked: DataFrame, repeated: bool = False) -> DataFrame:
     """(unit, doc, length, tf): how often each asked unit stands in a document.
 
+    ``repeated``: documents may be delivered more than once.
     Tokens meet the terms of the units by join; a phrase stands where as many of
     its terms as it has point to the same start. No row carries a document.
     """
     elements = asked.select("unit", "terms").distinct().select("unit", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
     start = F.when(F.col("n") > 1, F.col("pos") - F.col("i")).otherwise(0)
-    at = found.join(elements, "term").groupBy("unit", "doc", "length", "n", start.alias("start")).agg(F.count(F.lit(1)).alias("c"))
+    met = found.join(elements, "term")
+    met = met.dropDuplicates(["unit", "doc", "pos", "i"]) if repeated else met
+    at = met.groupBy("unit", "doc", "length", "n", start.alias("start")).agg(F.count(F.lit(1)).alias("c"))
     whole = F.when(F.col("n") == 1, F.col("c")).when(F.col("c") == F.col("n"), 1).otherwise(0)
     return at.groupBy("unit", "doc", "length").agg(F.sum(whole).alias("tf")).filter("tf > 0")
 
@@ -78,18 +81,21 @@ def scored(hit: DataFrame, total: DataFrame, asked: DataFrame, k: int) -> DataFr
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, stem: bool = False) -> DataFrame:
+def bm25_topk(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, stem: bool = False, repeated: bool = False) -> DataFrame:
     """(query, doc, score, rank): best ``k`` documents of each query, larger is better.
 
     A document matches if it has any unit of the query (see ``units``); a unit
     named twice counts twice. With ``stem`` words match by their Porter stem.
     Only tokens of asked units are kept, before any aggregation. Ties go to the
     smaller document id. A query without terms, and null texts, give no row; an
-    empty corpus gives none. ``StoredIndex`` answers without reading the texts.
+    empty corpus gives none. ``repeated``: rows of one id are deliveries of the same
+    document, told apart by id and place after the join, so that no text is
+    shuffled. ``StoredIndex`` answers without reading the texts.
     """
     asked = asked_units(queries, query_id, query, stem)
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(terms(F.col(text)))).alias("mean_length"))
-    return scored(unit_hits(tokens(docs, doc_id, text, stem), asked), total, asked, k)
+    sizes = docs.select(F.col(doc_id).alias("doc"), F.size(terms(F.col(text))).alias("length"))
+    total = (sizes.dropDuplicates(["doc"]) if repeated else sizes).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    return scored(unit_hits(tokens(docs, doc_id, text, stem), asked, repeated), total, asked, k)
 
 
 class StoredIndex:

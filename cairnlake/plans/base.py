@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
+def raw_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The messages as delivered, for queries that drop repeated rows after they have made them small."""
+    return read_table(spark, d, "chunks")
+
+
 # Rows delivered twice are equal, so the clean views keep one row of an id.
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "chunks").dropDuplicates(["chunk_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import dense, evaluate, fusion
 from ..streaming.windows import adopt_pending
-from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, sessions, skills, trajectories, vectors
+from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, raw_chunks, sessions, skills, trajectories, vectors
 from .retrieval import FIRST_V, TASK_V, TASKS, _bm25, _first_vectors, _task_vectors
 from .structure import GOLD, USES, _gold, uses
 from .texts import REACT, USER, strip_sql
@@ -209,19 +209,19 @@ _OBF = r"""WHEN regexp_matches(x, '(?i)base64\s+-d\s*\|') THEN 'base64 pipe deco
 def _texts(spark, d):
     own = spark.createDataFrame(THREATS, "id long, path string, x string")
     docs = documents(spark, d).select((F.col("doc_id") + 1000).alias("id"), F.lit("").alias("path"), F.col("text").alias("x"))
-    return own.unionByName(docs).unionByName(chunks(spark, d).select((F.col("chunk_id") + 100000000).alias("id"), F.lit("").alias("path"), F.col("content").alias("x")))
+    return own.unionByName(docs).unionByName(raw_chunks(spark, d).select((F.col("chunk_id") + 100000000).alias("id"), F.lit("").alias("path"), F.col("content").alias("x")))
 
 
 @query(f"SELECT id, label FROM (SELECT id, CASE {_INJ} {_EXF} {_HIDDEN} END AS label FROM {_THREATS}) WHERE label IS NOT NULL")
 def fl21_threats(spark, d):
     """Unsafe memory texts: injection, then exfiltration, then hidden characters."""
-    return _texts(spark, d).select("id", text.threat(F.col("x")).alias("label")).filter("label is not null")
+    return _texts(spark, d).select("id", text.threat(F.col("x")).alias("label")).filter("label is not null").distinct()
 
 
 @query(f"""SELECT id, label FROM (SELECT id, CASE {_HIDDEN} ELSE CASE split_part(CASE WHEN contains(path, '/') THEN path ELSE '' END, '/', 1) WHEN 'scripts' THEN CASE {_INJ} {_DES} {_PER} {_SEND} END WHEN 'assets' THEN CASE {_INJ} {_DES} END ELSE CASE {_INJ} {_DES} {_PER} {_SEND} {_OBF} END END END AS label FROM {_THREATS}) WHERE label IS NOT NULL""")
 def fl22_skill_threats(spark, d):
     """Unsafe skill files, by the rules of their folder."""
-    return _texts(spark, d).select("id", text.skill_threat(F.col("x"), F.col("path")).alias("label")).filter("label is not null")
+    return _texts(spark, d).select("id", text.skill_threat(F.col("x"), F.col("path")).alias("label")).filter("label is not null").distinct()
 
 
 SECRETS = [
@@ -249,8 +249,8 @@ _KEYED = f"(SELECT * FROM (VALUES {_rows([(i, t) for i, t, _ in SECRETS])}) v(id
 
 @query(f"SELECT id, len(regexp_extract_all(t, '{_KEYS}')) AS n FROM {_KEYED} WHERE regexp_matches(t, '{_KEYS}')")
 def sf4_key_counts(spark, d):
-    s = spark.createDataFrame([(i, t) for i, t, _ in SECRETS], "id long, t string").unionByName(chunks(spark, d).select((F.col("chunk_id") + 100).alias("id"), F.col("content").alias("t")))
-    return s.filter(F.col("t").rlike(_KEYS)).select("id", F.size(F.regexp_extract_all("t", F.lit(_KEYS), 0)).alias("n"))
+    s = spark.createDataFrame([(i, t) for i, t, _ in SECRETS], "id long, t string").unionByName(raw_chunks(spark, d).select((F.col("chunk_id") + 100).alias("id"), F.col("content").alias("t")))
+    return s.filter(F.col("t").rlike(_KEYS)).select("id", F.size(F.regexp_extract_all("t", F.lit(_KEYS), 0)).alias("n")).distinct()
 
 
 # ------------------------------------------------------------ evaluation

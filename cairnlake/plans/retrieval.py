@@ -12,7 +12,7 @@ from ..functions.vectors import as_double, norm, usable
 from ..operators import browse, cluster, dense, fusion, lexical
 from ..runtime import shared_dir
 from .base import (
-    C, DESCRIBED, FACT_V, FACTS, K, NOW, S, SKILL_V, T, V, VEC, bm25_sql, chunks, described, documents, fact_vectors, facts, knn_sql, query, query_units_sql, sessions, skill_vectors, skills, terms_sql,
+    C, DESCRIBED, FACT_V, FACTS, K, NOW, S, SKILL_V, T, V, VEC, bm25_sql, chunks, described, documents, fact_vectors, facts, knn_sql, query, query_units_sql, raw_chunks, sessions, skill_vectors, skills, terms_sql,
     trajectories, vectors,
 )
 
@@ -26,7 +26,7 @@ def tasks(spark, d, every=100):
 
 
 def _bm25(spark, d, k=25, every=100):
-    return lexical.bm25_topk(chunks(spark, d), "chunk_id", "content", tasks(spark, d, every), "trajectory_id", "task", k)
+    return lexical.bm25_topk(raw_chunks(spark, d), "chunk_id", "content", tasks(spark, d, every), "trajectory_id", "task", k, repeated=True)
 
 
 def _task_vectors(spark, d, every=100):
@@ -79,7 +79,7 @@ def rt8_lexical_only(spark, d):
 @query()
 def rt2_stemmed_topk(spark, d):
     """As the word search, by Porter stems (held against SQLite's index in the tests)."""
-    return lexical.bm25_topk(chunks(spark, d), "chunk_id", "content", tasks(spark, d), "trajectory_id", "task", 25, stem=True)
+    return lexical.bm25_topk(raw_chunks(spark, d), "chunk_id", "content", tasks(spark, d), "trajectory_id", "task", 25, stem=True, repeated=True)
 
 
 @query(f"WITH {bm25_sql(T, 'trajectory_id', 'task', TASKS, 'trajectory_id', 'task', 10)} SELECT query, doc, score, rank FROM bm")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from ..operators import lexical
-from .base import C, K, NOW, S, T, chunks, documents, query, sessions, skills, strip_sql, terms_sql, trajectories
+from .base import C, K, NOW, S, T, chunks, documents, query, sessions, skills, strip_sql, raw_chunks, terms_sql, trajectories
 
 
 @query(f"SELECT chunk_id, lower(trim(role)) AS role, length({strip_sql('content')}) AS chars FROM {C} WHERE lower(trim(role)) IN ('user','assistant','tool') AND {strip_sql('content')} <> ''")
 def fl1_archivable(spark, d):
     r, t = F.lower(F.trim("role")), text.strip(F.col("content"))
-    return chunks(spark, d).filter(r.isin("user", "assistant", "tool") & (t != "")).select("chunk_id", r.alias("role"), F.char_length(t).alias("chars"))
+    return raw_chunks(spark, d).filter(r.isin("user", "assistant", "tool") & (t != "")).select("chunk_id", r.alias("role"), F.char_length(t).alias("chars")).distinct()
 
 
 @query(f"SELECT trajectory_id FROM {T} WHERE outcome IN ('fail','partial') AND coalesce(len(skills), 0) = 0 AND created_at >= {NOW} - 90*86400")
@@ -138,8 +138,8 @@ USER = "lower(trim(role)) IN ('user','human')"
 
 @query(f"SELECT chunk_id, {REACT} AS reaction FROM (SELECT chunk_id, {strip_sql('content')} AS t FROM {C} WHERE {USER} AND {strip_sql('content')} <> '')")
 def sf11_reactions(spark, d):
-    u = chunks(spark, d).filter(F.expr(USER) & (text.strip(F.col("content")) != ""))
-    return u.select("chunk_id", text.reaction(F.col("content")).alias("reaction"))
+    u = raw_chunks(spark, d).filter(F.expr(USER) & (text.strip(F.col("content")) != ""))
+    return u.select("chunk_id", text.reaction(F.col("content")).alias("reaction")).distinct()
 
 
 @query(f"""SELECT chunk_id, reaction, sum(CASE reaction WHEN 'positive' THEN 1 WHEN 'correction' THEN -1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mood
@@ -174,8 +174,8 @@ def sf19_digests(spark, d):
  WHEN s IN (500,502) THEN 'server_error' WHEN regexp_matches(t, 'context_length_exceeded|context window|too many tokens|maximum context|context limit|input too long') THEN 'context_overflow' WHEN contains(t, 'timeout') THEN 'timeout' ELSE 'unknown' END AS class
  FROM (SELECT chunk_id, lower(content) AS t, coalesce(try_cast(nullif(regexp_extract(content, 'code (\\d+)', 1), '') AS INT), 0) AS s FROM {C} WHERE regexp_matches(content, 'code \\d+'))""")
 def sf22_failure_classes(spark, d):
-    x = chunks(spark, d).filter(F.col("content").rlike(r"code \d+"))
-    return x.select("chunk_id", text.failure_class(F.regexp_extract("content", r"code (\d+)", 1).try_cast("int"), F.col("content")).alias("class"))
+    x = raw_chunks(spark, d).filter(F.col("content").rlike(r"code \d+"))
+    return x.select("chunk_id", text.failure_class(F.regexp_extract("content", r"code (\d+)", 1).try_cast("int"), F.col("content")).alias("class")).distinct()
 
 
 @query(f"SELECT trajectory_id, bound, CASE WHEN p >= bound AND q <= 1-bound THEN 'yes' WHEN q >= bound AND p <= 1-bound THEN 'no' ELSE 'unsure' END AS verdict FROM (SELECT trajectory_id, utility AS p, (trajectory_id * 53 % 101) / 100.0::DOUBLE AS q FROM {T}), (SELECT unnest([0.6,0.7,0.8,0.9]::DOUBLE[]) AS bound) WHERE p IS NOT NULL")
@@ -203,7 +203,7 @@ def sf27_clamped_importance(spark, d):
 
 @query(f"SELECT chunk_id, CASE WHEN length(content) > 80 THEN substr(content, 1, 80) || '…' ELSE content END AS clipped FROM {C} WHERE content IS NOT NULL")
 def sf2_clipped(spark, d):
-    return chunks(spark, d).filter("content is not null").select("chunk_id", text.clip(F.col("content"), 80).alias("clipped"))
+    return raw_chunks(spark, d).filter("content is not null").select("chunk_id", text.clip(F.col("content"), 80).alias("clipped")).distinct()
 
 
 @query(f"SELECT doc, term, tf FROM (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY ALL) WHERE tf >= 5")
