@@ -25,8 +25,6 @@ from .vectors import fit_centres, fold_equal, shard_matrix, sharded
 #: Edges of a point (of these long ones), candidates before pruning, width of a
 #: beam, relaxation of the pruning distance, entry nodes.
 EDGES, LONG, PROPOSED, BEAM, ALPHA, ENTRIES = 20, 4, 32, 24, 1.2, 32
-#: Nodes of a search that are expanded together.
-EXPANDED = 4
 #: Rows of a block of similarities.
 BLOCK = 1024
 #: Share of the shards that a foreign query visits, and the fewest. A vector at
@@ -47,6 +45,7 @@ class Graph:
         near = EDGES - LONG
         self.out = np.full((n, EDGES), -1, np.int32)
         self.out[:, near:] = rng.integers(0, n, (n, LONG))
+        self.best = np.full(n, -2.0, np.float32)  # similarity of each point's nearest
         take = min(PROPOSED, n - 1)
         for i in range(0, n if take > 0 else 0, BLOCK):
             s = x[i : i + BLOCK] @ x.T
@@ -55,6 +54,7 @@ class Graph:
             ids = np.argpartition(-s, take - 1, axis=1)[:, :take].astype(np.int32)
             score = np.take_along_axis(s, ids, axis=1)
             by = np.argsort(-score, axis=1, kind="stable")
+            self.best[i : i + BLOCK] = score.max(axis=1)
             self.out[i : i + BLOCK, :near] = self._prune(np.take_along_axis(ids, by, axis=1), np.take_along_axis(score, by, axis=1), near)
 
     def _prune(self, ids: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
@@ -82,7 +82,7 @@ class Graph:
     def search(self, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities), best first, of beam searches for vectors q from their start nodes; -1 pads."""
         step = max(1, min(2048, 40_000_000 // max(len(self.x), 1)))  # bounds the table of nodes seen
-        parts = [self._search(q[i : i + step], start[i : i + step], beam) for i in range(0, len(q), step)]
+        parts = [self._search(q[i : i + step], start[i : i + step], beam) for i in range(0, max(len(q), 1), step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _search(self, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,20 +97,13 @@ class Graph:
         fresh = ids >= 0
         live = np.arange(n)
         while len(live):
-            # the best nodes that were not expanded yet, some at a time
-            open_ = np.where(fresh[live], score[live], -np.inf)
-            best = np.argpartition(-open_, EXPANDED - 1, axis=1)[:, :EXPANDED]
-            going = np.isfinite(np.take_along_axis(open_, best, axis=1))
-            some = going.any(axis=1)
-            live, best, going = live[some], best[some], going[some]
+            best = np.argmax(np.where(fresh[live], score[live], -np.inf), axis=1)
+            going = fresh[live, best]
+            live, best = live[going], best[going]
             if not len(live):
                 break
-            fresh[live[:, None], best] &= ~going
-            near = np.where(going[:, :, None], self.out[ids[live[:, None], best]], -1).reshape(len(live), -1)
-            # a node that two of them lead to counts once
-            order = np.argsort(near, axis=1, kind="stable")
-            near = np.take_along_axis(near, order, axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            fresh[live, best] = False
+            near = self.out[ids[live, best]]
             at = np.maximum(near, 0)
             known = (near < 0) | seen[live[:, None], at]
             seen[live[:, None], at] |= near >= 0
@@ -171,14 +164,15 @@ def _shard_neighbours(dim: int, k: int, least: float, own_ask: bool):
             start = np.tile(g.entries, (len(asks), 1))
             a, b, s = _answers(g, ids, group, q, start, asks, k, least)
         else:
-            # equal vectors search once and answer for every member
-            nodes = np.arange(len(first))
-            a, b, s = _answers(g, ids, group, g.x, nodes[:, None].astype(np.int32), ids[first], k, least)
+            # equal vectors search once and answer for every member; a point without
+            # a neighbour of the wanted similarity among its candidates has none
+            nodes = np.flatnonzero((g.best >= least) | (np.bincount(group, minlength=len(first)) > 1))
+            a, b, s = _answers(g, ids, group, g.x[nodes], nodes[:, None].astype(np.int32), ids[first][nodes], k, least)
             by = np.argsort(group, kind="stable")
             size = np.bincount(group)
             if size.max() > 1:
                 begin, nth = np.cumsum(size) - size, np.arange(len(by))
-                node_of = dict(zip(ids[first].tolist(), nodes.tolist(), strict=True))
+                node_of = dict(zip(ids[first].tolist(), range(len(first)), strict=True))
                 src = np.array([node_of[i] for i in a.tolist()], np.int64)
                 more = size[src] > 1
                 extra = [(ids[by[begin[n] + 1 : begin[n] + size[n]]], b_, s_) for n, b_, s_ in zip(src[more], b[more], s[more], strict=True)]

@@ -116,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": sql.P1_FOUND, "p2_found": sql.P2_FOUND, "p3_found": sql.P3_FOUND, "p7_found": sql.P7_FOUND}
+    return {"p1_found": sql.P1_FOUND, "p1_conversations": sql.P1_CONVERSATIONS, "p2_found": sql.P2_FOUND, "p3_found": sql.P3_FOUND, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND}
