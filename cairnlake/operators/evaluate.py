@@ -35,11 +35,11 @@ def session_scores(ranked: DataFrame, gold: DataFrame, k: int, depth: int) -> Da
 
 
 def arm_scores(arms: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:
-    """(arm, queries, recall, rr, ndcg): means of ``ranking_scores`` for each named list of (query, id, rank)."""
+    """(arm, queries, recall, rr, ndcg): means of ``ranking_scores`` for each named list of (query, id, rank); none without gold."""
     out = None
     for name, ranked in arms.items():
         s = ranking_scores(ranked, gold, k).agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "rr", "ndcg")])
-        s = s.select(F.lit(name).alias("arm"), "*")
+        s = s.filter("queries > 0").select(F.lit(name).alias("arm"), "*")
         out = s if out is None else out.unionByName(s)
     return out
 

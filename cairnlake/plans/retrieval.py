@@ -124,7 +124,18 @@ def hybrid_search(spark, d, every=100, k=8):
     return hit.join(c, "id").select("query", "id", "score", "rank", "session_id", "chars")
 
 
-@query()
+_WORD_SET = "list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}_]+'))"
+MMR = FUSED.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ h AS MATERIALIZED (SELECT fu.query, id, score, {_WORD_SET} AS w, score / max(score) OVER (PARTITION BY fu.query) AS rel FROM fu JOIN {C} c ON c.chunk_id = id),
+ j AS MATERIALIZED (SELECT a.query, a.id AS a, b.id AS b, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS likeness FROM h a JOIN h b ON a.query = b.query AND a.id <> b.id),
+ r AS (SELECT query, 1 AS n, [min_by(id, (-score, id))] AS picked FROM h GROUP BY query
+  UNION ALL SELECT query, n + 1, list_append(picked, min_by(id, (-round(0.7*rel - 0.3*nearest, 12), -score, id))) FROM
+   (SELECT r.query, n, picked, h.id, any_value(score) AS score, any_value(rel) AS rel, max(likeness) AS nearest FROM r JOIN h ON h.query = r.query AND NOT list_contains(picked, h.id) JOIN j ON j.query = r.query AND j.a = h.id AND list_contains(picked, j.b) WHERE n < 8 GROUP BY r.query, n, picked, h.id) GROUP BY query, n, picked),
+ last AS (SELECT query, max_by(picked, n) AS picked FROM r GROUP BY query)
+ SELECT query, unnest(picked) AS id, CAST(unnest(range(1, len(picked) + 1)) AS INT) AS pick FROM last"""
+
+
+@query(MMR)
 def rt7_mmr_rerank(spark, d):
     hit = _fused(spark, d).join(chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), "id")
     return fusion.mmr(hit, "content", 0.7, 8)

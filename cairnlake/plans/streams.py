@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import transcript_tails
 from ..streaming.windows import archive_batch, session_counts
-from .base import C, chunks, query
+from .base import C, chunks, query, strip_sql
 
 
 
-@query()
+_ROLE = "lower(trim(role))"
+
+
+@query(f"""SELECT CAST(session_id AS VARCHAR) AS session_key, 1 AS session_no, row_number() OVER (PARTITION BY session_id ORDER BY turn_index, chunk_id) AS turn_index, {_ROLE} AS role, sha256({strip_sql("concat_ws(' ', CAST(chunk_id AS VARCHAR), content)")}) AS digest
+ FROM {C} WHERE session_id IS NOT NULL AND turn_index IS NOT NULL AND {_ROLE} IN ('user','assistant','tool')""")
 def st1_window_alignment(spark, d):
     """Messages replayed as overlapping windows of six come out once each."""
     c = chunks(spark, d).filter("session_id is not null and turn_index is not null")

@@ -120,16 +120,6 @@ def sf5_folded_typography(spark, d):
     return documents(spark, d).filter("text is not null").select("doc_id", F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " ")).alias("folded"))
 
 
-@query()
-def sf8_sanitised_lines(spark, d):
-    """Lines with unsafe text are blocked one by one, the rest is kept as it is."""
-    lines = F.split("text", "\n")
-    bad = lambda x: text.threat(x).isNotNull()
-    kept = F.array_join(F.transform(lines, lambda x: F.when(bad(x), F.lit("[blocked]")).otherwise(x)), "\n")
-    out = documents(spark, d).filter("text is not null")
-    return out.select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, bad)).alias("n_blocked"), F.sha2(kept, 256).alias("digest"))
-
-
 _RX = lambda p: p.replace("'", "''")
 REACT = f"""CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '{_RX(text.CORRECTION)}') THEN 'correction'
  WHEN ((regexp_matches(t, '{_RX(text.POSITIVE)}') AND NOT regexp_matches(t, '{_RX(text.WORKED_BEFORE)}')) OR regexp_matches(t, '{_RX(text.NO_PROBLEM)}')) THEN CASE WHEN regexp_matches(t, '{_RX(text.BROKEN)}') THEN 'correction' WHEN regexp_matches(t, '{_RX(text.BUT)}') THEN 'neutral' ELSE 'positive' END ELSE 'neutral' END"""
