@@ -328,6 +328,19 @@ def test_history_is_kept_in_files_and_merged(spark, tmp_path):
     assert len(list((tmp_path / "index").glob("part-*"))) == 3
 
 
+def test_history_merges_arrays_that_fall_together_in_one_pass(spark, tmp_path, monkeypatch):
+    merged, merge = [], history.History._merge
+    monkeypatch.setattr(history.History, "_merge", lambda self, *arrays: merged.append(len(arrays[0])) or merge(self, *arrays))
+    h = history.History(spark, f"file://{tmp_path}/index", 78, 22)
+    for b in range(5):
+        text = lambda n: " ".join(f"t{n}x{i}" for i in range(30))
+        rows = spark.createDataFrame([(2 * b, text(b)), (2 * b + 1, text(0) + " more")], "cid long, body string")
+        got = {r.id: r.earliest for r in h.add(rows, "cid", "body", b).collect()}
+        assert got == ({2 * b + 1: 0} if b else {})
+    assert merged == [2, 3] and [a["weight"] for a in h.arrays] == [4, 1]
+    assert h.arrays[0]["batches"] == [0, 1, 2, 3] and len(list((tmp_path / "index").glob("part-*"))) == 2
+
+
 def test_lookup_reads_only_the_row_groups_asked_for(tmp_path):
     store, root = history._files(f"file://{tmp_path}")
     sig = np.arange(100_000, dtype=np.int64) << 20
