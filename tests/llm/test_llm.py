@@ -285,6 +285,32 @@ def test_allocation_prefers_rare_words():
     assert max(t.common for t in tiers) > 1  # more of frequent words must be shared
 
 
+def test_allocation_counts_on_words_that_occur_together():
+    rng = np.random.default_rng(3)
+    sizes = np.where(rng.random(400) < 0.5, 8, 56)  # of frequent words
+    sets = [rng.choice(2000, 28, replace=False).tolist() + (2000 + rng.choice(300, size, replace=False)).tolist() for size in sizes]
+    counts = np.bincount(np.concatenate(sets), minlength=signatures.BUCKETS) * 50_000
+    n = np.array([len(s) for s in sets])
+    plan = signatures.plan_for(counts, 400 * 50_000, float(n.mean()), 78)
+    rec, _, _ = signatures.signatures(signatures.Words(pa.array(sets, pa.list_(pa.int32())), counts), plan, 78)
+    assert len(rec) < 60 * len(sets)
+
+
+def test_wide_sketches_are_not_carried_by_signatures(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(260)]
+    texts = [" ".join(rng.sample(words, 150)) for _ in range(40)]
+    texts += [" ".join(t.split()[:140]) for t in texts[:10]]
+    staged = stage(word_sets(spark.createDataFrame([*enumerate(texts)], "cid long, body string"), "body", 22, "cid"))
+    plan, _ = neardup.plan_of(staged, 78)
+    assert neardup._signed(staged, spark.sparkContext.broadcast(plan), 78).columns == ["sig", "id", "s0", "s1"]
+    names = {r.h: r.cid for r in staged.collect()}
+    every = spark.createDataFrame(list(itertools.combinations(sorted(names), 2)), "a long, b long")
+    left = {tuple(sorted((names[r.a], names[r.b]))) for r in neardup._not_ruled_out(every, staged, 78).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(50), 2) if alike(words_of(texts[a]), words_of(texts[b]))}
+    assert want <= left and len(want) >= 10 and len(left) < every.count() / 2
+
+
 def test_batches_against_history(spark):
     rng = random.Random(7)
     texts = edited_texts(rng)
