@@ -1,8 +1,8 @@
 """Rebuilding conversations from message rows (problem 1).
 
 Every message points to its parent, the message one turn earlier in its
-session. Runs of turns within a block are contracted to one node by an aggregate,
-so only the heads of blocks are left to be resolved. Pointer jumping resolves
+session. Runs of turns within a block are contracted to one node, so only these
+are left to be resolved, and every message gets what its run got. Pointer jumping resolves
 all chains in log2(length) joins: each round an unfinished node adopts its
 ancestor's pointer, so the distance covered doubles. Orphans (parent id without a
 row) and cycles come out by name.
@@ -10,7 +10,7 @@ row) and cycles come out by name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stage, unstage
@@ -109,6 +109,31 @@ def distinct_messages(chunks: DataFrame) -> DataFrame:
     )
 
 
+def resolve_turns(turns: DataFrame) -> DataFrame:
+    """(session_id, turn_index, root, depth, status) of every message; its parent is the one a turn earlier, turn 1 has none.
+
+    ``turns``: distinct (session_id, turn_index). Runs of turns within a block are
+    contracted to one node, pointers are jumped over these, and what comes out is
+    handed back to each message of the run: root is the turn at the end of its
+    chain (the missing turn of an orphan), depth its distance from there.
+    """
+    turn = F.col("turn_index").cast("long")
+    held = turns.select("session_id", "turn_index", turn.alias("t"), F.floor((turn - 1) / BLOCK).alias("b"))
+    # turns less their rank are equal within a run; turn 1 starts one, as it has no parent
+    at = F.row_number().over(Window.partitionBy("session_id", "b").orderBy("t"))
+    held = stage(held.withColumn("run", F.col("t") - at), "runs")
+    runs = held.groupBy("session_id", "b", "run").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    # a run is named after the turn that would follow it and points to its own first
+    # turn, which is the name of the run that ends just before
+    name = lambda t: F.struct(F.col("session_id").alias("s"), t.alias("t"))
+    nodes = runs.select(name(F.col("hi") + 1).alias("node"), F.when(F.col("lo") != 1, name(F.col("lo"))).alias("parent"))
+    ends = resolve_parents(nodes, "node", "parent").select(F.col("node.s").alias("session_id"), (F.col("node.t") - 1).alias("hi"), F.col("root.t").alias("end"), "status")
+    ends = runs.join(ends, ["session_id", "hi"]).select("session_id", "b", "run", "end", "status")
+    # the end of a chain is a run of turn 1, or the first turn of a run whose parent is missing
+    root = F.when(F.col("status") == "ok", F.lit(1).cast("long")).otherwise(F.col("end") - 1)
+    return held.join(ends, ["session_id", "b", "run"]).select("session_id", "turn_index", root.alias("root"), (F.col("t") - root).alias("depth"), "status")
+
+
 def session_verdicts(chunks: DataFrame) -> DataFrame:
     """(session_id, n_messages, reason): reason is null for a whole conversation.
 
@@ -143,16 +168,8 @@ def session_verdicts(chunks: DataFrame) -> DataFrame:
     )
     turns = stage(turns, "turns")
     unstage(slim)
-    # a block of turns is one node: it is named after the turn that would follow it
-    # and points to its own first turn, the name of the block that ends just before
-    block = F.floor((F.col("turn_index") - 1) / BLOCK)
-    blocks = turns.filter("turn_index is not null").groupBy("session_id", block.alias("b")).agg(F.min("turn_index").alias("lo"), F.max("turn_index").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    name = lambda t: F.struct(F.col("session_id").alias("s"), t.alias("t"))
-    nodes = blocks.select(name(F.col("hi") + 1).alias("node"), F.when(F.col("lo") != 1, name(F.col("lo"))).alias("parent"))
-    chains = resolve_parents(nodes, "node", "parent")
-    gaps = blocks.groupBy("session_id").agg(F.max(F.col("rows") != F.col("hi") - F.col("lo") + 1).alias("gap"))
-    whole = chains.groupBy(F.col("node.s").alias("session_id")).agg(F.max(F.col("status") != "ok").alias("torn")).join(gaps, "session_id")
-    whole = whole.select("session_id", (F.col("torn") | F.col("gap")).alias("torn"))
+    chains = resolve_turns(turns.filter("turn_index is not null").select("session_id", "turn_index"))
+    whole = chains.groupBy("session_id").agg(F.max(F.col("status") != "ok").alias("torn"))
     talk = F.coalesce(F.col("user"), F.lit(False)) | F.coalesce(F.col("assistant"), F.lit(False))
     per = turns.groupBy("session_id").agg(
         F.sum("n").alias("n_messages"),

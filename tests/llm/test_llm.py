@@ -51,6 +51,21 @@ def test_session_verdicts(spark):
     assert conversations.session_verdicts(df.limit(0)).count() == 0
 
 
+def test_every_turn_is_resolved(spark):
+    turns = {1: [*range(1, 601)], 2: [1, 2, 4, 5, *range(300, 700)], 3: [0, 1, 2], 4: [2**31 - 1, -(2**31)]}
+    rows = spark.createDataFrame([(s, t) for s, ts in turns.items() for t in ts], "session_id long, turn_index int")
+    want = set()
+    for s, ts in turns.items():
+        for t in ts:
+            root = t
+            while root != 1 and root in ts:
+                root -= 1
+            want.add((s, t, root, t - root, "ok" if root in ts else "orphan"))
+    assert {tuple(r) for r in conversations.resolve_turns(rows).collect()} == want
+    chunks = rows.select("session_id", "turn_index", F.lit("assistant").alias("role"), F.lit("a").alias("content"))
+    assert {(r.session_id, r.reason) for r in conversations.session_verdicts(chunks).collect()} == {(1, None), (2, "broken"), (3, "broken"), (4, "broken")}
+
+
 def test_parents_orphans_cycles(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 99), (5, 4), (6, 7), (7, 6), (8, 7), (9, 9), (None, 1)] + [(100, None)] + [(100 + i, 99 + i) for i in range(1, 40)]
     got = {r.node: (r.root, r.depth, r.status) for r in conversations.resolve_parents(spark.createDataFrame(edges, "n int, p int"), "n", "p").collect()}
