@@ -19,11 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..functions.vectors import usable
 from ..runtime import stage, unstage
 from .lexical import K1, LEAST_IDF, B, asked_units
 
 #: Characters of a task that stores texts; documents and tokens from which it begins another block; queries of a task.
 CHARS, DOCS, TOKENS, QUERIES = 24_000_000, 120_000, 3_500_000, 8192
+#: Vectors of a stored block; products held at once.
+VECTORS, PRODUCTS = 16_384, 6_000_000
+#: Cosines in half the precision are off by less than this, rounding to six digits included.
+NEAR = 3e-5
 #: Scores are rounded to six digits, so what could reach the k-th best is looked at from this much below it.
 SLACK = 1.1e-6
 #: Places of phrases that a task keeps for its second reading.
@@ -284,3 +289,96 @@ def bm25_topk(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query
     out = stage(spread.mapInArrow(run, "query long, doc long, score double, rank int"), "words")
     unstage(stored)
     return out
+
+
+def vector_blocks(vectors: DataFrame, vec_id: str, vec: str, dims: int) -> DataFrame:
+    """(data), staged: the usable vectors as they lie, in blocks; a repeated id may stand in several."""
+    rows = vectors.filter(usable(F.col(vec), dims) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        block = lambda: pa.RecordBatch.from_arrays([pa.array([_packed(id=pa.concat_arrays([b.column(0) for b in held]), v=pa.concat_arrays([b.column(1).flatten() for b in held]))], pa.binary())], names=["data"])
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= VECTORS:
+                yield block()
+                held, n = [], 0
+        if n:
+            yield block()
+
+    return stage(rows.mapInArrow(run, "data binary"), "vectors")
+
+
+class _Nearest:
+    """The best k (id, cosine) of all queries so far, as matrices; free places have no score."""
+
+    def __init__(self, n: int, k: int):
+        self.ids, self.scores = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        met, k = np.unique(q), self.ids.shape[1]
+        q, ids, scores = (np.concatenate(x) for x in ((q, np.repeat(met, k)), (ids, self.ids[met].ravel()), (scores, self.scores[met].ravel())))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        keep = np.isfinite(scores)
+        keep[1:] &= (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+        q, ids, scores = q[keep], ids[keep], scores[keep]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < k
+        self.ids[q[keep], place[keep]], self.scores[q[keep], place[keep]] = ids[keep], scores[keep]
+
+
+def knn_topk(queries: DataFrame, query_id: str, asked_id: str, vectors: DataFrame, vec_id: str, vec: str, dims: int, k: int) -> DataFrame:
+    """(query, id, cosine, rank): as ``dense.knn_topk``, for as many queries as there are vectors; a query's vector is that of ``asked_id`` among the vectors.
+
+    Products are of half the precision first; what comes near the k-th best is computed anew.
+    """
+    asked = queries.select(F.col(query_id).cast("long").alias("query"), F.col(asked_id).cast("long").alias("asked")).dropna()
+    stored = vector_blocks(vectors, vec_id, vec, dims)
+    folder = stored._staged_path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        names, first = np.unique(table.column("query").to_numpy(), return_index=True)
+        wanted = table.column("asked").to_numpy()[first]
+        m, there = np.zeros((len(names), dims)), np.zeros(len(names), bool)
+        for block in _blocks(folder):
+            ids, v = block["id"].to_numpy(), block["v"].to_numpy().reshape(-1, dims)
+            order = np.argsort(ids)
+            at = order[np.minimum(np.searchsorted(ids, wanted, sorter=order), len(ids) - 1)]
+            hit = ids[at] == wanted
+            m[hit], there[hit] = v[at[hit]], True
+        names, m = names[there], m[there]
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        half, best = m.astype(np.float32), _Nearest(len(names), k)
+        for block in _blocks(folder):
+            ids, first = np.unique(block["id"].to_numpy(), return_index=True)
+            v = block["v"].to_numpy().reshape(-1, dims)[first].astype(np.float64)
+            v /= np.linalg.norm(v, axis=1)[:, None]
+            other = v.astype(np.float32).T
+            step = max(1, PRODUCTS // len(ids))
+            for low in range(0, len(names), step):
+                s = half[low : low + step] @ other
+                need = best.scores[low : low + step, -1].copy()
+                new = np.flatnonzero(need == -np.inf)
+                runs = len(ids) // 64
+                if len(new) and runs >= 2 * k:  # the k-th best of the best of each run is reached by k at least
+                    need[new] = np.partition(s[new, : runs * 64].reshape(len(new), runs, 64).max(axis=2), runs - k, axis=1)[:, runs - k]
+                at = np.flatnonzero(s >= (need - NEAR).astype(np.float32)[:, None])
+                q, j = at // len(ids), at % len(ids)
+                for part in range(0, len(q), 100_000):  # a query's places may be cut between parts
+                    a, b = low + q[part : part + 100_000], j[part : part + 100_000]
+                    best.add(a, ids[b], np.round(np.einsum("ij,ij->i", m[a], v[b]), 6))
+        n = np.isfinite(best.scores).sum(axis=1)
+        full = np.isfinite(best.scores).ravel()
+        rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(names))[full]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best.ids.ravel()[full]), pa.array(best.scores.ravel()[full]), pa.array(rank)], names=["query", "id", "cosine", "rank"])
+
+    out = stage(asked.repartition(_shares(asked), "query").mapInArrow(run, "query long, id long, cosine double, rank int"), "near")
+    unstage(stored)
+    return out

@@ -18,7 +18,7 @@ def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
     bag = lists[0].select("query", "id", "rank")
     for other in lists[1:]:
         bag = bag.unionByName(other.select("query", "id", "rank"))
-    fused = bag.groupBy("query", "id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
+    fused = bag.repartition("query").groupBy("query", "id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return fused.withColumn("rank", F.row_number().over(order))
 

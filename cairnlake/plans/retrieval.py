@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import ranking, text
 from ..functions.vectors import as_double, norm, usable
 from ..operators import browse, bulk, cluster, dense, fusion, lexical
-from ..runtime import shared_dir
+from ..runtime import shared_dir, stage
+from ..sources.tables import read_table
 from .base import (
     C, DESCRIBED, FACT_V, FACTS, K, NOW, S, SKILL_V, T, V, VEC, bm25_sql, chunks, described, documents, fact_vectors, facts, knn_sql, query, query_units_sql, raw_chunks, sessions, skill_vectors, skills, terms_sql,
     trajectories, vectors,
@@ -41,7 +42,23 @@ def _task_vectors(spark, d, every=100):
     return tasks(spark, d, every).filter("session_id is not null").select("trajectory_id", "session_id").join(first, "session_id")
 
 
+def _all_nearest(spark, d, k=25):
+    """The messages nearest to every task; its vector as in ``_task_vectors``."""
+    raw = read_table(spark, d, "chunks_vec")  # a row delivered twice changes no minimum
+    has = raw.filter(usable(F.col("embedding"), VEC)).select("chunk_id")
+    first = raw_chunks(spark, d).filter("session_id is not null").join(has, "chunk_id").groupBy("session_id").agg(F.min(F.struct(F.coalesce("turn_index", F.lit(-1)), "chunk_id")).getField("chunk_id").alias("asked"))
+    asked = stage(trajectories(spark, d).select("trajectory_id", "session_id").join(first, "session_id").select("trajectory_id", "asked"), "asked")
+    return bulk.knn_topk(asked, "trajectory_id", "asked", raw, "chunk_id", "embedding", VEC, k)
+
+
+def _all_fused(spark, d):
+    """Words and vectors of every task, fused."""
+    lists = [_all_bm25(spark, d).withColumnRenamed("doc", "id"), _all_nearest(spark, d)]
+    return lists, fusion.rrf([x.select("query", "id", "rank") for x in lists])
+
+
 TASK_V = f"(SELECT trajectory_id, v FROM {TASKS} t JOIN (SELECT session_id, min_by(v, (coalesce(turn_index, -1), c.chunk_id)) AS v FROM {C} c JOIN {V} w ON c.chunk_id = w.chunk_id WHERE session_id IS NOT NULL GROUP BY session_id) f ON f.session_id = t.session_id)"
+ALL_TASK_V = TASK_V.replace(TASKS, T)
 
 
 @query(f"SELECT query, array_to_string(u, ' ') AS unit, count(*) AS times FROM (SELECT trajectory_id AS query, unnest({query_units_sql('task')}) AS u FROM {TASKS}) GROUP BY ALL")
@@ -100,11 +117,15 @@ def rt4_knn_topk(spark, d):
     return dense.knn_topk(v.filter("chunk_id % 100 = 0"), "chunk_id", "embedding", v, "chunk_id", "embedding", VEC, 25, exclude_self=True)
 
 
-FUSED = f"""WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'task', 25)}, {knn_sql(TASK_V, 'trajectory_id', 'v', 25, skip_self=False)},
+def fused_sql(asked: str, asked_v: str) -> str:
+    return f"""WITH {bm25_sql(C, 'chunk_id', 'content', asked, 'trajectory_id', 'task', 25)}, {knn_sql(asked_v, 'trajectory_id', 'v', 25, skip_self=False)},
  fu AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, round(sum(1.0/(60+rank)), 9) AS score FROM
   (SELECT query, doc AS id, rank FROM bm UNION ALL SELECT query, id, rank FROM kn) GROUP BY query, id))"""
 
 
+FUSED, ALL_FUSED = fused_sql(TASKS, TASK_V), fused_sql(T, ALL_TASK_V)
+
+
 def _fused(spark, d, every=100):
     lex = _bm25(spark, d, every=every).withColumnRenamed("doc", "id")
     v = vectors(spark, d)
@@ -112,9 +133,9 @@ def _fused(spark, d, every=100):
     return fusion.rrf([lex, near])
 
 
-@query(FUSED + " SELECT query, id, score, rank FROM fu")
+@query(ALL_FUSED + " SELECT query, id, score, rank FROM fu")
 def rt5_rrf_fusion(spark, d):
-    return _fused(spark, d)
+    return _all_fused(spark, d)[1]
 
 
 @query(FUSED + f" SELECT query, id, score, rank, session_id, length(content) AS chars FROM fu JOIN {C} c ON c.chunk_id = id WHERE rank <= 8")

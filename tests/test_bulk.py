@@ -1,11 +1,12 @@
 """Searches of all tasks: every query of its table, equal to DuckDB and to the operators for few queries."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cairnlake.operators import bulk, lexical
+from cairnlake.operators import bulk, dense, lexical
 
 CHUNKS = [(1, 10, 0, "user", "the deploy failed on the cache server", 1.0), (2, 10, 1, "assistant", "cache the deploy deploy", 2.0), (3, 11, 0, "user", "nothing here", 3.0), (4, 11, None, "user", None, 4.0), (5, None, 0, "user", "re-run re-run deploy-fix", 5.0), (5, None, 0, "user", "re-run re-run deploy-fix", 5.0)]
 TASKS = [(1, 10, "deploy the cache", "ok", '["a", "b"]'), (7, 11, "deploy-fix or re-run", "fail", '["b"]'), (100, 10, "nothing deploy", " OK", "["), (101, None, "the", "ok", '["b"]'), (102, 11, None, "ok", None)]
@@ -48,3 +49,20 @@ def test_bulk_bm25_over_many_blocks(spark, monkeypatch):
     assert got == {tuple(r) for r in lexical.bm25_topk(docs, "id", "body", asked, "q", "text", 7).collect()} and len(got) == 420
     assert bulk.bm25_topk(docs.limit(0), "id", "body", asked, "q", "text", 7).count() == 0
     assert bulk.bm25_topk(docs, "id", "body", asked.limit(0), "q", "text", 7).count() == 0
+
+
+def test_all_tasks_are_asked_for_both_lists(spark, tables):
+    _, got = equal_to_sql(spark, tables, "rt5_rrf_fusion")
+    assert {r[0] for r in got} == {"1", "7", "100", "101", "102"}
+
+
+def test_bulk_knn_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bulk, "VECTORS", 900)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(size=(4000, 8)), 1))]
+    vectors = spark.createDataFrame(rows + rows[:300] + [(9999, [0.0] * 8), (9998, [1.0] * 7), (9997, None)], "id long, v array<float>")
+    asked = spark.createDataFrame([(10 * i, 37 * i) for i in range(100)] + [(1, 9999), (2, 123456)], "q long, own long")
+    few = asked.join(vectors.dropDuplicates(["id"]).withColumnRenamed("id", "own"), "own")
+    got = {tuple(r) for r in bulk.knn_topk(asked, "q", "own", vectors, "id", "v", 8, 5).collect()}
+    assert got == {tuple(r) for r in dense.knn_topk(few, "q", "v", vectors, "id", "v", 8, 5).collect()} and len(got) == 500
+    assert bulk.knn_topk(asked, "q", "own", vectors.limit(0), "id", "v", 8, 5).count() == 0
