@@ -177,7 +177,7 @@ def rt9_snippets(spark, d):
 NUM = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_index NULLS FIRST, chunk_id) AS pos FROM {C} WHERE session_id IS NOT NULL)"
 
 
-@query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'task', 30)}, p AS MATERIALIZED {NUM},
+@query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', T, 'trajectory_id', 'task', 30)}, p AS MATERIALIZED {NUM},
  h AS (SELECT query, session_id, arg_min(pos, (rank, doc)) AS spot, min((rank, doc)) AS b FROM bm JOIN p ON p.chunk_id = doc GROUP BY query, session_id),
  r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY b, session_id) AS arc_rank FROM h) WHERE arc_rank <= 3),
  e AS (SELECT session_id, max(pos) AS n FROM p GROUP BY session_id),
@@ -185,7 +185,7 @@ NUM = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_inde
  SELECT s.session_id, query, arc_rank, part, p.pos, chunk_id FROM s JOIN p ON p.session_id = s.session_id JOIN (VALUES ('start'),('anchor'),('end')) x(part)
   ON (part = 'start' AND p.pos <= 3) OR (part = 'anchor' AND p.pos BETWEEN spot - 5 AND spot + 5) OR (part = 'end' AND p.pos > n - 3)""")
 def rt10_session_arcs(spark, d):
-    hits = _bm25(spark, d, 30).withColumnRenamed("doc", "id")
+    hits = _all_bm25(spark, d, 30).withColumnRenamed("doc", "id")
     return browse.session_arcs(chunks(spark, d), hits, 3, 5)
 
 

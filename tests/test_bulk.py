@@ -17,7 +17,7 @@ def tables(spark, tmp_path_factory):
     """A folder whose tasks mostly have ids that are not divisible by 100."""
     d = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(CHUNKS, "chunk_id long, session_id long, turn_index int, role string, content string, created_at double").write.parquet(f"{d}/chunks.parquet")
-    spark.createDataFrame(TASKS, "trajectory_id long, session_id long, task string, outcome string, skills_used string").write.parquet(f"{d}/trajectories.parquet")
+    spark.createDataFrame([(*t, None) for t in TASKS], "trajectory_id long, session_id long, task string, outcome string, skills_used string, created_at double").write.parquet(f"{d}/trajectories.parquet")
     spark.createDataFrame([(i, [float((i * 7 + j) % 5 - 2) for j in range(128)]) for i in (1, 2, 3, 5, 6)], "chunk_id long, embedding array<float>").write.parquet(f"{d}/chunks_vec.parquet")
     return d
 
@@ -66,3 +66,8 @@ def test_bulk_knn_over_many_blocks(spark, monkeypatch):
     got = {tuple(r) for r in bulk.knn_topk(asked, "q", "own", vectors, "id", "v", 8, 5).collect()}
     assert got == {tuple(r) for r in dense.knn_topk(few, "q", "v", vectors, "id", "v", 8, 5).collect()} and len(got) == 500
     assert bulk.knn_topk(asked, "q", "own", vectors.limit(0), "id", "v", 8, 5).count() == 0
+
+
+def test_arcs_of_all_tasks(spark, tables):
+    columns, got = equal_to_sql(spark, tables, "rt10_session_arcs")
+    assert {r[columns.index("query")] for r in got} == {"1", "100", "101"}
