@@ -18,15 +18,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import terms, word_set
 from ..functions.vectors import usable
 from ..runtime import stage, unstage
 from .lexical import K1, LEAST_IDF, B, asked_units
 
-#: Characters of a task that stores texts; documents and tokens from which it begins another block; queries of a task.
-CHARS, DOCS, TOKENS, QUERIES = 24_000_000, 120_000, 3_500_000, 8192
+#: Characters of a task that stores texts; documents and tokens from which it begins another block; documents added to one at once; queries of a task.
+CHARS, DOCS, TOKENS, PIECE, QUERIES = 24_000_000, 120_000, 3_500_000, 500, 8192
 #: Vectors of a stored block; products held at once.
 VECTORS, PRODUCTS = 16_384, 6_000_000
+#: Members of a block whose tags are held as bits.
+MEMBERS = 65_536
 #: Cosines in half the precision are off by less than this, rounding to six digits included.
 NEAR = 3e-5
 #: Scores are rounded to six digits, so what could reach the k-th best is looked at from this much below it.
@@ -35,10 +37,10 @@ SLACK = 1.1e-6
 KEPT = 2_000_000
 
 
-def _shares(queries: DataFrame) -> int:
+def _shares(queries: DataFrame, most: int | None = None) -> int:
     """Over how many tasks the queries are spread."""
     n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-n // QUERIES), min(cores, -(-n // 256)))
+    return max(1, -(-n // (most or QUERIES)), min(cores, -(-n // 256)))
 
 
 def _packed(**columns) -> bytes:
@@ -84,9 +86,7 @@ def token_blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_docs, n_tokens, last = [], 0, 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(low, PIECE) for b in batches for low in range(0, b.num_rows, PIECE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             new = np.concatenate([[ids[0] != last], ids[1:] != ids[:-1]])  # deliveries of a document stand side by side
             last = ids[-1]
@@ -192,7 +192,7 @@ def _search(best: _Best, asked: list, lists: list, ids: np.ndarray) -> None:
     """
     acc = np.zeros(len(ids))
     for q, units in enumerate(asked):
-        parts = sorted(((w * lists[u][2], w, lists[u][0], lists[u][1]) for u, w in units if lists[u] is not None), key=lambda p: -p[0])
+        parts = sorted(((times * lists[u][2], times, lists[u][0], lists[u][1]) for u, times in units if lists[u] is not None), key=lambda p: -p[0])
         rest = [0.0]
         for p in reversed(parts):
             rest.append(rest[-1] + p[0])
@@ -202,8 +202,8 @@ def _search(best: _Best, asked: list, lists: list, ids: np.ndarray) -> None:
             continue
         i = 0
         while i < len(parts) and rest[i] >= need:
-            _, w, docs, weight = parts[i]
-            acc[docs] += w * weight
+            _, times, docs, weight = parts[i]
+            acc[docs] += weight if times == 1 else times * weight
             i += 1
         if need == -np.inf:
             need = _least(acc, best.k) - SLACK
@@ -213,11 +213,11 @@ def _search(best: _Best, asked: list, lists: list, ids: np.ndarray) -> None:
         for j in range(i, len(parts)):
             if not len(found):
                 break
-            _, w, docs, weight = parts[j]
+            _, times, docs, weight = parts[j]
             at = np.searchsorted(docs, found)
             at[at == len(docs)] = 0
             hit = docs[at] == found
-            score[hit] += w * weight[at[hit]]
+            score[hit] += times * weight[at[hit]]
             keep = score >= need - rest[j + 1]
             found, score = found[keep], score[keep]
         if len(found):
@@ -265,7 +265,7 @@ def bm25_topk(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query
         idf = np.where(idf <= 0, LEAST_IDF, idf)
         asks: list[list] = [[] for _ in names]
         for q, u, times in zip(at.tolist(), unit, table.column("times").to_pylist(), strict=True):
-            asks[q].append((u, float(idf[u] * times)))
+            asks[q].append((u, times))
         best = _Best(len(names), k)
         for b, block in enumerate(_blocks(folder)):
             post, lists, w = _Postings(block), [None] * len(units), None
@@ -276,13 +276,14 @@ def bm25_topk(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query
                     continue
                 if len(own) == 1:
                     low, high = post.span(int(own[0]), post.past)
-                    lists[u] = (post.doc[low:high], w := weight[low:high], float(w.max()))
+                    lists[u] = (post.doc[low:high], w := idf[u] * weight[low:high], float(w.max()))
                 else:
                     d, tf = kept[b][u] if u in kept[b] else post.phrase(own)
                     if len(d):
-                        lists[u] = (d, w := post.weighed(mean, d, tf), float(w.max()))
+                        lists[u] = (d, w := idf[u] * post.weighed(mean, d, tf), float(w.max()))
+            weight = None
             _search(best, asks, lists, block["id"].to_numpy())
-            del post, lists, weight, w
+            del post, lists, w
         yield best.rows(names, "score", "doc")
 
     spread = asked.repartition(_shares(queries), "query")
@@ -382,3 +383,114 @@ def knn_topk(queries: DataFrame, query_id: str, asked_id: str, vectors: DataFram
     out = stage(asked.repartition(_shares(asked), "query").mapInArrow(run, "query long, id long, cosine double, rank int"), "near")
     unstage(stored)
     return out
+
+
+def word_blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(data), staged: the word sets of documents as they lie, in blocks; a repeated id may stand in several."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), word_set(F.col(text)).alias("words")).filter("id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                coded = batch.column(1).flatten().dictionary_encode()
+                data = _packed(id=batch.column(0), size=batch.column(1).value_lengths(), word=coded.indices, term=coded.dictionary)
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+
+    return stage(rows.mapInArrow(run, "data binary"), "sets")
+
+
+def _diverse(score: np.ndarray, sets: list[np.ndarray], balance: float, k: int) -> list[int]:
+    """The greedy choice of ``fusion.mmr`` over hits in order of score, then id."""
+    size = np.array([len(w) for w in sets])
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), len(words)), np.float32)
+    has[np.repeat(np.arange(len(sets)), size), at] = 1
+    both = np.rint((has @ has.T).astype(np.float64))
+    either = size[:, None] + size[None, :] - both
+    like = np.where(either > 0, both / np.maximum(either, 1), 1.0)
+    rel = score / score[0] if score[0] > 0 else score * 0
+    nearest, left, picked = np.zeros(len(sets)), np.ones(len(sets), bool), []
+    while len(picked) < min(k, len(sets)):
+        worth = np.where(left, np.round(balance * rel - (1 - balance) * nearest, 12), -np.inf)
+        best = int(np.argmax(worth if picked and balance < 1 else left))
+        picked.append(best)
+        left[best] = False
+        nearest = np.maximum(nearest, like[best])
+    return picked
+
+
+def mmr(hits: DataFrame, docs: DataFrame, doc_id: str, text: str, balance: float, k: int) -> DataFrame:
+    """(query, id, pick): as ``fusion.mmr``, for hits (query, id, score) of very many queries, whose texts are those of ``docs``; no text is shuffled.
+
+    Hits without a document are left out.
+    """
+    stored = word_blocks(docs, doc_id, text)
+    asked = hits.select(F.col("query").cast("long").alias("query"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"))
+    folder = stored._staged_path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        q, ids, score = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        wanted = np.unique(ids)
+        sets: list[np.ndarray | None] = [None] * len(wanted)
+        number: dict[str, int] = {}
+        for block in _blocks(folder):
+            own, size, word = (block[c].to_numpy() for c in ("id", "size", "word"))
+            at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+            rows = np.flatnonzero(wanted[at] == own)
+            past = np.cumsum(size)
+            lists = [word[past[r] - size[r] : past[r]] for r in rows.tolist()]
+            used = np.unique(np.concatenate([*lists, np.zeros(0, np.int32)]))
+            of = np.zeros(len(block["term"]), np.int32)
+            of[used] = [number.setdefault(w, len(number)) for w in block["term"].take(pa.array(used)).to_pylist()]
+            for r, w in zip(rows.tolist(), lists, strict=True):
+                sets[at[r]] = of[w]
+        at = np.searchsorted(wanted, ids)
+        there = np.array([s is not None for s in sets])[at]
+        q, ids, score, at = q[there], ids[there], score[there], at[there]
+        order = np.lexsort((ids, -score, q))
+        q, ids, score, at = q[order], ids[order], score[order], at[order]
+        ends = np.append(np.flatnonzero(q[1:] != q[:-1]) + 1, len(q)) if len(q) else []
+        out, low = [], 0
+        for high in ends:
+            out.append(low + np.array(_diverse(score[low:high], [sets[i] for i in at[low:high].tolist()], balance, k)))
+            low = high
+        flat = np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
+        pick = np.concatenate([*(np.arange(1, len(o) + 1, dtype=np.int32) for o in out), np.zeros(0, np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(q[flat]), pa.array(ids[flat]), pa.array(pick)], names=["query", "id", "pick"])
+
+    out = stage(asked.repartition(_shares(asked.select("query").distinct(), QUERIES // 2), "query").mapInArrow(run, "query long, id long, pick int"), "picked")
+    unstage(stored)
+    return out
+
+
+def union_sizes(sets: DataFrame, tags: str, members: DataFrame, has: str) -> DataFrame:
+    """(tags, n): for each distinct array of tags, how many members have one of them; no pair is written.
+
+    ``members``: a row per member, with its tags.
+    """
+    asked, stored = sets.select(F.col(tags).alias("tags")).distinct(), stage(members.select(F.col(has).alias("has")), "members")
+    folder = stored._staged_path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks = [t for b in batches for t in b.column(0).to_pylist()]
+        n = np.zeros(len(asks), np.int64)
+        store, root = fs.FileSystem.from_uri(folder)
+        for path in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")) if asks else ():
+            for batch in pq.ParquetFile(store.open_input_file(path)).iter_batches(batch_size=MEMBERS):
+                lists = batch.column(0)
+                coded = lists.flatten().dictionary_encode()
+                bits = np.zeros((len(coded.dictionary), len(lists)), bool)
+                bits[coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))] = True
+                bits, number = np.packbits(bits, axis=1), {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+                for i, t in enumerate(asks):
+                    rows = [number[w] for w in t if w in number]
+                    if rows:
+                        n[i] += int(np.bitwise_count(np.bitwise_or.reduce(bits[rows], axis=0)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(asks, pa.list_(pa.string())), pa.array(n)], names=["tags", "n"])
+
+    out = stage(asked.repartition(_shares(asked), "tags").mapInArrow(run, "tags array<string>, n long"), "unions")
+    unstage(stored)
+    return out

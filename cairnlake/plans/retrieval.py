@@ -151,7 +151,7 @@ def hybrid_search(spark, d, every=100, k=8):
 
 
 _WORD_SET = "list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}_]+'))"
-MMR = FUSED.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+MMR = ALL_FUSED.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
  h AS MATERIALIZED (SELECT fu.query, id, score, {_WORD_SET} AS w, score / max(score) OVER (PARTITION BY fu.query) AS rel FROM fu JOIN {C} c ON c.chunk_id = id),
  j AS MATERIALIZED (SELECT a.query, a.id AS a, b.id AS b, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS likeness FROM h a JOIN h b ON a.query = b.query AND a.id <> b.id),
  r AS (SELECT query, 1 AS n, [min_by(id, (-score, id))] AS picked FROM h GROUP BY query
@@ -163,8 +163,7 @@ MMR = FUSED.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 
 @query(MMR)
 def rt7_mmr_rerank(spark, d):
-    hit = _fused(spark, d).join(chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), "id")
-    return fusion.mmr(hit, "content", 0.7, 8)
+    return bulk.mmr(stage(_all_fused(spark, d)[1].drop("rank"), "fused"), raw_chunks(spark, d), "chunk_id", "content", 0.7, 8)
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cairnlake.operators import bulk, dense, lexical
+from cairnlake.operators import bulk, dense, fusion, lexical
 
 CHUNKS = [(1, 10, 0, "user", "the deploy failed on the cache server", 1.0), (2, 10, 1, "assistant", "cache the deploy deploy", 2.0), (3, 11, 0, "user", "nothing here", 3.0), (4, 11, None, "user", None, 4.0), (5, None, 0, "user", "re-run re-run deploy-fix", 5.0), (5, None, 0, "user", "re-run re-run deploy-fix", 5.0)]
 TASKS = [(1, 10, "deploy the cache", "ok", '["a", "b"]'), (7, 11, "deploy-fix or re-run", "fail", '["b"]'), (100, 10, "nothing deploy", " OK", "["), (101, None, "the", "ok", '["b"]'), (102, 11, None, "ok", None)]
@@ -71,3 +71,16 @@ def test_bulk_knn_over_many_blocks(spark, monkeypatch):
 def test_arcs_of_all_tasks(spark, tables):
     columns, got = equal_to_sql(spark, tables, "rt10_session_arcs")
     assert {r[columns.index("query")] for r in got} == {"1", "100", "101"}
+
+
+def test_reranked_hits_of_all_tasks(spark, tables):
+    columns, got = equal_to_sql(spark, tables, "rt7_mmr_rerank")
+    assert {r[columns.index("query")] for r in got} == {"1", "7", "100", "101", "102"}
+
+
+def test_bulk_mmr_equals_mmr(spark):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w_{x}" for x in rng.integers(0, 12, rng.integers(0, 9))) or None) for i in range(80)], "id long, body string")
+    hits = spark.createDataFrame([(q, int(i), float(round(1 / (60 + j // 2), 9))) for q in range(30) for j, i in enumerate(rng.permutation(90)[:25])], "query long, id long, score double")
+    got = {tuple(r) for r in bulk.mmr(hits, docs.union(docs), "id", "body", 0.7, 8).collect()}
+    assert got == {tuple(r) for r in fusion.mmr(hits.join(docs, "id"), "body", 0.7, 8).collect()} and len(got) == 240
