@@ -34,6 +34,15 @@ def session_scores(ranked: DataFrame, gold: DataFrame, k: int, depth: int) -> Da
     return any_all_at(ranked, gold, k).join(ranking_scores(ranked, gold, depth).select("query", "ndcg"), "query")
 
 
+def counted_session_scores(hits: DataFrame, sizes: DataFrame, k: int, depth: int) -> DataFrame:
+    """As ``session_scores``, where gold is too much to list: ``hits`` (query, rank) are the ranks of gold ids, ``sizes`` has (query, n_gold)."""
+    near, deep = F.col("rank") <= k, F.col("rank") <= depth
+    h = hits.groupBy("query").agg(F.sum(near.cast("int")).alias("hits"), F.sum(F.when(deep, 1.0 / F.log2(F.col("rank") + 1.0))).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(depth)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    found = F.coalesce("hits", F.lit(0))
+    return sizes.join(h, "query", "left").select("query", (found > 0).cast("int").alias("any_at"), (found == F.col("n_gold")).cast("int").alias("all_at"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"))
+
+
 def arm_scores(arms: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:
     """(arm, queries, recall, rr, ndcg): means of ``ranking_scores`` for each named list of (query, id, rank); none without gold."""
     out = None

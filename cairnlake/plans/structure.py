@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.vectors import usable
-from ..operators import browse, cluster, dense, evaluate, folds, graph, retention
-from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, sessions, skill_vectors, skills, strip_sql, trajectories, vectors
-from .retrieval import ASKED_V, FIRST_V, NUM, _bm25, _first_vectors, tasks
+from ..operators import browse, bulk, cluster, dense, evaluate, folds, graph, retention
+from ..runtime import stage
+from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, raw_chunks, sessions, skill_vectors, skills, strip_sql, trajectories, vectors
+from .retrieval import ASKED_V, FIRST_V, NUM, _all_bm25, _bm25, _first_vectors, tasks
 
 
 @query(f"SELECT session_id, pos, chunk_id FROM {NUM}")
@@ -398,24 +399,28 @@ def ev1_retrieval_scores(spark, d):
     return evaluate.ranking_scores(ranked, _gold(spark, d), 10)
 
 
-SAME_SKILL = f"(SELECT DISTINCT t.trajectory_id AS query, o.session_id AS id FROM (SELECT trajectory_id, session_id, unnest(skills) AS skill FROM {T} WHERE trajectory_id % 100 = 0) t JOIN (SELECT session_id, unnest(skills) AS skill FROM {T} WHERE outcome = 'ok') o ON o.skill = t.skill WHERE o.session_id IS NOT NULL UNION SELECT trajectory_id, session_id FROM {T} WHERE trajectory_id % 100 = 0 AND session_id IS NOT NULL)"
+SAME_SKILL = f"(SELECT DISTINCT t.trajectory_id AS query, o.session_id AS id FROM (SELECT trajectory_id, session_id, unnest(skills) AS skill FROM {T}) t JOIN (SELECT session_id, unnest(skills) AS skill FROM {T} WHERE outcome = 'ok') o ON o.skill = t.skill WHERE o.session_id IS NOT NULL UNION SELECT trajectory_id, session_id FROM {T} WHERE session_id IS NOT NULL)"
 
 
-@query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', f"(SELECT * FROM {T} WHERE trajectory_id % 100 = 0)", 'trajectory_id', 'task', 25)}, s AS (SELECT query, session_id AS id, min(rank) AS best FROM bm JOIN {C} c ON c.chunk_id = doc WHERE session_id IS NOT NULL GROUP BY ALL),
+@query(f"""WITH {bm25_sql(C, 'chunk_id', 'content', T, 'trajectory_id', 'task', 25)}, s AS (SELECT query, session_id AS id, min(rank) AS best FROM bm JOIN {C} c ON c.chunk_id = doc WHERE session_id IS NOT NULL GROUP BY ALL),
  r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY best, id) AS rank FROM s), g AS (SELECT query, id FROM {SAME_SKILL}), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query)
  SELECT g.query, CAST(max(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) AS INT) AS any_at, CAST(min(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) AS INT) AS all_at,
   round(coalesce(sum(CASE WHEN r.rank <= 10 THEN 1/log2(r.rank+1) END), 0) / any_value(list_sum(list_transform(range(1, least(n_gold, 10)+1), lambda i: 1/log2(i+1)))), 6) AS ndcg
   FROM g JOIN n ON n.query = g.query LEFT JOIN r ON r.query = g.query AND r.id = g.id GROUP BY g.query""")
 def ev3_session_scores(spark, d):
-    """Sessions by their first hit, against the task's own and all that used one of its skills with success."""
-    c = chunks(spark, d).filter("session_id is not null").select(F.col("chunk_id").alias("doc"), "session_id")
-    best = _bm25(spark, d, 25).join(c, "doc").groupBy("query", F.col("session_id").alias("id")).agg(F.min("rank").alias("best"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("best", "id")))
-    own = tasks(spark, d).select(F.col("trajectory_id").alias("query"), F.explode("skills").alias("skill"))
-    good = uses(spark, d).filter("outcome = 'ok' and session_id is not null").select("skill", F.col("session_id").alias("id"))
-    itself = tasks(spark, d).filter("session_id is not null").select(F.col("trajectory_id").alias("query"), F.col("session_id").alias("id"))
-    gold = own.join(good, "skill").select("query", "id").unionByName(itself).distinct()
-    return evaluate.session_scores(ranked, gold, 5, 10)
+    """Sessions by their first hit, against the task's own and all that used one of its skills with success; those are counted by sets of skills, not listed."""
+    c = raw_chunks(spark, d).filter("session_id is not null").select(F.col("chunk_id").alias("doc"), "session_id")
+    best = _all_bm25(spark, d, 25).join(c, "doc").groupBy("query", F.col("session_id").alias("id")).agg(F.min("rank").alias("best"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("best", "id"))).filter("rank <= 10")
+    good = stage(uses(spark, d).filter("outcome = 'ok' and session_id is not null and skill is not null").groupBy(F.col("session_id").alias("id")).agg(F.collect_set("skill").alias("good")), "good")
+    tags = F.coalesce(F.array_sort(F.array_distinct(F.filter("skills", lambda s: s.isNotNull()))), F.array().cast("array<string>"))
+    own = trajectories(spark, d).select(F.col("trajectory_id").alias("query"), F.col("session_id").alias("own"), tags.alias("tags"))
+    shares = lambda side: F.coalesce(F.arrays_overlap("tags", side), F.lit(False))
+    more = (F.col("own").isNotNull() & ~shares("own_good")).cast("long")
+    asked = own.join(bulk.union_sizes(own, "tags", good, "good"), "tags").join(good.select(F.col("id").alias("own"), F.col("good").alias("own_good")), "own", "left")
+    asked = stage(asked.select("query", "own", "tags", (F.col("n") + more).alias("n_gold")).filter("n_gold > 0"), "asked")
+    hit = ranked.join(asked, "query").join(good, "id", "left").filter(shares("good") | (F.col("id") == F.col("own")))
+    return evaluate.counted_session_scores(hit.select("query", "rank"), asked.select("query", "n_gold"), 5, 10)
 
 
 @query(f"""WITH x AS (SELECT 'utility' AS source, outcome AS truth, CASE WHEN utility >= 0.7 THEN 'ok' WHEN utility < 0.3 THEN 'fail' END AS guess FROM {T} WHERE outcome <> 'unknown'), l AS (SELECT unnest(['ok','fail','partial']) AS label),

@@ -84,3 +84,15 @@ def test_bulk_mmr_equals_mmr(spark):
     hits = spark.createDataFrame([(q, int(i), float(round(1 / (60 + j // 2), 9))) for q in range(30) for j, i in enumerate(rng.permutation(90)[:25])], "query long, id long, score double")
     got = {tuple(r) for r in bulk.mmr(hits, docs.union(docs), "id", "body", 0.7, 8).collect()}
     assert got == {tuple(r) for r in fusion.mmr(hits.join(docs, "id"), "body", 0.7, 8).collect()} and len(got) == 240
+
+
+def test_sessions_of_all_tasks(spark, tables):
+    columns, got = equal_to_sql(spark, tables, "ev3_session_scores")
+    assert {r[columns.index("query")] for r in got} == {"1", "7", "100", "101", "102"}
+
+
+def test_union_sizes(spark, monkeypatch):
+    monkeypatch.setattr(bulk, "MEMBERS", 7)
+    members = spark.createDataFrame([([f"t{j}" for j in range(6) if (i >> j) & 1],) for i in range(64)], "has array<string>")
+    sets = spark.createDataFrame([(["t0", "t3"],), ([],), (["t5"],), (["none", "t1", "t2", "t4"],), (["t5"],)], "tags array<string>")
+    assert {tuple(r.tags): r.n for r in bulk.union_sizes(sets, "tags", members, "has").collect()} == {("t0", "t3"): 48, (): 0, ("t5",): 32, ("none", "t1", "t2", "t4"): 56}
