@@ -10,8 +10,8 @@ from ..operators import dense, evaluate, fusion
 from ..sources.files import sanitised
 from ..streaming.windows import adopt_pending
 from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, raw_chunks, sessions, skills, trajectories, vectors
-from .retrieval import FIRST_V, TASK_V, TASKS, _bm25, _first_vectors, _task_vectors
-from .structure import GOLD, USES, _gold, uses
+from .retrieval import ALL_TASK_V, FIRST_V, _all_fused, _bm25, _first_vectors, _task_vectors
+from .structure import ALL_GOLD, USES, _all_gold, _gold, uses
 from .texts import REACT, USER, strip_sql
 
 # Literal rows, for rules that the tables hardly touch. Twins state the rules anew.
@@ -270,29 +270,30 @@ def sf4_key_counts(spark, d):
 
 # ------------------------------------------------------------ evaluation
 
-_ARMS = f"""WITH {bm25_sql(C, 'chunk_id', 'content', TASKS, 'trajectory_id', 'task', 25)}, {knn_sql(TASK_V, 'trajectory_id', 'v', 25, skip_self=False)},
+_ARMS = f"""WITH {bm25_sql(C, 'chunk_id', 'content', T, 'trajectory_id', 'task', 25)}, {knn_sql(ALL_TASK_V, 'trajectory_id', 'v', 25, skip_self=False)},
  fu AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, round(sum(1.0/(60+rank)), 9) AS score FROM (SELECT query, doc AS id, rank FROM bm UNION ALL SELECT query, id, rank FROM kn) GROUP BY query, id)),
- arms AS (SELECT 'fts_only' AS arm, query, doc AS id, rank FROM bm UNION ALL SELECT 'vec_only', query, id, rank FROM kn UNION ALL SELECT 'rrf', query, id, rank FROM fu UNION ALL SELECT 'full_ctx', query, id, row_number() OVER (PARTITION BY query ORDER BY id) FROM {GOLD}),
- g AS (SELECT DISTINCT * FROM {GOLD}), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query), a AS (SELECT DISTINCT arm FROM arms),
+ arms AS (SELECT 'fts_only' AS arm, query, doc AS id, rank FROM bm UNION ALL SELECT 'vec_only', query, id, rank FROM kn UNION ALL SELECT 'rrf', query, id, rank FROM fu UNION ALL SELECT 'full_ctx', query, id, row_number() OVER (PARTITION BY query ORDER BY id) FROM {ALL_GOLD}),
+ g AS (SELECT DISTINCT * FROM {ALL_GOLD}), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query), a AS (SELECT DISTINCT arm FROM arms),
  h AS (SELECT arm, g.query, count(*) AS hits, min(rank) AS first, sum(1/log2(rank+1)) AS dcg FROM arms JOIN g ON g.query = arms.query AND g.id = arms.id WHERE rank <= 10 OR arm = 'full_ctx' GROUP BY ALL),
  s AS (SELECT a.arm, n.query, round(coalesce(hits/n_gold, 0), 6) AS recall, round(coalesce(1.0/first, 0), 6) AS rr, round(coalesce(dcg/list_sum(list_transform(range(1, CASE WHEN a.arm = 'full_ctx' THEN n_gold ELSE least(n_gold, 10) END + 1), lambda i: 1/log2(i+1))), 0), 6) AS ndcg FROM a CROSS JOIN n LEFT JOIN h ON h.arm = a.arm AND h.query = n.query)
  SELECT arm, count(*) AS queries, CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS rr, CAST(round(avg(ndcg), 6) AS DOUBLE) AS ndcg FROM s GROUP BY arm"""
 
 
+@query(_ARMS)
+def ev2_arms(spark, d):
+    """Mean scores of words only, vectors only, both fused, and the whole context, against the session's own messages."""
+    gold = _all_gold(spark, d)
+    (lex, near), fused = _all_fused(spark, d)
+    whole = gold.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
+    return evaluate.arm_scores({"fts_only": lex, "vec_only": near, "rrf": fused}, gold, 10).unionByName(evaluate.arm_scores({"full_ctx": whole}, gold, 1_000_000))
+
+
 def _arms(spark, d):
     lex = _bm25(spark, d).withColumnRenamed("doc", "id")
     near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", vectors(spark, d), "chunk_id", "embedding", VEC, 25)
     return {"fts_only": lex, "vec_only": near, "rrf": fusion.rrf([lex, near])}
 
 
-@query(_ARMS)
-def ev2_arms(spark, d):
-    """Mean scores of words only, vectors only, both fused, and the whole context, against the session's own messages."""
-    gold = _gold(spark, d)
-    whole = gold.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
-    return evaluate.arm_scores(_arms(spark, d), gold, 10).unionByName(evaluate.arm_scores({"full_ctx": whole}, gold, 1_000_000))
-
-
 @query()
 def ev2_diversified_arm(spark, d):
     """The fused arm after diversity re-ranking."""

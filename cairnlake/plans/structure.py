@@ -387,6 +387,15 @@ def sk18_keep_best(spark, d):
 GOLD = f"(SELECT t.trajectory_id AS query, chunk_id AS id FROM {T} t JOIN {C} c ON c.session_id = t.session_id WHERE trajectory_id % 100 = 0)"
 
 
+ALL_GOLD = GOLD.replace(" WHERE trajectory_id % 100 = 0", "")
+
+
+def _all_gold(spark, d):
+    """The messages of every task's own session."""
+    c = raw_chunks(spark, d).filter("session_id is not null").select("session_id", F.col("chunk_id").alias("id"))
+    return stage(trajectories(spark, d).select(F.col("trajectory_id").alias("query"), "session_id").join(c, "session_id").select("query", "id").distinct(), "gold")
+
+
 def _gold(spark, d):
     return tasks(spark, d).filter("session_id is not null").select(F.col("trajectory_id").alias("query"), "session_id").join(chunks(spark, d), "session_id").select("query", F.col("chunk_id").alias("id"))
 

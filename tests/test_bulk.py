@@ -73,6 +73,11 @@ def test_arcs_of_all_tasks(spark, tables):
     assert {r[columns.index("query")] for r in got} == {"1", "100", "101"}
 
 
+def test_arms_over_all_tasks(spark, tables):
+    columns, got = equal_to_sql(spark, tables, "ev2_arms")
+    assert {r[columns.index("queries")] for r in got} == {"4"} and len(got) == 4
+
+
 def test_reranked_hits_of_all_tasks(spark, tables):
     columns, got = equal_to_sql(spark, tables, "rt7_mmr_rerank")
     assert {r[columns.index("query")] for r in got} == {"1", "7", "100", "101", "102"}
