@@ -24,7 +24,7 @@ from ..runtime import stage, unstage
 from .lexical import K1, LEAST_IDF, B, asked_units
 
 #: Characters of a task that stores texts; documents and tokens from which it begins another block; documents added to one at once; queries of a task.
-CHARS, DOCS, TOKENS, PIECE, QUERIES = 24_000_000, 120_000, 3_500_000, 500, 8192
+CHARS, DOCS, TOKENS, PIECE, QUERIES = 24_000_000, 120_000, 2_000_000, 500, 8192
 #: Vectors of a stored block; products held at once.
 VECTORS, PRODUCTS = 16_384, 6_000_000
 #: Members of a block whose tags are held as bits.
@@ -33,6 +33,8 @@ MEMBERS = 65_536
 NEAR = 3e-5
 #: Scores are rounded to six digits, so what could reach the k-th best is looked at from this much below it.
 SLACK = 1.1e-6
+#: A list of less than this share of what is added up is added too: that is cheaper than looking up in it.
+SHORT = 0.7
 #: Places of phrases that a task keeps for its second reading.
 KEPT = 2_000_000
 
@@ -187,8 +189,8 @@ def _search(best: _Best, asked: list, lists: list, ids: np.ndarray) -> None:
     """Adds a block's documents to the best of each query.
 
     Lists are added up, the weightiest first, until the rest of them can't lift
-    a document to the k-th best; those that may still reach it are looked up in
-    the rest (MaxScore).
+    a document to the k-th best, and on while they are short; documents that may
+    still reach it are looked up in the rest (MaxScore).
     """
     acc = np.zeros(len(ids))
     for q, units in enumerate(asked):
@@ -200,8 +202,9 @@ def _search(best: _Best, asked: list, lists: list, ids: np.ndarray) -> None:
         need = best.need[q] - SLACK
         if not parts or rest[0] < need:
             continue
-        i = 0
-        while i < len(parts) and rest[i] >= need:
+        i = done = 0
+        while i < len(parts) and (rest[i] >= need or len(parts[i][2]) < SHORT * done):
+            done += len(parts[i][2])
             _, times, docs, weight = parts[i]
             acc[docs] += weight if times == 1 else times * weight
             i += 1
