@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dense, evaluate, fusion
+from ..operators import bulk, evaluate
+from ..runtime import stage
 from ..sources.files import sanitised
 from ..streaming.windows import adopt_pending
 from .base import C, K, NOW, S, T, V, VEC, bm25_sql, chunks, documents, knn_sql, query, raw_chunks, sessions, skills, trajectories, vectors
-from .retrieval import ALL_TASK_V, FIRST_V, _all_fused, _bm25, _first_vectors, _task_vectors
-from .structure import ALL_GOLD, USES, _all_gold, _gold, uses
+from .retrieval import ALL_TASK_V, FIRST_V, _all_fused, _first_vectors
+from .structure import ALL_GOLD, USES, _all_gold, uses
 from .texts import REACT, USER, strip_sql
 
 # Literal rows, for rules that the tables hardly touch. Twins state the rules anew.
@@ -288,18 +289,12 @@ def ev2_arms(spark, d):
     return evaluate.arm_scores({"fts_only": lex, "vec_only": near, "rrf": fused}, gold, 10).unionByName(evaluate.arm_scores({"full_ctx": whole}, gold, 1_000_000))
 
 
-def _arms(spark, d):
-    lex = _bm25(spark, d).withColumnRenamed("doc", "id")
-    near = dense.knn_topk(_task_vectors(spark, d), "trajectory_id", "embedding", vectors(spark, d), "chunk_id", "embedding", VEC, 25)
-    return {"fts_only": lex, "vec_only": near, "rrf": fusion.rrf([lex, near])}
-
-
 @query()
 def ev2_diversified_arm(spark, d):
     """The fused arm after diversity re-ranking."""
-    hits = _arms(spark, d)["rrf"].join(chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), "id")
-    picked = fusion.mmr(hits, "content", 0.7, 10).withColumnRenamed("pick", "rank")
-    return evaluate.arm_scores({"rrf_mmr": picked}, _gold(spark, d), 10)
+    hits = stage(_all_fused(spark, d)[1].drop("rank"), "fused")
+    picked = bulk.mmr(hits, raw_chunks(spark, d), "chunk_id", "content", 0.7, 10).withColumnRenamed("pick", "rank")
+    return evaluate.arm_scores({"rrf_mmr": picked}, _all_gold(spark, d), 10)
 
 
 @query(f"""SELECT bound, CAST(sum(CASE WHEN utility >= bound AND t = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN utility >= bound AND t = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN utility < bound AND t = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,

@@ -83,6 +83,11 @@ def test_reranked_hits_of_all_tasks(spark, tables):
     assert {r[columns.index("query")] for r in got} == {"1", "7", "100", "101", "102"}
 
 
+def test_diversified_arm_over_all_tasks(spark, tables):
+    row = entry.queries()["ev2_diversified_arm"](spark, tables).first()
+    assert (row.arm, row.queries) == ("rrf_mmr", 4)
+
+
 def test_bulk_mmr_equals_mmr(spark):
     rng = np.random.default_rng(2)
     docs = spark.createDataFrame([(i, " ".join(f"w_{x}" for x in rng.integers(0, 12, rng.integers(0, 9))) or None) for i in range(80)], "id long, body string")
